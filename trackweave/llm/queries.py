@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm import packing, splitting
+from trackweave.llm import mixing, packing, splitting
 from trackweave.runtime import params
 from trackweave.sources.tables import read
 
@@ -38,6 +38,30 @@ def p6_fill(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _mixed(s: SparkSession, d: str, **options) -> tuple[DataFrame, DataFrame]:
+    targets = [mixing.Target(r["source"], r["target_share"], r["max_repeats"]) for r in params(read(s, d, "mix_targets"))]
+    return mixing.mix(read(s, d, "documents"), sorted(targets, key=lambda t: t.source), **options)
+
+
+def p7_found(s: SparkSession, d: str) -> DataFrame:
+    return _mixed(s, d)[1].where("short").select("source")
+
+
+def p7_mix(s: SparkSession, d: str) -> DataFrame:
+    """The chosen documents with their repeats."""
+    return _mixed(s, d)[0]
+
+
+def p7_shares(s: SparkSession, d: str) -> DataFrame:
+    """What every source was to reach and reaches."""
+    return _mixed(s, d)[1]
+
+
+def p7_soft(s: SparkSession, d: str) -> DataFrame:
+    """The mix with unlabelled documents given to their most probable source."""
+    return _mixed(s, d, admit_unlabelled=True)[0]
+
+
 def _limits(s: SparkSession, d: str) -> list[tuple[int, int, int]]:
     return sorted((r["limit_id"], r["max_tokens"], r["overlap_tokens"]) for r in params(read(s, d, "piece_limits")))
 
@@ -53,9 +77,12 @@ def p8_pieces(s: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(splitting.split(read(s, d, "documents"), limits), limits)
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_pack, p6_fill, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_pack, p6_fill, p7_found, p7_mix, p7_shares, p7_soft, p8_found, p8_pieces)}
 
 ORACLES = {
+    "p7_found": """SELECT t.source FROM mix_targets t LEFT JOIN documents d ON lower(trim(d.source)) = lower(trim(t.source))
+      GROUP BY t.source, t.target_share, t.max_repeats
+      HAVING coalesce(sum(strlen(d.text)), 0) * t.max_repeats < t.target_share * (SELECT sum(strlen(text)) FROM documents)""",
     "p6_found": """SELECT c.container_id, d.doc_id FROM documents d JOIN pack_containers c
       ON strlen(d.text) > c.capacity_tokens""",
     "p8_found": """WITH over AS (SELECT l.limit_id, l.max_tokens, d.doc_id, d.text FROM documents d
