@@ -78,13 +78,31 @@ def _relieve(sizes: np.ndarray, window: np.ndarray, k: int, capacity: int) -> bo
 
 
 def pack_block(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The window of each item of a block; no item is larger than the capacity."""
-    k = max(1, -(-int(sizes.sum()) // capacity))
+    """The window of each item of a block; no item is larger than the capacity.
+
+    As long as some items find no room, the windows that are nearly full are closed and the others' items are
+    differenced anew; where no window is full enough, the bar is lowered, and at last the window count rises.
+    """
+    out = np.empty(len(sizes), np.int64)
+    left, closed, extra, enough = np.arange(len(sizes)), 0, 0, 0.985
     while True:
-        window = differencing(sizes, k)
-        if _relieve(sizes, window, k, capacity):
-            return window
-        k += 1
+        own = sizes[left]
+        k = max(1, -(-int(own.sum()) // capacity)) + extra
+        window = differencing(own, k)
+        if _relieve(own, window, k, capacity):
+            out[left] = closed + window
+            return out
+        sums = np.bincount(window, weights=own, minlength=k)
+        full = (sums <= capacity) & (sums >= enough * capacity)
+        if full.any():
+            number = np.cumsum(full) - 1 + closed
+            inside = full[window]
+            out[left[inside]] = number[window[inside]]
+            left, closed = left[~inside], closed + int(full.sum())
+        elif enough > 0.9:
+            enough -= 0.01
+        else:
+            extra += 1
 
 
 def items(documents: DataFrame, capacities: Sequence[tuple[int, int]], doc: str = "doc_id", text: str = "text") -> DataFrame:
