@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackweave.runtime import BROADCAST_ROWS, cut
+from trackweave.runtime import cut
+
+#: A frontier is broadcast up to this many path entries, and links are kept in one partition up to this many rows.
+SMALL = 20_000
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -28,13 +31,13 @@ def clean_links(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     return n.select("node").join(kept, "node", "left")
 
 
-def hierarchy(links: DataFrame, paths: bool = True, small_rows: int = BROADCAST_ROWS) -> DataFrame:
+def hierarchy(links: DataFrame, paths: bool = True, small_rows: int = SMALL) -> DataFrame:
     """(node, root, depth, path) of every node of `links` (node, parent; null parent = root).
 
     From the roots (depth 0) each level joins the frontier with the links whose parent it holds, extending path
     (root first, node last) and depth. The links not yet reached are what a level reads: they are rewritten without
     the reached ones whenever at least half of them are, so a long thin tail costs small jobs only. A frontier is
-    broadcast only after its rows were counted; a larger one is shuffled. Nodes that no level reaches lie on a cycle
+    broadcast only after its rows were counted, and while these times their depth are few; else it is shuffled. Nodes that no level reaches lie on a cycle
     or lead into one: root = depth = -1 and a null path. No links: no rows. With paths=False path is null.
     """
     links = cut(links)
@@ -49,7 +52,7 @@ def hierarchy(links: DataFrame, paths: bool = True, small_rows: int = BROADCAST_
     while n and open_links > 0:
         f = frontier.select(F.col("node").alias("parent"), "root", "depth", "path")
         grown = F.concat("path", F.array("node")) if paths else F.col("path")
-        step = rest.join(F.broadcast(f) if n <= small_rows else f, "parent").select(
+        step = rest.join(F.broadcast(f) if n * len(levels) <= small_rows else f, "parent").select(
             "node", "root", (F.col("depth") + 1).alias("depth"), grown.alias("path")
         )
         frontier = cut(step.coalesce(1) if n_open <= small_rows else step)
