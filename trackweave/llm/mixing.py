@@ -92,26 +92,39 @@ def scorer(model: np.ndarray):
         for i, b in enumerate(_bytes(texts)):
             if len(b) >= GRAM:
                 out[i] = _buckets(b) @ weights / (len(b) - GRAM + 1)
-        flat = pa.array(out.reshape(-1))
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * weights.shape[1], pa.int32()), flat)
+        return _lists(out)
 
     return F.arrow_udf(score, "array<double>")
 
 
-def _posterior(mean: Column, prior: np.ndarray, temperature: float) -> Column:
-    logit = F.zip_with(mean, F.array(*[F.lit(float(p)) for p in prior]), lambda m, p: m * temperature + p)
-    return F.transform(logit, lambda x: F.exp(x - F.array_max(logit)))
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    e = np.exp(logits - logits.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
 
 
-def _normal(weights: Column) -> Column:
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(weights, lambda x: x / total)
+def _matrix(lists: pa.Array, n: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.reshape(-1)))
+
+
+def posterior(prior: np.ndarray, temperature: float):
+    """An Arrow function from mean log likelihoods to posteriors."""
+    return F.arrow_udf(lambda mean: _lists(_softmax(_matrix(mean, len(prior)) * temperature + prior)), "array<double>")
 
 
 def _temperature(scored: DataFrame, prior: np.ndarray) -> float:
     """The factor of the mean log likelihoods under which the labels are most probable."""
-    own = lambda t: F.log(F.greatest(F.get(_normal(_posterior(F.col("mean"), prior, t)), F.col("s")), F.lit(1e-12)))
-    sums = scored.where("s IS NOT NULL").agg(*[F.sum(own(t)).alias(str(i)) for i, t in enumerate(_TEMPERATURES)]).first()
+
+    def own(mean: pa.Array, s: pa.Array) -> pa.Array:
+        m, i = _matrix(mean, len(prior)), s.to_numpy()
+        each = [_softmax(m * t + prior)[np.arange(len(m)), i] for t in _TEMPERATURES]
+        return _lists(np.log(np.maximum(np.stack(each, axis=1), 1e-12)))
+
+    logs = scored.where("s IS NOT NULL").select(F.arrow_udf(own, "array<double>")("mean", "s").alias("p"))
+    sums = logs.agg(*[F.sum(F.get("p", F.lit(i))) for i in range(len(_TEMPERATURES))]).first()
     return _TEMPERATURES[max(range(len(_TEMPERATURES)), key=lambda i: sums[i] if sums[i] is not None else -1e300)]
 
 
@@ -207,9 +220,9 @@ def mix(
     model = train(docs.where("s IS NOT NULL"), n)
     scored = cut(docs.select("doc_id", "tokens", "s", scorer(model)(F.col("raw")).alias("mean")))
     prior = model[:, -1]
-    soft = _normal(_posterior(F.col("mean"), prior, _temperature(scored, prior)))
+    soft = posterior(prior, _temperature(scored, prior))(F.col("mean"))
     given = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (i == F.col("s")).cast("double"))
-    member = F.when(F.col("s").isNotNull(), F.zip_with(given, soft, lambda g, p: g * (1 - label_noise) + p * label_noise)).otherwise(soft)
+    member = F.when(F.col("s").isNotNull(), F.zip_with(given, F.col("soft"), lambda g, p: g * (1 - label_noise) + p * label_noise)).otherwise(F.col("soft"))
     likeliest = (F.array_position("soft", F.array_max("soft")) - 1).cast("int")
     s = F.coalesce("s", likeliest) if admit_unlabelled else F.col("s")
     cap = F.when(F.col("s").isNull(), 0).otherwise(_by_source(caps)) if names else F.lit(0)
