@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trackweave.plans import problems
+from trackweave.plans import aggregates, joins, problems, scalars
 
-_PARTS = [problems]
+_PARTS = [problems, scalars, joins, aggregates]
 
 FLAGSHIP = "p3_found"
 QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
