@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trackweave.plans import aggregates, joins, problems, scalars
+from trackweave.plans import aggregates, joins, problems, scalars, structures
 
-_PARTS = [problems, scalars, joins, aggregates]
+_PARTS = [problems, scalars, joins, aggregates, structures]
 
 FLAGSHIP = "p3_found"
 QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
