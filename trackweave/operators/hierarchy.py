@@ -8,8 +8,11 @@ from pyspark.sql import types as T
 
 from trackweave.runtime import cut
 
-#: A frontier is broadcast up to this many path entries, and links are kept in one partition up to this many rows.
+#: Path entries up to which a frontier is broadcast, and links left from which on several levels are taken per job.
 SMALL = 20_000
+#: Levels per job in the tail.
+HOPS = 16
+PATH = T.ArrayType(T.LongType())
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -35,42 +38,59 @@ def hierarchy(links: DataFrame, paths: bool = True, small_rows: int = SMALL) ->
     """(node, root, depth, path) of every node of `links` (node, parent; null parent = root).
 
     From the roots (depth 0) each level joins the frontier with the links whose parent it holds, extending path
-    (root first, node last) and depth. The links not yet reached are what a level reads: they are rewritten without
-    the reached ones whenever at least half of them are, so a long thin tail costs small jobs only. A frontier is
-    broadcast only after its rows were counted, and while these times their depth are few; else it is shuffled. Nodes that no level reaches lie on a cycle
+    (root first, node last) and depth; a level reads only the links not reached before it. Once at most small_rows of
+    these are left, HOPS levels are taken per job, so a long thin tail costs few jobs. A frontier is broadcast only
+    after its rows were counted, and while these times their depth are few. Nodes that no level reaches lie on a cycle
     or lead into one: root = depth = -1 and a null path. No links: no rows. With paths=False path is null.
     """
     links = cut(links)
-    path = F.array("node") if paths else F.lit(None).cast(T.ArrayType(T.LongType()))
+    path = F.array("node") if paths else F.lit(None).cast(PATH)
     roots = links.where("parent IS NULL").select(
         "node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), path.alias("path")
     )
     rest = links.where("parent IS NOT NULL").select("node", "parent")
-    open_links = n_open = rest.count()
-    n = roots.count()
-    frontier, levels = roots, [roots]
-    while n and open_links > 0:
+    n_rest, n = rest.count(), roots.count()
+    frontier, found = roots, [roots]
+    while n and n_rest > small_rows:
         f = frontier.select(F.col("node").alias("parent"), "root", "depth", "path")
+        t = cut(rest.join(F.broadcast(f) if n * len(found) <= small_rows else f, "parent", "left"))
         grown = F.concat("path", F.array("node")) if paths else F.col("path")
-        step = rest.join(F.broadcast(f) if n * len(levels) <= small_rows else f, "parent").select(
-            "node", "root", (F.col("depth") + 1).alias("depth"), grown.alias("path")
-        )
-        frontier = cut(step.coalesce(1) if n_open <= small_rows else step)
+        frontier = t.where("depth IS NOT NULL").select("node", "root", (F.col("depth") + 1).alias("depth"), grown.alias("path"))
+        rest = t.where("depth IS NULL").select("node", "parent")
         n = frontier.count()
-        if not n:
-            break
-        levels.append(frontier)
-        open_links -= n
-        if open_links * 2 <= n_open:
-            reached = _union([x.select("node") for x in levels])
-            left = rest.join(reached, "node", "left_anti")
-            rest, n_open = cut(left.coalesce(1) if open_links <= small_rows else left), open_links
-    found = _union(levels)
-    lost = links.select("node").join(found.select("node"), "node", "left_anti")
+        n_rest -= n
+        found.append(frontier)
+    while n and n_rest:
+        t = _levels(rest, frontier, paths)
+        reached = t.where("root IS NOT NULL").select("node", "root", "depth", "path", "_hops")
+        found.append(reached.drop("_hops"))
+        frontier = reached.where(F.col("_hops") == HOPS).drop("_hops")
+        rest = t.where("root IS NULL").select("node", "parent")
+        n_rest, n = t.agg(F.count_if(F.col("root").isNull()), F.count_if((F.col("_hops") == HOPS) & F.col("root").isNotNull())).first()
+    every = _union(found)
     minus = F.lit(-1).cast("long")
-    return found.unionByName(
-        lost.select("node", minus.alias("root"), minus.alias("depth"), F.lit(None).cast(T.ArrayType(T.LongType())).alias("path"))
-    )
+    lost = rest.select("node", minus.alias("root"), minus.alias("depth"), F.lit(None).cast(PATH).alias("path"))
+    return every.unionByName(lost)
+
+
+def _levels(rest: DataFrame, frontier: DataFrame, paths: bool) -> DataFrame:
+    """HOPS levels at once, for a counted few links: (node, parent, root, depth, path, _hops), root null if not reached.
+
+    Each link is followed upwards through links not yet reached, by joins with one and the same broadcast table, until it
+    leaves them; where it leaves them within HOPS steps it stands on the frontier, that many levels below it.
+    """
+    up = F.broadcast(rest.select(F.col("node").alias("_at"), F.col("parent").alias("_to")))
+    chain = rest.withColumn("a1", F.col("parent"))
+    for i in range(2, HOPS + 2):
+        chain = chain.join(up, F.col(f"a{i - 1}") == F.col("_at"), "left").withColumn(f"a{i}", F.col("_to")).drop("_at", "_to")
+    steps = F.array_compact(F.array(*[F.col(f"a{i}") for i in range(1, HOPS + 2)]))
+    left = chain.select("node", "parent", steps.alias("_s")).withColumn("_hops", F.size("_s"))
+    left = left.withColumn("_top", F.when(F.col("_hops") <= HOPS, F.element_at("_s", -1)))
+    f = frontier.select(F.col("node").alias("_top"), "root", F.col("depth").alias("_d"), F.col("path").alias("_p"))
+    joined = left.join(f, "_top", "left")
+    between = F.reverse(F.slice("_s", 1, F.col("_hops") - 1))
+    path = F.concat("_p", between, F.array("node")) if paths else F.lit(None).cast(PATH)
+    return cut(joined.select("node", "parent", "root", (F.col("_d") + F.col("_hops")).alias("depth"), path.alias("path"), "_hops"))
 
 
 def ancestor_pairs(tree: DataFrame) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side is broadcast, always after counting them.
 BROADCAST_ROWS = 100_000
+_TABLES: list[str] = []
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -20,9 +22,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and go on from the files, so that lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a table in the shared folder and go on from it, so that lost executors cost no recomputation.
+
+    Unlike a checkpoint, the table has its true size, so that later joins are planned by it; a checkpoint would hand on
+    the estimate of its former plan, which a loop of joins multiplies without end.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _TABLES.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables written by `cut` in this process, once no frame that reads them is needed; returns how many."""
+    jvm, n = spark.sparkContext._jvm, len(_TABLES)
+    for path in _TABLES:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _TABLES.clear()
+    return n
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

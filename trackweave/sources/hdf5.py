@@ -1,0 +1,120 @@
+"""HDF5 snapshots by particle type, where h5py is installed (IO3, IO4, IO7, IO12, IO21).
+
+One partition per file, type and slice of rows; only the slices asked for are read.
+"""
+
+from __future__ import annotations
+
+import glob
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader
+
+from trackweave.sources.blocks import SLICE, TYPES, Slice
+
+try:
+    import h5py
+except ImportError:  # not part of the required packages
+    h5py = None
+
+#: Dataset names by flavour: fixed values of the public formats.
+DATASETS = {
+    "swiftsim": {"host_id": "FOFGroupIDs", "u": "InternalEnergies", "mass": "Masses", "mass5": "DynamicalMasses"},
+    "gadget4": {"host_id": None, "u": "InternalEnergy", "mass": "Masses", "mass5": "Masses"},
+    "apostle": {"host_id": "GroupNumber", "u": "InternalEnergy", "mass": "Mass", "mass5": "Mass"},
+}
+#: The null group of the flavour whose negative group numbers lie outside any group.
+APOSTLE_NULL = 1 << 30
+SCHEMA = "particle_id long, x double, y double, z double, vx double, vy double, vz double, mass double, u double, type int, host_id long"
+
+
+class Hdf5Reader(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        if h5py is None:
+            raise ImportError("reading HDF5 snapshots needs h5py; convert them to Parquet or install it")
+        self.paths, self.flavour = sorted(glob.glob(options["path"])), options.get("flavour", "swiftsim")
+        if self.flavour not in DATASETS:
+            raise ValueError(f"unknown flavour {self.flavour}")
+
+    def partitions(self) -> list[Slice]:
+        out = []
+        for path in self.paths:
+            with h5py.File(path) as f:
+                for k, n in enumerate(f["Header"].attrs["NumPart_ThisFile"][:TYPES]):
+                    out += [Slice(path, k, a, min(SLICE, int(n) - a)) for a in range(0, int(n), SLICE)]
+        return out
+
+    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
+        names = DATASETS[self.flavour]
+        with h5py.File(part.path) as f:
+            head, group = f["Header"].attrs, f[f"PartType{part.kind}"]
+            swift = self.flavour == "swiftsim"
+            box = float(np.atleast_1d(head["BoxSize"])[0])
+            a = float(np.atleast_1d(f["Cosmology"].attrs["Scale-factor"] if swift else head["Time"])[0])
+            rows = slice(part.first, part.first + part.count)
+
+            def scaled(name: str, default: float) -> np.ndarray:
+                d = group[name]
+                power = float(np.atleast_1d(d.attrs.get("a-scale exponent", d.attrs.get("a_scaling", default)))[0])
+                return d[rows].astype(float) * a**power
+
+            def optional(name: str | None, otherwise) -> np.ndarray:
+                return group[name][rows] if name and name in group else np.full(part.count, otherwise)
+
+            xyz = group["Coordinates"][rows].astype(float)
+            xyz = (xyz / box - np.floor(xyz / box)) * box
+            vel = scaled("Velocities", 0.0 if swift else 0.5)
+            mass_name = names["mass5"] if part.kind == 5 else names["mass"]
+            fixed = 0.0 if swift else float(head["MassTable"][part.kind])
+            mass = np.full(part.count, fixed) if fixed or mass_name not in group else group[mass_name][rows].astype(float)
+            u = scaled(names["u"], 0.0) if part.kind == 0 and names["u"] in group else np.zeros(part.count)
+            host = optional(names["host_id"], -1).astype(np.int64)
+            if self.flavour == "apostle":
+                host = np.where((host < 0) | (host == APOSTLE_NULL), -1, host)
+            columns = [group["ParticleIDs"][rows].astype(np.int64), *xyz.T, *vel.T, mass, u, np.full(part.count, part.kind, np.int32), host]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+
+class Hdf5Source(DataSource):
+    """Options: path (pattern), flavour (one of DATASETS)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "hdf5_snapshot"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> Hdf5Reader:
+        return Hdf5Reader(dict(self.options))
+
+
+def epoch(path: str) -> dict:
+    """Cosmology, units, box, softening and null group of a file's header (IO3)."""
+    if h5py is None:
+        raise ImportError("reading HDF5 headers needs h5py")
+    one = lambda x: float(np.atleast_1d(x)[0])
+    with h5py.File(path) as f:
+        c, u, k, p = f["Cosmology"].attrs, f["Units"].attrs, f["PhysicalConstants/CGS"].attrs, f["Parameters"].attrs
+        h = one(c["h"])
+        length, mass, time = (one(u[f"Unit {n} in cgs (U_{s})"]) for n, s in (("length", "L"), ("mass", "M"), ("time", "t")))
+        return {
+            "scale_factor": one(c["Scale-factor"]),
+            "omega_m0": one(c["Omega_m"]),
+            "omega_lambda0": one(c["Omega_lambda"]),
+            "hz": one(c["H [internal units]"]),
+            "box_size": one(f["Header"].attrs["BoxSize"]),
+            "length_in_mpch": length / (1e6 * one(k["parsec"])) * h,
+            "mass_in_msunh": mass / one(k["solar_mass"]) * h,
+            "vel_in_kms": length / time / 1e5,
+            "softening": float(p["Gravity:comoving_DM_softening"]),
+            "max_physical_softening": float(p["Gravity:max_physical_DM_softening"]),
+            "null_group_id": int(p["FOF:group_id_default"]),
+        }
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(Hdf5Source)
