@@ -8,7 +8,7 @@ from trackweave.config import Config
 CONFIG = Config(BoxSize=100.0, SofteningHalo=0.01, NumNeighboursForReassignment=3)
 
 
-def ball(n, centre, velocity, first_id, rng, radius=0.05, sigma=30.0, mass=0.1, gas=0):
+def ball(n, centre, velocity, first_id, rng, radius=0.05, sigma=5.0, mass=0.1, gas=0):
     """A compact self-bound clump: its potential is far deeper than its velocities."""
     x = rng.normal(size=(n, 3)) * radius + centre
     v = rng.normal(size=(n, 3)) * sigma + velocity
