@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trackweave.plans import aggregates, joins, problems, scalars, structures
+from trackweave.plans import aggregates, joins, problems, scalars, streams, structures
 
-_PARTS = [problems, scalars, joins, aggregates, structures]
+_PARTS = [problems, scalars, joins, aggregates, structures, streams]
 
 FLAGSHIP = "p3_found"
 QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
