@@ -14,6 +14,9 @@ from trackweave.functions.geometry import cell, distance2, vec
 from trackweave.functions.physics import sph_kernel
 from trackweave.runtime import cut
 
+#: Points of a group up to which every query of the group looks at all of them.
+FEW = 128
+
 
 def _cells(n: Column | int, box: str = "box_size", names: str = "xyz", shift: str = "") -> list[Column]:
     n = F.lit(n) if isinstance(n, int) else n
@@ -69,21 +72,27 @@ def nearest_neighbours(
     Grids from fine to coarse: at each, the open queries look at the 27 cells around their own. A query is settled
     once its k-th neighbour is no farther than a cell is wide, as nothing nearer can lie outside; only the others go on to
     cells of twice the width, so crowded places are settled in small cells and the coarse ones serve the lonely
-    queries. The last grid covers the box. A query's own row is a neighbour unless it is left out of the points.
+    queries. The last grid covers the box. Groups of at most FEW points need no grid: each query looks at all of them. A query's own row is a neighbour unless it is left out of the points.
     Queries with fewer than k points in their group get all of them; without any they get no row.
     """
-    todo = cut(queries.select(*by, "query_id", *[F.col(a).alias(f"q{a}") for a in "xyz"]))
-    # few points: all of them are neighbours, so the finest grids would only be gone through in vain
-    done: list[DataFrame] = []
-    n = finest
     keys = [*by, "query_id"]
+    asked = queries.select(*keys, *[F.col(a).alias(f"q{a}") for a in "xyz"])
+    here = points.select(*by, "particle_id", "x", "y", "z")
+    sizes = here.groupBy(*by).agg(F.count("*").alias("_n"))
+    few = sizes.where(F.col("_n") <= FEW).select(*by)
+    near = asked.join(here.join(few, list(by), "left_semi"), list(by))
+    done = [_nearest(near.select(*keys, "particle_id", F.sqrt(distance2(vec("q"), vec(""), box)).alias("r")), keys, k)]
+    many = sizes.where(F.col("_n") > FEW).select(*by)
+    todo = cut(asked.join(many, list(by), "left_semi"))
+    points = cut(here.join(many, list(by), "left_semi"))
+    if todo.isEmpty():
+        return done[0]
+    n = _start_grid(points, by, k, box, finest)
     while True:
         q = _around(todo.select("*", *[cell(F.col(f"q{a}"), F.lit(box / n), n).alias(f"c{a}") for a in "xyz"]), n)
         p = points.select(*by, "particle_id", "x", "y", "z", *_cells_of(n, box))
         r = F.sqrt(distance2(vec("q"), vec(""), box))
-        w = Window.partitionBy(*keys).orderBy("r", "particle_id")
-        pairs = q.join(p, [*by, "cx", "cy", "cz"]).select(*keys, "particle_id", r.alias("r"))
-        best = pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+        best = _nearest(q.join(p, [*by, "cx", "cy", "cz"]).select(*keys, "particle_id", r.alias("r")), keys, k)
         if n <= 3:  # 27 cells are the whole box
             done.append(best)
             break
@@ -100,6 +109,23 @@ def nearest_neighbours(
     return out
 
 
+def _start_grid(points: DataFrame, by: Sequence[str], k: int, box: float, finest: int) -> int:
+    """The coarsest grid, of 4, 8, ... up to finest cells a side, none of whose cells holds more than 4 k points."""
+    n = 4
+    while n < finest:
+        most = points.groupBy(*by, *_cells_of(n, box)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if (most or 0) <= 4 * k:
+            break
+        n *= 2
+    return n
+
+
+def _nearest(pairs: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """The k nearest of each query with their place; Spark keeps k rows per query and task before it shuffles."""
+    w = Window.partitionBy(*keys).orderBy("r", "particle_id")
+    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
 def reassign(queries: DataFrame, tracers: DataFrame, by: Sequence[str], k: int, box: float) -> DataFrame:
     """(by, query_id, track_id, new_track_id) of non-tracers: their own track if it holds one of the k nearest tracers
     of the host, else the track of the nearest (V4). Hosts without tracers change nothing."""
@@ -140,25 +166,33 @@ def friends_of_friends(points: DataFrame, by: Sequence[str], link: float, box: f
     pairs of points in different cells near each other are compared, and they become edges between cells. `by` must
     be one column, that holds integers. The tag is the least particle_id of the group.
     """
-    n = max(1, int(box / (link * 0.999 / 3**0.5)))
-    side, reach = box / n, 2
+    n = 2 * max(1, int(box / (link * 0.999 / 3**0.5) / 2))
     one = by[0]
-    p = cut(points.select(one, "particle_id", "x", "y", "z", *_cells_of(n, box)).withColumn("home", F.xxhash64("cx", "cy", "cz")))
-    cells = p.groupBy(one, "cx", "cy", "cz").agg(F.count("*").alias("n_points"), F.min("particle_id").alias("rep"))
-    occupied = cells.select(one, "cx", "cy", "cz", "rep")
-    # pairs of occupied cells in reach, each once
-    width = min(n, 2 * reach + 1)
-    near = _around(cells.select(one, "cx", "cy", "cz", F.col("rep").alias("a")), n, reach)
-    pairs = near.join(occupied, [one, "cx", "cy", "cz"]).where("a < rep").select(one, "a", F.col("rep").alias("b")).distinct()
+    p = cut(points.select(one, "particle_id", "x", "y", "z", *_cells_of(n, box)))
+    cells = cut(p.groupBy(one, "cx", "cy", "cz").agg(F.min("particle_id").alias("rep")))
+    # pairs of occupied cells up to two cells apart, found through blocks of 2 x 2 x 2 cells and half of the directions
+    ways = [(i, j, k) for i in range(-1, 2) for j in range(-1, 2) for k in range(-1, 2) if (i, j, k) >= (0, 0, 0)]
+    way = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(w, "ijk")]) for w in ways])).alias("w")
+    block = lambda c: F.shiftright(c, 1).alias(f"b{c}")
+    shift = lambda c, d: F.pmod(F.shiftright(f"o{c}", 1) + F.col(f"w.{d}"), F.lit(n // 2)).cast("int").alias(f"b{c}")
+    axes = ("cx", "cy", "cz")
+    here = cells.select(one, "rep", *axes, *[block(c) for c in axes])
+    near = cells.select(one, F.col("rep").alias("_a"), *[F.col(c).alias(f"o{c}") for c in axes], way)
+    near = near.select(one, "_a", *[f"o{c}" for c in axes], *[shift(c, d) for c, d in zip(axes, "ijk")])
+    close_by = F.lit(True)
+    for c in axes:
+        gap = F.pmod(F.col(c) - F.col(f"o{c}") + 2, F.lit(n))  # 0 .. 4 for cells up to two apart
+        close_by = close_by & (gap <= 4)
+    pairs = near.join(here, [one, *[f"b{c}" for c in axes]]).where(close_by & (F.col("_a") != F.col("rep")))
+    pairs = pairs.select(one, F.least("_a", "rep").alias("a"), F.greatest("_a", "rep").alias("b")).distinct()
     own = p.join(cells.select(one, "cx", "cy", "cz", "rep"), [one, "cx", "cy", "cz"]).select(one, "rep", "particle_id", "x", "y", "z")
     left = own.select(one, F.col("rep").alias("a"), *[F.col(c).alias(f"q{c}") for c in "xyz"])
     right = own.select(one, F.col("rep").alias("b"), "x", "y", "z")
     close = distance2(vec("q"), vec(""), box) < link * link
     edges = pairs.join(left, [one, "a"]).join(right, [one, "b"]).where(close).select(one, "a", "b").distinct()
     code = lambda c: F.struct(F.col(one).cast("long").alias("s"), F.col(c).alias("p"))
-    del side, width
     comp = components(
-        occupied.select(code("rep").alias("node")), edges.select(code("a").alias("a"), code("b").alias("b"))
+        cells.select(code("rep").alias("node")), edges.select(code("a").alias("a"), code("b").alias("b"))
     ).select(F.col("node.s").alias(one), F.col("node.p").alias("rep"), F.col("label.p").alias("tag"))
     tagged = own.select(one, "rep", "particle_id").join(comp, [one, "rep"])
     sizes = tagged.groupBy(one, "tag").agg(F.count("*").alias("length"))
