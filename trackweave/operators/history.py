@@ -44,11 +44,11 @@ def history(
 ) -> DataFrame:
     """(key, columns, valid_from, valid_to) of all keys over the snapshots `indexes` (consecutive, ascending).
 
-    `versions` has at most one row per key and snapshot and is written once, ordered by snapshot; each merge reads its
+    `versions` has at most one row per key and snapshot and is written once, a part per snapshot; each merge reads its
     own snapshot and the open versions only, and its result is cut from the lineage. valid_to of versions that hold
     in the last snapshot is that snapshot. Rows with a null key are left out; no rows give no history.
     """
-    rows = cut(versions.where(F.col(key).isNotNull()).select(key, F.col(index).cast("int").alias(index), *columns))
+    rows = cut(versions.where(F.col(key).isNotNull()).select(key, F.col(index).cast("int").alias(index), *columns), index)
     current = rows.where("false").select(
         key,
         *columns,

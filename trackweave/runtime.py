@@ -21,16 +21,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="trackweave-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and go on from it, so that lost executors cost no recomputation.
 
     Unlike a checkpoint, the table has its true size, so that later joins are planned by it; a checkpoint would hand on
-    the estimate of its former plan, which a loop of joins multiplies without end.
+    the estimate of its former plan, which a loop of joins multiplies without end. With partition_by, readers that
+    filter that column read their part only.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
