@@ -102,6 +102,12 @@ def test_masks(spark):
     assert {tuple(r) for r in clean.collect()} == {(1, 7), (4, 8), (1, 9)}  # the head's best tracer is reserved
 
 
+def test_promoted_members(spark):
+    rows = [(1, 0, 0, 7), (1, 0, 1, 8), (1, 0, 2, 9), (2, 1, 0, 7), (2, 1, 1, 6), (3, 2, 0, 6), (4, 1, 0, 6)]
+    m = df(spark, rows, "track_id long, member_rank int, rank int, particle_id long").withColumn("h", F.lit(1))
+    assert {(r["track_id"], r["particle_id"]) for r in nesting.promoted(m, ["h"]).collect()} == {(1, 8), (2, 7), (3, 6)}
+
+
 def test_nests(spark):
     t = df(spark, [(1, 5, 0, None), (2, 5, 1, 1), (3, 6, 1, 1), (4, 5, 0, 1), (5, -1, 1, 3), (6, 5, 1, 99)], "track_id long, host_id long, rank long, parent long")
     up = nesting.level_up(t, [])

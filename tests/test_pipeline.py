@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -80,6 +82,16 @@ def test_a_resumed_run_equals_an_unbroken_one(spark, outputs, tmp_path):
     assert sorted(map(tuple, again.tracks.select(*keep).collect())) == sorted(map(tuple, whole.tracks.select(*keep).collect()))
 
 
+def test_inclusive_masses_keep_shared_members(spark, outputs):
+    snaps, path, _ = outputs
+    c = replace(CONFIG, InclusiveMass=True, ReassignParticles=False)
+    t = rows(pl.step(pl.resume(spark, path, 100), snaps[1], c))
+    assert t[0]["n_bound"] >= 60 and t[1]["n_bound"] == 40
+    dm = replace(CONFIG, DmOnly=True, NoStripping=True, ReassignParticles=False)
+    t = rows(pl.step(pl.resume(spark, path, 100), snaps[1], dm))
+    assert t[0]["n_bound"] >= 60 and t[1]["n_bound"] == 40
+
+
 def test_an_empty_snapshot_leaves_orphans(spark, outputs):
     snaps, path, _ = outputs
     none = pl.Snapshot(2, 102, snaps[0].particles.limit(0), 1.0, 0.0)

@@ -177,6 +177,8 @@ def test_unbinding(spark):
     assert {r["particle_id"] - 100 for r in rows if r["g"] == 2 and not r["bound"]} == set(range(20))
     tracers, _ = gr.unbind(m.where("g = 1").withColumn("type", F.lit(0)))
     assert tracers.where("bound").count() == 0  # no bound tracers
+    whole = {r["g"]: r["n_bound"] for r in gr.unbind(m.where("g < 4"), strip=False)[1].collect()}
+    assert whole == {1: 100, 2: 100, 3: 60}
 
 
 def test_profile_core_and_tensor(spark):

@@ -127,6 +127,7 @@ def unbind(
     keep_mask: int = 32,
     thermal: bool = False,
     rounds: int = 100,
+    strip: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Iterative unbinding of all groups at once (P3): (members with bound, energy, potential_energy; groups with
     n_bound, m_bound, disrupted, n_rounds).
@@ -136,7 +137,7 @@ def unbind(
     the groups that lost more than 1 - precision of them; settled and disrupted groups leave the loop. A group of
     fewer than min_members bound members or min_tracers bound tracers disrupts: nothing of it is bound (P9). Members
     that never were in a bound set keep the energy of the round that dropped them. Groups in which one mean is
-    undefined (no mass) disrupt.
+    undefined (no mass) disrupt. With strip=False every member counts as bound (P11), and one round gives the energies.
     """
     rows = cut(members.withColumn("_order", F.xxhash64("particle_id")))
     active = rows
@@ -146,7 +147,7 @@ def unbind(
     for n in range(1, rounds + 1):
         frames = mean_motion(active, ["g"], "_order").where("mass > 0")
         phi = potentials(active, max_sources, keep_mask)
-        e = cut(energies(active, phi, frames, gravity, thermal).withColumn("bound", ph.is_bound("energy")))
+        e = cut(energies(active, phi, frames, gravity, thermal).withColumn("bound", ph.is_bound("energy") if strip else F.lit(True)))
         counts = e.groupBy("g").agg(
             F.count("*").alias("_last"),
             F.count_if("bound").alias("n_bound"),

@@ -98,6 +98,17 @@ def clean_tracks(members: DataFrame, by: Sequence[str], visit: str, depth: str,
     return marked.join(first, [*by, "particle_id"]).where(F.col("track_id") == F.col("_f.track_id")).drop("_f", "_turn")
 
 
+def promoted(members: DataFrame, by: Sequence[str], place: str = "member_rank", rank: str = "rank") -> DataFrame:
+    """(by, track_id, particle_id): the most bound member of each track that no lesser track of the group holds.
+
+    `place` is the track's rank in its group, 0 the most massive; lesser tracks have greater ones. A track whose members
+    all belong to lesser ones as well gets no row and keeps its own most bound member.
+    """
+    least = members.groupBy(*by, "particle_id").agg(F.max(place).alias("_least"))
+    own = members.join(least, [*by, "particle_id"]).where(F.col(place) == F.col("_least"))
+    return own.groupBy(*by, "track_id").agg(F.min_by("particle_id", F.struct(rank, "particle_id")).alias("particle_id"))
+
+
 def pass_up(members: DataFrame, nests: DataFrame, by: Sequence[str], bound: str = "bound") -> DataFrame:
     """members with the unbound ones of nested tracks handed to the parent's source (D5). nests: (by, track_id, parent)."""
     up = members.join(nests.where("parent IS NOT NULL"), [*by, "track_id"], "left")

@@ -109,6 +109,7 @@ def _unbind_levels(members: DataFrame, nests: DataFrame, c: Config) -> tuple[Dat
     options = dict(
         gravity=c.gravity, precision=c.BoundMassPrecision, min_members=c.MinNumPartOfSub, min_tracers=c.MinNumTracerPartOfSub,
         tracer_mask=c.tracer_mask, max_sources=c.MaxSampleSizeOfPotentialEstimate, keep_mask=c.keep_mask, thermal=c.ThermalEnergy,
+        strip=not c.NoStripping,
     )
     below: DataFrame | None = None  # bound members of the level below, that may merge
     columns = members.columns
@@ -121,7 +122,7 @@ def _unbind_levels(members: DataFrame, nests: DataFrame, c: Config) -> tuple[Dat
             continue
         kept, verdict = gr.unbind(here.withColumn("g", F.col("track_id")), **options)
         kept, verdict = cut(kept), cut(verdict)
-        if c.MergeTrappedSubhalos and below is not None:
+        if c.MergeTrappedSubhalos and not c.NoStripping and below is not None:
             merged = _overlapping(kept, below, up, c)
             mergers.append(merged)
             moved = below.join(merged, "track_id").select(*[F.col("parent").alias("track_id") if x == "track_id" else F.col(x) for x in columns])
@@ -206,14 +207,18 @@ def step(state: State, snap: Snapshot, c: Config) -> State:
     shape = cut(_visits(every.select("track_id", F.col("host_id").alias("new_host"), "parent", "nest_order")))
     m = m.join(shape.select("track_id", "new_host", "visit"), "track_id")
     alone = F.col("new_host") < 0
-    m = cut(nest.mask(m.withColumn("_room", F.when(alone, -F.col("track_id") - 2).otherwise(F.col("new_host"))), ["_room"], "visit").drop("_room", "visit", "new_host"))
+    m = m.withColumn("_room", F.when(alone, -F.col("track_id") - 2).otherwise(F.col("new_host")))
+    m = cut((m if c.InclusiveMass else nest.mask(m, ["_room"], "visit")).drop("_room", "visit", "new_host"))
     if c.ReassignParticles and not c.DmOnly and c.PeriodicBoundaryOn:
         inside = m.where("host_id >= 0")
         moved = sp.reassign(inside.where(~tracer).withColumnRenamed("particle_id", "query_id"), inside.where(tracer), ["host_id"], c.NumNeighboursForReassignment, c.BoxSize)
         to = moved.where("track_id <> new_track_id").select(F.col("query_id").alias("particle_id"), "track_id", "new_track_id")
         m = cut(m.join(to, ["particle_id", "track_id"], "left").withColumn("track_id", F.coalesce("new_track_id", "track_id")).drop("new_track_id"))
     work = m.select("track_id", "particle_id", *MOTION, "mass", "type", "u", "soft", "hz", "scale_factor", "box_size")
-    kept, verdict, mergers = _unbind_levels(work, shape.select("track_id", "parent", "depth"), c)
+    levels = shape.select("track_id", "parent", "depth")
+    if c.InclusiveMass:  # every track by itself, with all that it shares
+        levels = levels.withColumns({"parent": F.lit(None).cast("long"), "depth": F.lit(0)})
+    kept, verdict, mergers = _unbind_levels(work, levels, c)
     return _finish(every, kept, verdict, mergers, stored, shape, p, snap, c)
 
 
@@ -246,6 +251,8 @@ def _finish(every, kept, verdict, mergers, stored, shape, p, snap: Snapshot, c:
     living = t.where("n_bound > 0").select("track_id")
     w = Window.partitionBy("track_id").orderBy(F.col("bound").desc(), F.col("energy").asc_nulls_last(), F.col("particle_id"))
     m = cut(m.join(living, "track_id", "left_semi").withColumn("rank", (F.row_number().over(w) - 1).cast("long")))
+    if c.InclusiveMass:
+        m = cut(_purged(m, t))
     b = m.where("bound")
     first = b.groupBy("track_id").agg(
         F.min_by(F.struct(*MOTION), "rank").alias("c"), F.min_by("particle_id", F.when(ph.is_tracer("type", c.tracer_mask), F.col("rank")).otherwise(F.col("rank") + (1 << 40))).alias("_best")
@@ -307,6 +314,17 @@ def _finish(every, kept, verdict, mergers, stored, shape, p, snap: Snapshot, c:
     return State(t, cut(kept_members))
 
 
+def _purged(m: DataFrame, t: DataFrame) -> DataFrame:
+    """Members with the ranks of each track's most bound member and the one promoted instead of it exchanged."""
+    order = [F.col("m_bound").desc(), F.col("track_id").desc()]
+    places = rk.member_ranks(t.where("n_bound > 1").select("track_id", F.col("host_id").alias("_room"), "m_bound"), ["_room"], order)
+    shared = m.where("bound").join(places.select("track_id", "_room", "member_rank"), "track_id")
+    first = nest.promoted(shared, ["_room"]).select("track_id", F.col("particle_id").alias("_first"))
+    old = m.join(first, "track_id", "left").join(m.select("track_id", F.col("particle_id").alias("_first"), F.col("rank").alias("_rank")), ["track_id", "_first"], "left")
+    rank = F.when(F.col("particle_id") == F.col("_first"), 0).when((F.col("rank") == 0) & F.col("_rank").isNotNull(), F.col("_rank")).otherwise(F.col("rank"))
+    return old.withColumn("rank", rank.cast("long")).select(*m.columns)
+
+
 def run(spark: SparkSession, snapshots: list[Snapshot], c: Config, path: str, resume_from: State | None = None) -> State:
     """All snapshots in order; each step's catalogue and state are written under path, from where a run resumes."""
     state = resume_from or State.empty(spark)

@@ -61,6 +61,17 @@ def d2_clean(s: SparkSession, d: str) -> DataFrame:
     return out.groupBy(*KEYS).agg(F.count("*").alias("n_left"))
 
 
+def d4_promoted(s: SparkSession, d: str) -> DataFrame:
+    """The most bound member of every track that no less massive track of its group holds."""
+    from trackweave.operators.ranking import member_ranks
+
+    t = tracks(s, d, ["host_halo_id", "n_bound", "m_bound"]).where("n_bound > 1 AND host_halo_id >= 0")
+    mass = F.coalesce(F.when(~F.isnan("m_bound"), F.col("m_bound")), F.lit(-1.0))
+    placed = member_ranks(t, ["snapshot_id", "host_halo_id"], [mass.desc(), F.col("track_id").desc()])
+    m = members(s, d, ["rank", "bound"]).where("bound").join(placed.select(*KEYS, "host_halo_id", "member_rank"), KEYS)
+    return nest.promoted(m, ["snapshot_id", "host_halo_id"])
+
+
 def d5_pass_up(s: SparkSession, d: str) -> DataFrame:
     """Members of every track after unbound ones of nested tracks were handed to the parent."""
     t = _nests(s, d).select(*KEYS, F.when(F.col("parent") >= 0, F.col("parent")).alias("parent"))
@@ -270,7 +281,7 @@ def io14_catalogue(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        d1_mask, d2_clean, d5_pass_up, d10_fakes, d11_seeds, g1_depths, g2_parents, g3_level_up, g5_nest, g11_split_trees, g13_split_links,
+        d1_mask, d2_clean, d4_promoted, d5_pass_up, d10_fakes, d11_seeds, g1_depths, g2_parents, g3_level_up, g5_nest, g11_split_trees, g13_split_links,
         j7_with_splits, j10_neighbours, v4_reassign, j11_sphere, j11_shell, j11_cylinder, w8_nearest, j12_linked, j19_painted,
         a19_multipoles, a20_density, phys1_potential, phys2_energy, phys3_unbind, phys7_overlaps, io14_catalogue,
     )
@@ -322,6 +333,12 @@ ORACLES = {
       r AS (SELECT *, CASE WHEN tracer AND row_number() OVER (PARTITION BY snapshot_id, track_id, tracer ORDER BY rank, particle_id) <= 10 THEN 0 ELSE 1 END AS turn FROM m),
       k AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id, host_id, particle_id ORDER BY turn, CASE WHEN turn = 0 THEN depth ELSE 0 END, visit, track_id) AS k FROM r)
       SELECT snapshot_id, track_id, count(*) AS n_left FROM k WHERE k = 1 GROUP BY ALL""",
+    "d4_promoted": f"""{sql("subs", "mems")}, t AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id, host_halo_id
+        ORDER BY coalesce(CASE WHEN NOT isnan(m_bound) THEN m_bound END, -1) DESC, track_id DESC) AS place FROM subs WHERE n_bound > 1 AND host_halo_id >= 0),
+      m AS (SELECT t.snapshot_id, t.host_halo_id, t.track_id, x.particle_id, x.rank, t.place, max(t.place) OVER (PARTITION BY t.snapshot_id, t.host_halo_id, x.particle_id) AS least
+        FROM mems x JOIN t ON t.snapshot_id = x.snapshot_id AND t.track_id = x.track_id WHERE x.bound)
+      SELECT snapshot_id, host_halo_id, track_id, particle_id FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id, track_id ORDER BY rank, particle_id) AS k
+        FROM m WHERE place = least) WHERE k = 1""",
     "d5_pass_up": f"""{sql("subs", "mems")} SELECT m.snapshot_id, CASE WHEN t.nested_parent_track_id >= 0 AND NOT coalesce(m.bound, false) THEN t.nested_parent_track_id
       ELSE m.track_id END AS track_id, count(*) AS n_members FROM mems m LEFT JOIN subs t ON t.snapshot_id = m.snapshot_id AND t.track_id = m.track_id GROUP BY 1, 2""",
     "d10_fakes": f"""{sql("subs")} SELECT snapshot_id, count(*) FILTER (WHERE NOT (coalesce(n_bound, 0) <= 1 AND snapshot_of_birth IS NOT DISTINCT FROM snapshot_id)) AS n_kept,
