@@ -71,3 +71,13 @@ def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert pk.pack(none, [(1, 100)]).count() == 0
     assert pk.pack(spark.createDataFrame([(1, "a")], none.schema), []).count() == 0
+
+
+def test_repeated_rows_and_null_ids(spark):
+    docs = spark.createDataFrame([(1, "x" * 50), (1, "x" * 50), (None, "y" * 150), (2, "")], "doc_id long, text string")
+    got = pk.pack(docs, [(1, 100)]).collect()
+    assert sum(r["n_tokens"] for r in got) == 250 and len(got) == 5
+    fill = {}
+    for r in got:
+        fill[r["block"], r["window"]] = fill.get((r["block"], r["window"]), 0) + r["n_tokens"]
+    assert max(fill.values()) <= 100

@@ -101,3 +101,17 @@ def test_empty_and_wrong_limits(spark):
     assert sp.split(some, []).count() == 0
     with pytest.raises(ValueError):
         sp.split(some, [(1, 100, 90)])
+
+
+def test_very_long_texts_and_repeated_rows(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choice(["word ", "end. ", "line\n", "\n\n", "x" * 40]) for _ in range(300_000))
+    docs = spark.createDataFrame([(1, text), (1, text), (None, "z" * 500)], "doc_id long, text string")
+    limits = [(1, 1500, 120), (2, 6000, 500)]
+    rows = sp.pieces(sp.split(docs, limits), limits).where("doc_id = 1").select("limit_id", "piece_no", "start_token", "end_token").collect()
+    for limit, most, overlap in limits:
+        own = sorted((r["piece_no"], r["start_token"], r["end_token"]) for r in rows if r["limit_id"] == limit)
+        once = own[::2]
+        assert own[1::2] == once and once[0][1] == 0 and once[-1][2] == len(text)
+        assert all(e - s <= most for _, s, e in once) and all(a[2] - b[1] == overlap for a, b in zip(once, once[1:]))
+    assert sp.split(docs, [(1, 100, 10)]).where("doc_id IS NULL").count() == 1
