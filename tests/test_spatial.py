@@ -181,6 +181,18 @@ def test_unbinding(spark):
     assert whole == {1: 100, 2: 100, 3: 60}
 
 
+def test_refined_order(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(40, 3))
+    m = members(spark, {1: (x, np.zeros((40, 3)), np.ones(40))}).withColumns({"energy": F.col("particle_id").cast("double"), "dv2": F.lit(0.0)})
+    got = {r["particle_id"]: r["place"] for r in gr.refine_order(m, F.lit(10)).collect()}
+    assert sorted(got.values()) == list(range(40)) and all(got[i] == i for i in range(10, 40))
+    k = kernel(dist(x[:10], x[:10], 1e9), 0.028)
+    np.fill_diagonal(k, 0)
+    assert sorted(range(10), key=got.get) == np.argsort(k.sum(1)).tolist()
+    assert spark.range(1).select(gr.centre_sample(F.lit(50_000), 1000, 0.1)).first()[0] == 5000
+
+
 def test_profile_core_and_tensor(spark):
     rng = np.random.default_rng(11)
     x = (rng.normal(size=(500, 3)) * 0.02 + [0.0, 0.5, 0.99]) % 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import pi
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,19 @@ from trackweave.functions.geometry import Vec, col, norm2
 
 #: Gravity for 1e10 solar masses, Mpc and km/s; the softening kernel's extent in softenings.
 GRAVITY, KERNEL = 43.0071, 2.8
+#: Coefficients of u = r / h, from the constant upwards, of the spline potential for u below and above
+#: one half (the latter with 1 / (15 u) besides), and of the spline density below one half.
+INNER = (-2.8, 0.0, 16 / 3, 0.0, -9.6, 6.4)
+OUTER = (-3.2, 0.0, 32 / 3, -16.0, 9.6, -32 / 15)
+DENSITY = (8 / pi, 0.0, -48 / pi, 48 / pi)
+
+
+def polynomial(coefficients, u):
+    """A polynomial's value, of a Column or an array."""
+    out = coefficients[-1]
+    for c in reversed(coefficients[:-1]):
+        out = out * u + c
+    return out
 
 
 def gravity(mass_in_msunh: Column | str, length_in_mpch: Column | str, vel_in_kms: Column | str) -> Column:
@@ -50,8 +65,7 @@ def is_bound(energy: Column | str) -> Column:
 def potential_kernel(r: Column, h: Column) -> Column:
     """Potential of a unit mass at distance r for G = 1: a softened spline within h, a point mass beyond."""
     u = r / h
-    inner = -2.8 + u * u * (5.333333333333 + u * u * (6.4 * u - 9.6))
-    outer = -3.2 + 0.066666666667 / u + u * u * (10.666666666667 + u * (-16.0 + u * (9.6 - 2.133333333333 * u)))
+    inner, outer = polynomial(INNER, u), polynomial(OUTER, u) + 1 / (15 * u)
     return F.when(r >= h, -1 / r).when(u < 0.5, inner / h).otherwise(outer / h)
 
 
@@ -69,9 +83,9 @@ def phase_space_distance(dx2: Column, dv2: Column, sigma_r: Column, sigma_v: Col
 def sph_kernel(r: Column, h: Column) -> Column:
     """The cubic spline of unit mass with extent h."""
     u = r / h
-    near = 2.546479089470 + 15.278874536822 * (u - 1) * u * u
-    far = 5.092958178941 * (1 - u) * (1 - u) * (1 - u)
-    return F.when(u < 0.5, near).otherwise(far) / (h * h * h)
+    gap = 1 - u
+    far = F.lit(16 / pi) * gap * gap * gap
+    return F.when(u < 0.5, polynomial(DENSITY, u)).otherwise(far) / (h * h * h)
 
 
 def virial_density(factor: float, hz: Column | str, a: Column | str, g: Column | float = GRAVITY) -> Column:

@@ -26,11 +26,9 @@ TASK_ROWS = 8192
 def _kernel(r: np.ndarray, h: np.ndarray) -> np.ndarray:
     """The potential kernel of `physics.potential_kernel` on arrays."""
     u = r / h
-    u2 = u * u
     with np.errstate(divide="ignore", invalid="ignore"):
         far = -1.0 / r
-        inner = (-2.8 + u2 * (5.333333333333 + u2 * (6.4 * u - 9.6))) / h
-        outer = (-3.2 + 0.066666666667 / u + u2 * (10.666666666667 + u * (-16.0 + u * (9.6 - 2.133333333333 * u)))) / h
+        inner, outer = ph.polynomial(ph.INNER, u) / h, (ph.polynomial(ph.OUTER, u) + 1 / (15 * u)) / h
     return np.where(r >= h, far, np.where(u < 0.5, inner, outer))
 
 

@@ -196,7 +196,7 @@ orphans AS (
 _CHANGES = f"""
 WITH {_COUNTING},
 changes AS (
-  SELECT b.snapshot_id, coalesce(x.track_id, y.track_id) AS track_id,
+  SELECT b.snapshot_id::BIGINT AS snapshot_id, coalesce(x.track_id, y.track_id) AS track_id,
     CASE WHEN x.track_id IS NULL THEN 'added' WHEN y.track_id IS NULL THEN 'removed' ELSE 'changed' END AS change
   FROM (SELECT snapshot_index + 1 AS nxt, track_id, n_bound FROM counting
         WHERE snapshot_index < (SELECT max(snapshot_index) FROM snapshots)) x
