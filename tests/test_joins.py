@@ -145,6 +145,10 @@ def test_splits(spark):
     old = df(spark, [(1, 1, 1, 0b0), (2, 1, 1, 0b1)], trees)
     new = df(spark, [(1, 1, 2, 0b00), (2, 1, 1, 0b1), (3, 1, 2, 0b10), (4, 9, 2, 0b00)], trees)
     assert {tuple(r) for r in progenitors.split_descendants(old, new).collect()} == {(1, 3)}
+    long_ = "01" * 50  # too long for a number
+    texts = "particle_id long, root long, tree string"
+    got = progenitors.split_descendants(df(spark, [(1, 1, long_), (2, 1, "1")], texts), df(spark, [(1, 1, long_ + "0"), (3, 1, long_ + "1"), (4, 1, None), (5, 2, long_ + "1")], texts))
+    assert {tuple(r) for r in got.collect()} == {(1, 3)}
 
 
 def test_painted_positions(spark):

@@ -81,18 +81,20 @@ def with_splits(members: DataFrame, closure: DataFrame, keys: Sequence[str] = ("
 def split_descendants(old: DataFrame, new: DataFrame) -> DataFrame:
     """(particle_id, child): new particles that stem from an old one by their binary split trees.
 
-    Rows hold particle_id, root, count (bits used) and tree (the path as bits, lowest first). A child shares the root
-    and, in the lowest `count` bits of its parent, the path; it has split further or is another particle. Particles
-    of one root share a tree, whose number of splits bounds a join group.
+    Rows hold particle_id, root, count (bits used) and tree (the path as bits, lowest first). A tree may also be text of
+    0 and 1, the first split first, for paths longer than 63 bits; count is then its length and need not be given. A
+    child shares the root and the path of its parent and has split further. Particles of one root share a tree, whose
+    number of splits bounds a join group. Null roots and trees match nothing.
     """
-    o = old.select(F.col("particle_id").alias("parent"), "root", F.col("count").alias("_n"), F.col("tree").alias("_t"))
-    bits = F.expr("shiftleft(1L, cast(_n AS int)) - 1")
-    return (
-        new.join(o, "root")
-        .where((F.col("tree").bitwiseAND(bits) == F.col("_t").bitwiseAND(bits)) & (F.col("count") > F.col("_n")))
-        .where("particle_id <> parent")
-        .select(F.col("parent").alias("particle_id"), F.col("particle_id").alias("child"))
-    )
+    text = dict(new.dtypes)["tree"] == "string"
+    o = old.select(F.col("particle_id").alias("parent"), "root", F.col("tree").alias("_t"), *([] if text else [F.col("count").alias("_n")]))
+    if text:
+        below = F.col("tree").startswith(F.col("_t")) & (F.length("tree") > F.length("_t"))
+    else:
+        bits = F.expr("shiftleft(1L, cast(_n AS int)) - 1")
+        below = (F.col("tree").bitwiseAND(bits) == F.col("_t").bitwiseAND(bits)) & (F.col("count") > F.col("_n"))
+    kin = new.join(o, "root").where(below & (F.col("particle_id") != F.col("parent")))
+    return kin.select(F.col("parent").alias("particle_id"), F.col("particle_id").alias("child"))
 
 
 def match_tracks(a: DataFrame, b: DataFrame) -> DataFrame:
