@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
@@ -17,16 +18,24 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per application, wherever it was imported from."""
+    """Send this package to the executors' Python workers, once per application, wherever it was imported from.
+
+    The archive is written into the folder for checkpoints, which all machines share.
+    """
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
-    package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="trackweave-")) / "trackweave.zip"
-    with zipfile.ZipFile(archive, "w") as z:
+    ensure_checkpoint_dir(spark)
+    package, archive = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(str(archive))
+            z.write(f, str(f.relative_to(package.parent)))
+    path = f"{sc.getCheckpointDir()}/trackweave.zip"
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(sc._jsc.hadoopConfiguration()).create(where, True)
+    stream.write(bytearray(archive.getvalue()))
+    stream.close()
+    sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
 
 
