@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.functions import physics as ph
+
 
 def member_ranks(rows: DataFrame, by: Sequence[str], order: Sequence[Column], field: Column | None = None) -> DataFrame:
     """rows with `member_rank` from 0 in the given order within `by`; where `field` holds, 0 for all.
@@ -50,6 +52,26 @@ def global_positions(rows: DataFrame, order: str, weight: str | None = None) ->
     return out if weight else out.drop("offset")
 
 
+def positions_within(rows: DataFrame, by: Sequence[str], order: Sequence[Column], weight: str | None = None) -> DataFrame:
+    """rows with `position` (from 0) and, with a weight, `offset` within each group `by`, in the given unique order.
+
+    All groups are placed by one range partitioning, so a hot group is spread over many windows, also where its rows
+    tie in all but the last column of the order; then each group's first position and offset, one row, are subtracted.
+    Weights must not be negative; the columns of `by` must not be null. Orders are ascending, nulls first.
+    """
+    o = F.struct(*by, *[c.alias(f"o{i}") for i, c in enumerate(order)])
+    placed = global_positions(rows.withColumn("_o", o), "_o", weight).drop("_o")
+    first = placed.groupBy(*by).agg(F.min("position").alias("_p0"), *([F.min("offset").alias("_w0")] if weight else []))
+    out = placed.join(first, list(by)).withColumn("position", F.col("position") - F.col("_p0"))
+    return (out.withColumn("offset", F.col("offset") - F.col("_w0")).drop("_w0") if weight else out).drop("_p0")
+
+
+def energy_places(members: DataFrame, by: Sequence[str], energy: str = "binding_energy") -> DataFrame:
+    """members with `place` from 1 within their track: bound ones first, then by energy and particle."""
+    order = [~ph.is_bound(energy), F.col(energy).isNull(), F.col(energy), F.col("particle_id")]
+    return positions_within(members, by, order).withColumn("place", (F.col("position") + 1).cast("int")).drop("position")
+
+
 def running_peak(rows: DataFrame, key: str, index: str, value: str, carry: Sequence[str]) -> DataFrame:
     """rows with peak_<value> and peak_<carry>: the greatest value so far and the carried columns of the last row that
     attained it (W10). A window holds one row per snapshot of a key. Null and NaN values attain nothing."""

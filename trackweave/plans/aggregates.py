@@ -176,12 +176,18 @@ def w3_satellites(s: SparkSession, d: str) -> DataFrame:
 
 
 def w5_energy_order(s: SparkSession, d: str) -> DataFrame:
-    """Members of every track by energy, bound ones first: the first hundred places."""
+    """Members of every track by energy, bound ones first: the first hundred places, as its SQL has it; all of them are
+    in w5_all_places."""
     m = members(s, d)
     w = Window.partitionBy(*KEYS).orderBy(ph.is_bound("binding_energy").desc(), F.col("binding_energy").asc_nulls_last(), F.col("particle_id"))
     return m.withColumn("place", F.row_number().over(w)).where("place <= 100").select(*KEYS, "particle_id", "place")
 
 
+def w5_all_places(s: SparkSession, d: str) -> DataFrame:
+    """Every member of every track with its place by energy, bound ones first."""
+    return rk.energy_places(members(s, d, ["binding_energy"]), KEYS).select(*KEYS, "particle_id", "place")
+
+
 def w9_truncated(s: SparkSession, d: str) -> DataFrame:
     """Members that stay in every track's source."""
     t = tracks(s, d, ["n_bound"])
@@ -235,7 +241,7 @@ QUERIES = {
     for f in (
         a1_mean_motion, a3_types, a4_tracer_index, a5_tracers, a6_core, a7_kinematics, a8_profiles, a10_inertia, a12_host_counts,
         a13_track_counts, a14_imbalance, a15_mass_function, a16_cumulative, a17_merger_rate, a18_upscale, a22_sources, a24_satellites,
-        w1_member_ranks, w3_satellites, w5_energy_order, w9_truncated, w10_peaks, w10_isolation, w12_offsets, w13_new_ids,
+        w1_member_ranks, w3_satellites, w5_energy_order, w5_all_places, w9_truncated, w10_peaks, w10_isolation, w12_offsets, w13_new_ids,
         w14_most_massive, w15_nested_order,
     )
 }
@@ -327,6 +333,8 @@ ORACLES = {
       FROM subs WHERE host_halo_id >= 0""",
     "w5_energy_order": f"""{sql("mems")} SELECT snapshot_id, track_id, particle_id, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id, track_id
       ORDER BY coalesce(binding_energy < 0, false) DESC, binding_energy ASC NULLS LAST, particle_id) AS place FROM mems) WHERE place <= 100""",
+    "w5_all_places": f"""{sql("mems")} SELECT snapshot_id, track_id, particle_id, (row_number() OVER (PARTITION BY snapshot_id, track_id
+      ORDER BY coalesce(binding_energy < 0, false) DESC, binding_energy ASC NULLS LAST, particle_id))::INTEGER AS place FROM mems""",
     "w9_truncated": f"""{sql("mems", "subs")} SELECT m.snapshot_id, m.track_id, count(*) AS n_kept FROM mems m JOIN subs t
       ON t.snapshot_id = m.snapshot_id AND t.track_id = m.track_id WHERE m.rank < CASE WHEN t.n_bound <= 1 THEN t.n_bound ELSE floor(t.n_bound * 3.0) END GROUP BY ALL""",
     "w10_peaks": f"""{sql("subs")}, g AS (SELECT *, CASE WHEN NOT isnan(m_bound) THEN m_bound END AS mm FROM subs)
