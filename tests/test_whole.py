@@ -5,7 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from trackweave.functions import physics as ph
+from trackweave.operators import gravity as gr
 from trackweave.operators import ranking as rk
+from trackweave.plans import structures as st
 
 
 def test_every_member_gets_its_place_by_energy(spark):
@@ -21,3 +24,30 @@ def test_every_member_gets_its_place_by_energy(spark):
         own = sorted((not (x is not None and x < 0), x is None, x or 0.0, p) for k, p, x in rows if k == t)
         want |= {(t, p): i + 1 for i, (_, _, _, p) in enumerate(own)}
     assert got == want and max(got.values()) == 600
+
+
+def cloud(spark, n, seed=2):
+    """One track of n members in a large box, as groups of gravity."""
+    rng = np.random.default_rng(seed)
+    x, v, m = rng.normal(size=(n, 3)), rng.normal(size=(n, 3)), rng.random(n)
+    df = pd.DataFrame(
+        {"g": 7, "snapshot_id": 5, "track_id": 7, "particle_id": rng.permutation(n), "rank": np.arange(n), "x": x[:, 0], "y": x[:, 1], "z": x[:, 2],
+         "vx": v[:, 0], "vy": v[:, 1], "vz": v[:, 2], "mass": m, "type": 1, "u": 0.0, "soft": 0.01, "box_size": 1e9, "hz": 0.0, "scale_factor": 1.0}
+    )
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    phi = gr._kernel(d, 0.028) * m[None]
+    np.fill_diagonal(phi, 0)
+    mean = (v * m[:, None]).sum(axis=0) / m.sum()
+    phi = dict(zip(df.particle_id, phi.sum(axis=1)))
+    return spark.createDataFrame(df), phi, {p: 0.5 * w + ph.GRAVITY * phi[p] for p, w in zip(df.particle_id, ((v - mean) ** 2).sum(axis=1))}
+
+
+@pytest.mark.parametrize("rows", [8192, 500])
+def test_large_tracks_have_exact_potentials_and_energies(spark, monkeypatch, rows):
+    m, phi, energy = cloud(spark, 1300)
+    monkeypatch.setattr(gr, "TASK_ROWS", rows)  # 500: three parts and three blocks of sources
+    monkeypatch.setattr(st, "_selves", lambda s, d: m)
+    got = {r["particle_id"]: r["phi"] for r in st.phys1_potential(spark, "").collect()}
+    assert got.keys() == phi.keys() and all(got[p] == pytest.approx(phi[p], rel=1e-6) for p in phi)
+    got = {r["particle_id"]: r["energy"] for r in st.phys2_energy(spark, "").collect()}
+    assert got.keys() == energy.keys() and all(got[p] == pytest.approx(energy[p], abs=0.006) for p in energy)

@@ -1,9 +1,9 @@
 """Potentials and unbinding of tracks.
 
 A track's gravity sources are all of its bound members or, beyond `max_sources`, a sample of them in order of a hash
-of their ids, with masses scaled up per type; types in `keep_mask` come first. So a track has at most `max_sources`
-sources, which are sent to tasks of at most `TASK_ROWS` of its members: a hot track is spread over many tasks and no
-task holds a track, nor are pairs of members ever rows. Small tracks share tasks.
+of their ids, with masses scaled up per type; types in `keep_mask` come first. Tasks hold at most about `TASK_ROWS` of
+a track's members and as many of its sources: a hot track is spread over many tasks and no task holds a track, nor are
+pairs of members ever rows. Small tracks share tasks. `max_sources` 0 takes all members, whatever their number.
 """
 
 from __future__ import annotations
@@ -84,21 +84,29 @@ def potentials(members: DataFrame, max_sources: int = 1000, keep_mask: int = 0,
     """(g, particle_id, phi): softened specific potential of every member from its group's sources, for G = a = 1.
 
     members: g (long), particle_id, x, y, z, mass, type, soft (comoving softening) and box_size (null: not periodic).
-    A member adds nothing to its own potential. Groups of one member have 0.
+    A member adds nothing to its own potential. Groups of one member have 0. Where the sources aren't a sample of at
+    most TASK_ROWS, they are split into blocks of that size as well, whose parts of the potential are summed up.
     """
+    pieces = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / TASK_ROWS)).cast("int")
     sizes = members.groupBy("g").agg(F.count("*").alias("_n"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / TASK_ROWS)).cast("int")
-    plan = sizes.select("g", parts.alias("_parts"))
+    given = sources(members, max_sources, keep_mask, per_type) if source_rows is None else source_rows
+    few = source_rows is None and 0 < max_sources <= TASK_ROWS
+    if source_rows is not None:
+        sizes = sizes.join(given.groupBy("g").agg(F.count("*").alias("_s")), "g", "left").withColumn("_s", F.coalesce("_s", F.lit(0)))
+    blocks = F.lit(1) if few else pieces("_n" if source_rows is None else "_s")
+    plan = sizes.select("g", pieces("_n").alias("_parts"), blocks.alias("_blocks"))
     n_tasks = max(1, members.sparkSession.sparkContext.defaultParallelism * 4)
-    # a task: part k of a large group, or one of n_tasks bins of small groups
-    task = lambda k: F.when(F.col("_parts") > 1, F.xxhash64("g", k)).otherwise(F.pmod(F.xxhash64("g"), F.lit(n_tasks)))
-    left = members.join(plan, "g").withColumn("task", task(F.pmod(F.xxhash64("particle_id"), F.col("_parts")).cast("int")))
-    right = (sources(members, max_sources, keep_mask, per_type) if source_rows is None else source_rows).join(plan, "g")
-    right = right.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("task", task(F.col("_k")))
+    # a task: part k of a large group with block b of its sources, or one of n_tasks bins of small groups
+    task = lambda k, b: F.when((F.col("_parts") > 1) | (F.col("_blocks") > 1), F.xxhash64("g", k, b)).otherwise(F.pmod(F.xxhash64("g"), F.lit(n_tasks)))
+    piece = lambda n: F.pmod(F.xxhash64("particle_id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = members.join(plan, "g").withColumn("_b", F.lit(0) if few else each("_blocks")).withColumn("task", task(piece("_parts"), F.col("_b")))
+    right = given.join(plan, "g").withColumn("_k", each("_parts")).withColumn("task", task(F.col("_k"), piece("_blocks")))
     targets = left.select("task", "g", "particle_id", "x", "y", "z", "soft", "box_size")
     # new names, as both sides stem from the same rows
     pulls = right.select(*[F.col(c).alias(f"_{c}") for c in ("task", "g", "particle_id", "x", "y", "z", "mass")])
-    return targets.groupBy("task").cogroup(pulls.groupBy("_task")).applyInPandas(_sum_potentials, "g long, particle_id long, phi double")
+    phi = targets.groupBy("task").cogroup(pulls.groupBy("_task")).applyInPandas(_sum_potentials, "g long, particle_id long, phi double")
+    return phi if few else phi.groupBy("g", "particle_id").agg(F.sum("phi").alias("phi"))
 
 
 def energies(members: DataFrame, phi: DataFrame, frames: DataFrame, gravity: Column | float, thermal: bool = False) -> DataFrame:

@@ -235,7 +235,7 @@ def _selves(s: SparkSession, d: str) -> DataFrame:
 def phys1_potential(s: SparkSession, d: str) -> DataFrame:
     """Softened potential of every bound member from the members of its track."""
     m = _selves(s, d)
-    phi = gr.potentials(m, CONFIG.MaxSampleSizeOfPotentialEstimate, CONFIG.keep_mask)
+    phi = gr.potentials(m, 0)
     return phi.select((F.col("g") % nest.SHIFT).alias("track_id"), F.floor(F.col("g") / nest.SHIFT).cast("int").alias("snapshot_index"), "particle_id", F.round("phi", 6).alias("phi"))
 
 
@@ -243,16 +243,25 @@ def phys2_energy(s: SparkSession, d: str) -> DataFrame:
     """Binding energy of every bound member in the mean frame of its track."""
     m = _selves(s, d)
     frames = mean_motion(m, ["g"], "rank").where("mass > 0")
-    e = gr.energies(m, gr.potentials(m, CONFIG.MaxSampleSizeOfPotentialEstimate, CONFIG.keep_mask), frames, ph.GRAVITY)
+    e = gr.energies(m, gr.potentials(m, 0), frames, ph.GRAVITY)
     return e.select("snapshot_id", "track_id", "particle_id", F.round("energy", 2).alias("energy"))
 
 
-def phys3_unbind(s: SparkSession, d: str) -> DataFrame:
-    """Every track after iterative unbinding: bound members and mass, or disrupted."""
-    out = gr.unbind(_selves(s, d))[1]
+def _unbound(s: SparkSession, d: str, max_sources: int) -> DataFrame:
+    out = gr.unbind(_selves(s, d), max_sources=max_sources)[1]
     return out.select((F.col("g") % nest.SHIFT).alias("track_id"), F.floor(F.col("g") / nest.SHIFT).cast("int").alias("snapshot_index"), "n_bound", F.round("m_bound", 8).alias("m_bound"), "disrupted")
 
 
+def phys3_unbind(s: SparkSession, d: str) -> DataFrame:
+    """Every track after iterative unbinding by all of its members: bound members and mass, or disrupted."""
+    return _unbound(s, d, 0)
+
+
+def phys3_sampled(s: SparkSession, d: str) -> DataFrame:
+    """The same with potentials from a sample of the sources of tracks above its size (P5)."""
+    return _unbound(s, d, CONFIG.MaxSampleSizeOfPotentialEstimate)
+
+
 def phys7_overlaps(s: SparkSession, d: str) -> DataFrame:
     """Nested tracks that overlap their parent in phase space and so merge with it."""
     from trackweave.operators.aggregates import core
@@ -283,7 +292,7 @@ QUERIES = {
     for f in (
         d1_mask, d2_clean, d4_promoted, d5_pass_up, d10_fakes, d11_seeds, g1_depths, g2_parents, g3_level_up, g5_nest, g11_split_trees, g13_split_links,
         j7_with_splits, j10_neighbours, v4_reassign, j11_sphere, j11_shell, j11_cylinder, w8_nearest, j12_linked, j19_painted,
-        a19_multipoles, a20_density, phys1_potential, phys2_energy, phys3_unbind, phys7_overlaps, io14_catalogue,
+        a19_multipoles, a20_density, phys1_potential, phys2_energy, phys3_unbind, phys3_sampled, phys7_overlaps, io14_catalogue,
     )
 }
 
