@@ -1,10 +1,16 @@
 """Whole results where a cap, a sample or a subset would show."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from test_pipeline import ball
+
+from trackweave import pipeline as pl
+from trackweave.config import Config
 from trackweave.functions import physics as ph
 from trackweave.operators import gravity as gr
 from trackweave.operators import ranking as rk
@@ -51,3 +57,33 @@ def test_large_tracks_have_exact_potentials_and_energies(spark, monkeypatch, row
     assert got.keys() == phi.keys() and all(got[p] == pytest.approx(phi[p], rel=1e-6) for p in phi)
     got = {r["particle_id"]: r["energy"] for r in st.phys2_energy(spark, "").collect()}
     assert got.keys() == energy.keys() and all(got[p] == pytest.approx(energy[p], abs=0.006) for p in energy)
+
+
+def test_tracks_sink_into_the_deepest_ancestor_that_they_overlap(spark):
+    # 1 holds 2, 2 holds 3 and 5, 3 holds 4: 3 overlaps 1 only, 4 is an orphan at 3, 5 one that sank before
+    core = "snapshot_id long, track_id long, x double, y double, z double, vx double, vy double, vz double, sigma_r double, sigma_v double, n long"
+    cores = spark.createDataFrame([(0, 1, *[0.0] * 6, 1.0, 1.0, 20), (0, 2, 9.0, *[0.0] * 5, 1.0, 1.0, 20), (0, 3, 0.5, *[0.0] * 5, 1.0, 1.0, 20)], core)
+    rest = "snapshot_id long, track_id long, node long, snapshot_index int, _sunk int, comoving_most_bound_position array<double>, physical_most_bound_velocity array<double>"
+    t = spark.createDataFrame([(0, k, k, 4, 2 if k == 5 else None, [0.5, 0.0, 0.0], [0.0] * 3) for k in range(1, 6)], rest)
+    links = [(1, 2, 1), (2, 3, 1), (1, 3, 2), (3, 4, 1), (2, 4, 2), (1, 4, 3), (2, 5, 1), (1, 5, 2)]
+    pairs = spark.createDataFrame(links, "ancestor long, node long, distance long")
+    rows = st._sinks(cores, t, pairs, 100.0).collect()
+    assert sorted((r["track_id"], r["parent"]) for r in rows) == [(2, 1), (3, 1), (3, 2), (4, 1), (4, 2), (4, 3)]
+    assert {r["track_id"]: r["parent"] for r in rows if r["sinks"]} == {3: 1, 4: 3}
+
+
+@pytest.mark.parametrize("merge", [True, False])
+def test_the_pipeline_sinks_orphans_and_grandchildren(spark, merge):
+    rng = np.random.default_rng(6)
+    a = ball(60, (50, 50, 50), (0, 0, 0), 0, rng)
+    b = ball(40, (70, 70, 70), (0, 0, 0), 1000, rng)
+    c = ball(30, (50, 50, 50), (0, 0, 0), 2000, rng)  # nested below b, but lies in a
+    work = pd.concat([a.assign(track_id=1), b.assign(track_id=2), c.assign(track_id=3)]).assign(soft=0.01, hz=0.0, scale_factor=1.0, box_size=100.0)
+    work["type"] = work["type"].astype("int32")
+    nests = spark.createDataFrame([(1, None, 0), (2, 1, 1), (3, 2, 2), (4, 2, 2), (5, 2, 2)], "track_id long, parent long, depth int")
+    spot = lambda k, x, trapped: (k, x, x, x, 0.0, 0.0, 0.0, trapped)
+    places = spark.createDataFrame([spot(1, 50.0, False), spot(2, 70.0, False), spot(3, 50.0, False), spot(4, 70.0, False), spot(5, 70.0, True)], "track_id long, x double, y double, z double, vx double, vy double, vz double, trapped boolean")
+    out = pl._unbind_levels(spark.createDataFrame(work), nests, replace(Config(BoxSize=100.0, SofteningHalo=0.01), MergeTrappedSubhalos=merge), places)
+    assert sorted((r["track_id"], r["parent"], r["handed"]) for r in out[2].collect()) == [(3, 1, merge), (4, 2, merge)]
+    n = {r["track_id"]: r["count"] for r in out[0].where("bound").groupBy("track_id").count().collect()}
+    assert n == ({1: 90, 2: 40} if merge else {1: 60, 2: 40, 3: 30})

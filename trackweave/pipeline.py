@@ -22,6 +22,7 @@ from trackweave.operators import profiles as pr
 from trackweave.operators import ranking as rk
 from trackweave.operators import spatial as sp
 from trackweave.operators import votes
+from trackweave.operators.hierarchy import ancestor_pairs
 from trackweave.runtime import cut
 from trackweave.sources import catalogue_io as cio
 
@@ -94,11 +95,14 @@ def _visits(nests: DataFrame) -> DataFrame:
     return nests.join(found.withColumnRenamed("node", "track_id"), "track_id", "left")
 
 
-def _unbind_levels(members: DataFrame, nests: DataFrame, c: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _unbind_levels(members: DataFrame, nests: DataFrame, c: Config, places: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Unbind nests from the deepest level up (P6): (members with bound and energy, verdicts per track, mergers).
 
-    What a nested track loses goes to its parent, and so do tracks that overlap the parent in phase space, which is
-    then unbound once more (P8).
+    What a nested track loses goes to its parent. Every track not yet trapped is tested against each of its ancestors,
+    the deepest first, and sinks into the first one that it overlaps in phase space; with MergeTrappedSubhalos its
+    members go there, and the ancestor is unbound once more (P8). places: track_id, the position and velocity of the
+    most bound particle, which stand for tracks without members, and whether the track is `trapped` already.
+    mergers: (track_id, parent: the one sunk into, handed: whether the members went there).
     """
     depth = nests.agg(F.coalesce(F.max("depth"), F.lit(-1))).first()[0]
     up = nests.where("parent IS NOT NULL").select("track_id", "parent")
@@ -111,40 +115,46 @@ def _unbind_levels(members: DataFrame, nests: DataFrame, c: Config) -> tuple[Dat
         tracer_mask=c.tracer_mask, max_sources=c.MaxSampleSizeOfPotentialEstimate, keep_mask=c.keep_mask, thermal=c.ThermalEnergy,
         strip=not c.NoStripping,
     )
-    below: DataFrame | None = None  # bound members of the level below, that may merge
+    hands = c.MergeTrappedSubhalos and not c.NoStripping
+    above = cut(ancestor_pairs(nest.nest_tree(nests.withColumn("snapshot_index", F.lit(0)))).select(F.col("node").alias("track_id"), F.col("ancestor").alias("parent")))
+    loose: DataFrame | None = None  # where the deeper tracks are that may merge
     columns = members.columns
+    union = lambda xs: xs[0] if len(xs) == 1 else union([xs[0].unionByName(xs[1]), *xs[2:]])
     for level in range(int(depth), -1, -1):
         ids = nests.where(F.col("depth") == level).select("track_id")
         here = cut(pool.join(ids, "track_id", "left_semi"))
         rest = pool.join(ids, "track_id", "left_anti")
         if here.isEmpty():
             pool = rest
+            loose = _loose(loose, None, ids, places)
             continue
         kept, verdict = gr.unbind(here.withColumn("g", F.col("track_id")), **options)
         kept, verdict = cut(kept), cut(verdict)
-        if c.MergeTrappedSubhalos and not c.NoStripping and below is not None:
-            merged = _overlapping(kept, below, up, c)
+        if loose is not None:
+            merged = _overlapping(kept, loose, above, c).withColumn("handed", F.lit(hands))
             mergers.append(merged)
-            moved = below.join(merged, "track_id").select(*[F.col("parent").alias("track_id") if x == "track_id" else F.col(x) for x in columns])
-            again = merged.select(F.col("parent").alias("track_id")).distinct()
-            if not merged.isEmpty():  # the references that took tracks in, once more
-                twice = here.join(again, "track_id", "left_semi").unionByName(moved)
-                kept2, verdict2 = gr.unbind(twice.withColumn("g", F.col("track_id")), **options)
-                kept = cut(kept.join(again, "track_id", "left_anti").unionByName(kept2))
-                verdict = cut(verdict.join(again.withColumnRenamed("track_id", "g"), "g", "left_anti").unionByName(verdict2))
-                done = [x.join(merged.select("track_id"), "track_id", "left_anti") for x in done]
+            loose = loose.join(merged, "track_id", "left_anti")
+            if hands and done:
+                held = union(done).where("bound").select(*columns)
+                moved = cut(held.join(merged, "track_id").select(*[F.col("parent").alias("track_id") if x == "track_id" else F.col(x) for x in columns]))
+                again = moved.select("track_id").distinct()
+                if not moved.isEmpty():  # the references that took members in, once more
+                    twice = here.join(again, "track_id", "left_semi").unionByName(moved)
+                    kept2, verdict2 = gr.unbind(twice.withColumn("g", F.col("track_id")), **options)
+                    kept = cut(kept.join(again, "track_id", "left_anti").unionByName(kept2))
+                    verdict = cut(verdict.join(again.withColumnRenamed("track_id", "g"), "g", "left_anti").unionByName(verdict2))
+                    done = [x.join(merged.select("track_id"), "track_id", "left_anti") for x in done]
+        loose = _loose(loose, _core(kept.where("bound"), c, "energy"), ids, places)
         flows = kept.where("NOT bound").join(up, "track_id").select(*[F.col("parent").alias("track_id") if x == "track_id" else F.col(x) for x in columns])
         pool = cut(rest.unionByName(flows.select(*columns)))
         stays = kept.join(up.select("track_id", F.lit(True).alias("_up")), "track_id", "left").where("bound OR _up IS NULL").drop("_up")
         done.append(cut(stays))
         verdicts.append(verdict)
-        below = kept.where("bound").select(*columns)
     spark = members.sparkSession
     if not done:
         none = members.limit(0).withColumns({"bound": F.lit(False), "energy": F.lit(0.0)})
-        return none, spark.createDataFrame([], "g long, n_bound long, m_bound double, disrupted boolean, n_rounds int"), spark.createDataFrame([], "track_id long, parent long")
-    union = lambda xs: xs[0] if len(xs) == 1 else union([xs[0].unionByName(xs[1]), *xs[2:]])
-    merged = union(mergers) if mergers else spark.createDataFrame([], "track_id long, parent long")
+        return none, spark.createDataFrame([], "g long, n_bound long, m_bound double, disrupted boolean, n_rounds int"), spark.createDataFrame([], "track_id long, parent long, handed boolean")
+    merged = union(mergers) if mergers else spark.createDataFrame([], "track_id long, parent long, handed boolean")
     return union([x.select(*columns, "bound", "energy") for x in done]), union(verdicts), merged
 
 
@@ -156,12 +166,25 @@ def _core(bound: DataFrame, c: Config, order: str) -> DataFrame:
     return ag.core(ranked, ["track_id"], "order", "box_size")
 
 
-def _overlapping(kept: DataFrame, below: DataFrame, up: DataFrame, c: Config) -> DataFrame:
-    """(track_id, parent) of nested tracks within two spreads of their parent's core."""
+def _loose(deeper: DataFrame | None, cores: DataFrame | None, ids: DataFrame, places: DataFrame) -> DataFrame:
+    """(track_id, position, velocity) of the deeper tracks and those in ids that may merge: the core of those with bound
+    members, which are free again, or else the place of those not yet trapped."""
+    own = ids.join(places, "track_id", "left")
+    free = own.where("NOT coalesce(trapped, false)").select("track_id", *MOTION)
+    if cores is not None:
+        resolved = cores.join(ids, "track_id", "left_semi").select("track_id", *MOTION)
+        free = free.join(resolved, "track_id", "left_anti").unionByName(resolved)
+    return cut(free if deeper is None else deeper.unionByName(free))
+
+
+def _overlapping(kept: DataFrame, loose: DataFrame, above: DataFrame, c: Config) -> DataFrame:
+    """(track_id, parent) of the tracks in loose within two spreads of the core of an ancestor in kept.
+
+    above: (track_id, parent) of every track and each of its ancestors. The ancestors in kept are of one level.
+    """
     ref = _core(kept.where("bound"), c, "energy").where("n > 1")
     ref = ref.select(F.col("track_id").alias("parent"), *[F.col(x).alias(f"p{x}") for x in MOTION], "sigma_r", "sigma_v")
-    own = _core(below.withColumn("energy", F.lit(0.0)), c, "energy").select("track_id", *MOTION)
-    j = own.join(up, "track_id").join(ref, "parent")
+    j = loose.select("track_id", *MOTION).join(above, "track_id").join(ref, "parent")
     dx2 = g.distance2(g.vec(""), g.vec("p"), _box(c))
     near = ph.phase_space_distance(dx2, g.distance2(g.vec("v"), g.vec("pv")), F.col("sigma_r"), F.col("sigma_v")) < 2
     return cut(j.where(near).select("track_id", "parent"))
@@ -218,7 +241,10 @@ def step(state: State, snap: Snapshot, c: Config) -> State:
     levels = shape.select("track_id", "parent", "depth")
     if c.InclusiveMass:  # every track by itself, with all that it shares
         levels = levels.withColumns({"parent": F.lit(None).cast("long"), "depth": F.lit(0)})
-    kept, verdict, mergers = _unbind_levels(work, levels, c)
+    now = p.select(F.col("particle_id").alias("most_bound_particle_id"), F.struct(*MOTION).alias("_f"))
+    at = every.join(now, "most_bound_particle_id", "left")
+    places = cut(at.select("track_id", *[F.coalesce(F.col("_f")[x], F.col(x)).alias(x) for x in MOTION], (F.coalesce("sink", F.lit(-1)) != -1).alias("trapped")))
+    kept, verdict, mergers = _unbind_levels(work, levels, c, places)
     return _finish(every, kept, verdict, mergers, stored, shape, p, snap, c)
 
 
@@ -232,9 +258,9 @@ def _finish(every, kept, verdict, mergers, stored, shape, p, snap: Snapshot, c:
     """New ids, properties, milestones, ranks, descendants and the truncated source."""
     sid = F.lit(snap.id).cast("long")
     v = verdict.select(F.col("g").alias("track_id"), F.col("n_bound").alias("_n"), F.col("m_bound").alias("_m"))
-    gone = mergers.select("track_id", F.col("parent").alias("_into"))
+    gone = mergers.select("track_id", F.col("parent").alias("_into"), F.col("handed").alias("_handed"))
     t = every.join(v, "track_id", "left").join(gone, "track_id", "left")
-    n = F.when(F.col("_into").isNotNull(), 0).otherwise(F.coalesce("_n", F.lit(0))).cast("long")
+    n = F.when(F.col("_handed"), 0).otherwise(F.coalesce("_n", F.lit(0))).cast("long")
     t = t.withColumns({"n_bound": n, "m_bound": F.when(n > 0, F.col("_m")).otherwise(0.0)})
     t = cut(t.where((F.col("track_id") < NEW) | (F.col("n_bound") > 0)))  # never bound: not a track
     start = t.where(F.col("track_id") < NEW).agg(F.coalesce(F.max("track_id"), F.lit(-1))).first()[0] + 1
@@ -247,7 +273,7 @@ def _finish(every, kept, verdict, mergers, stored, shape, p, snap: Snapshot, c:
 
     t = renamed(renamed(t), "parent")
     t = renamed(t, "_into")
-    m = renamed(kept.join(mergers.select("track_id"), "track_id", "left_anti"))
+    m = renamed(kept.join(mergers.where("handed").select("track_id"), "track_id", "left_anti"))
     living = t.where("n_bound > 0").select("track_id")
     w = Window.partitionBy("track_id").orderBy(F.col("bound").desc(), F.col("energy").asc_nulls_last(), F.col("particle_id"))
     m = cut(m.join(living, "track_id", "left_semi").withColumn("rank", (F.row_number().over(w) - 1).cast("long")))
@@ -270,13 +296,15 @@ def _finish(every, kept, verdict, mergers, stored, shape, p, snap: Snapshot, c:
     heavier = alive & (F.col("m_bound") >= F.coalesce("last_max_mass", F.lit(0.0)))
     faster = alive & (F.col("_v") >= F.coalesce("last_max_vmax", F.lit(0.0)))
     where = F.coalesce(F.when(alive, F.col("c")), F.col("_f"))
+    lives = alive & F.col("_into").isNull()  # one that sinks without handing its members over keeps them, but counts as dead
+    new_sink = F.col("_into").isNotNull() & (alive | (F.col("sink") == -1))
     t = t.withColumns(
         {
-            "death": F.when(alive, -1).when(was_dead, F.col("death")).otherwise(sid),
-            "_died": ~alive & ~was_dead,
+            "death": F.when(lives, -1).when(was_dead & ~alive, F.col("death")).otherwise(sid),
+            "_died": ~lives & ~(was_dead & ~alive),
             "descendant_track_id": F.when(alive & was_dead, -1).otherwise(F.col("descendant_track_id")),
-            "sink_track_id": F.when(alive, -1).when((F.col("sink_track_id") == -1) & F.col("_into").isNotNull(), F.col("_into")).otherwise(F.col("sink_track_id")),
-            "sink": F.when(alive, -1).when((F.col("sink") == -1) & F.col("_into").isNotNull(), sid).otherwise(F.col("sink")),
+            "sink_track_id": F.when(new_sink, F.col("_into")).when(alive, -1).otherwise(F.col("sink_track_id")),
+            "sink": F.when(new_sink, sid).when(alive, -1).otherwise(F.col("sink")),
             "most_bound_particle_id": F.when(alive, F.col("_best")).otherwise(F.col("most_bound_particle_id")),
             "last_max_mass": F.when(heavier, F.col("m_bound")).otherwise(F.col("last_max_mass")),
             "at_max_mass": F.when(heavier, sid).otherwise(F.col("at_max_mass")),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackweave.config import Config
@@ -17,12 +17,13 @@ from trackweave.operators import progenitors as pg
 from trackweave.operators import spatial as sp
 from trackweave.operators.aggregates import mean_motion
 from trackweave.plans.aggregates import KEYS, TRACER, bound_members
-from trackweave.runtime import ensure_checkpoint_dir
+from trackweave.runtime import cut, ensure_checkpoint_dir
 from trackweave.sources import catalogue_io as cio
 from trackweave.sources.relations import groups, members, particles, snapshots, sql, tracks
 
 CONFIG = Config()
 LINK, RADIUS = 1.5, 4.0
+MOVES = ("x", "y", "z", "vx", "vy", "vz")
 
 
 def _box(s: SparkSession, d: str) -> float:
@@ -263,19 +264,32 @@ def phys3_sampled(s: SparkSession, d: str) -> DataFrame:
 
 
 def phys7_overlaps(s: SparkSession, d: str) -> DataFrame:
-    """Nested tracks that overlap their parent in phase space and so merge with it."""
+    """Every nested track not yet trapped beside each of its ancestors that has bound members (`parent`, so many levels
+    up), and whether it sinks into it: into the deepest one that it overlaps in phase space (P7, P8)."""
     from trackweave.operators.aggregates import core
+    from trackweave.operators.hierarchy import ancestor_pairs
     from trackweave.operators.votes import first_tracers
 
     best = first_tracers(bound_members(s, d), KEYS, CONFIG.SubCoreSizeMin, TRACER())
-    c = core(best, KEYS, "order")
-    t = _nests(s, d).where("parent >= 0").select(*KEYS, "parent")
-    ref = c.select("snapshot_id", F.col("track_id").alias("parent"), *[F.col(x).alias(f"p{x}") for x in ("x", "y", "z", "vx", "vy", "vz")], "sigma_r", "sigma_v", F.col("n").alias("n_parent"))
-    j = t.join(c.drop("sigma_r", "sigma_v", "n"), KEYS).join(ref, ["snapshot_id", "parent"]).where("n_parent > 1")
-    box = _box(s, d)
-    dx2 = g.distance2(g.vec(""), g.vec("p"), box)
-    dist = ph.phase_space_distance(dx2, g.distance2(g.vec("v"), g.vec("pv")), F.col("sigma_r"), F.col("sigma_v"))
-    return j.select(*KEYS, "parent", F.round(dist, 4).alias("distance"), F.coalesce(dist < 2, F.lit(False)).alias("sinks"))
+    times = snapshots(s, d).select(F.col("snapshot_id").alias("snapshot_of_sink"), F.col("snapshot_index").alias("_sunk"))
+    t = tracks(s, d, ["snapshot_of_sink", "comoving_most_bound_position", "physical_most_bound_velocity"])
+    t = t.join(F.broadcast(times), "snapshot_of_sink", "left").withColumn("node", nest.node())
+    return _sinks(core(best, KEYS, "order"), t, ancestor_pairs(nest.nest_tree(_nests(s, d))), _box(s, d))
+
+
+def _sinks(cores: DataFrame, t: DataFrame, pairs: DataFrame, box: float) -> DataFrame:
+    """Rows of phys7_overlaps. t: node, keys, snapshot_index, _sunk (index of the sink, null for none) and the place of the
+    most bound particle, which stands for a track without bound members."""
+    at = {x: F.get("comoving_most_bound_position" if x in "xyz" else "physical_most_bound_velocity", F.lit(i % 3)) for i, x in enumerate(MOVES)}
+    c = cut(t.join(cores, KEYS, "left").withColumns({x: F.when(F.col("n") > 0, F.col(x)).otherwise(e) for x, e in at.items()}))
+    own = c.where("n > 1 OR _sunk IS NULL OR _sunk >= snapshot_index").select("node", *KEYS, *MOVES)  # a resolved track is free again
+    ref = c.where("n > 1").select(F.col("node").alias("ancestor"), F.col("track_id").alias("parent"), *[F.col(x).alias(f"p{x}") for x in MOVES], "sigma_r", "sigma_v")
+    j = own.join(pairs, "node").join(ref, "ancestor")
+    dist = ph.phase_space_distance(g.distance2(g.vec(""), g.vec("p"), box), g.distance2(g.vec("v"), g.vec("pv")), F.col("sigma_r"), F.col("sigma_v"))
+    near = j.select(*KEYS, "parent", F.col("distance").alias("levels"), dist.alias("distance")).withColumn("_near", F.coalesce(F.col("distance") < 2, F.lit(False)))
+    first = F.min(F.when(F.col("_near"), F.col("levels"))).over(Window.partitionBy(*KEYS))  # a row per level
+    sinks = F.coalesce(F.col("_near") & (F.col("levels") == first), F.lit(False))
+    return near.select(*KEYS, "parent", "levels", F.round("distance", 4).alias("distance"), sinks.alias("sinks"))
 
 
 def io14_catalogue(s: SparkSession, d: str) -> DataFrame:
