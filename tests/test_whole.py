@@ -87,3 +87,16 @@ def test_the_pipeline_sinks_orphans_and_grandchildren(spark, merge):
     assert sorted((r["track_id"], r["parent"], r["handed"]) for r in out[2].collect()) == [(3, 1, merge), (4, 2, merge)]
     n = {r["track_id"]: r["count"] for r in out[0].where("bound").groupBy("track_id").count().collect()}
     assert n == ({1: 90, 2: 40} if merge else {1: 60, 2: 40, 3: 30})
+
+
+def test_positions_and_offsets_start_anew_in_every_group(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, int(k), int(w)) for s in (4, 5, 9) for k, w in zip(rng.permutation(50 * (s - 3)), rng.integers(0, 9, 50 * (s - 3)))]
+    df = spark.createDataFrame(rows, "s long, k long, w long").repartition(5)
+    got = {(r["s"], r["k"]): (r["position"], r["offset"]) for r in rk.positions_within(df, ["s"], [F.col("k")], "w").collect()}
+    want = {}
+    for s in (4, 5, 9):
+        at = 0
+        for i, (k, w) in enumerate(sorted((k, w) for t, k, w in rows if t == s)):
+            want[s, k], at = (i, at), at + w
+    assert got == want

@@ -122,13 +122,20 @@ def a15_mass_function(s: SparkSession, d: str) -> DataFrame:
 
 
 def a16_cumulative(s: SparkSession, d: str) -> DataFrame:
-    """N(>= m) over all tracks of the last snapshot, by a distributed global rank."""
+    """N(>= m) over all tracks of the last snapshot, by a distributed global rank; of all snapshots: a16_all_cumulative."""
     top = snapshots(s, d).agg(F.max("snapshot_index")).first()[0]
     t = tracks(s, d, ["m_bound"]).where(F.col("snapshot_index") == top).where("m_bound > 0 AND NOT isnan(m_bound)")
     ordered = t.select("track_id", "m_bound", F.struct((-F.col("m_bound")).alias("m"), "track_id").alias("o"))
     return rk.global_positions(ordered, "o").select("track_id", "m_bound", (F.col("position") + 1).alias("n_above"))
 
 
+def a16_all_cumulative(s: SparkSession, d: str) -> DataFrame:
+    """N(>= m) over the tracks of every snapshot."""
+    t = tracks(s, d, ["m_bound"]).where("m_bound > 0 AND NOT isnan(m_bound)").select(*KEYS, "m_bound")
+    placed = rk.positions_within(t, ["snapshot_id"], [-F.col("m_bound"), F.col("track_id")])
+    return placed.select(*KEYS, "m_bound", (F.col("position") + 1).alias("n_above"))
+
+
 def a17_merger_rate(s: SparkSession, d: str) -> DataFrame:
     """Deaths per snapshot, sunk and disrupted."""
     t = tracks(s, d, ["snapshot_of_death", "snapshot_of_sink"])
@@ -209,12 +216,25 @@ def w10_isolation(s: SparkSession, d: str) -> DataFrame:
 
 
 def w12_offsets(s: SparkSession, d: str) -> DataFrame:
-    """Where every track's particles start in the sorted catalogue of the last snapshot (also IO19, W4)."""
+    """Where every track's particles start in the sorted catalogue of the last snapshot (also W4); of all snapshots:
+    w12_all_offsets, and the particles themselves: w12_member_offsets."""
     top = snapshots(s, d).agg(F.max("snapshot_index")).first()[0]
     t = tracks(s, d, ["n_bound"]).where(F.col("snapshot_index") == top).select("track_id", F.coalesce("n_bound", F.lit(0)).alias("n_bound"))
     return rk.global_positions(t, "track_id", "n_bound").select("track_id", "n_bound", "position", "offset")
 
 
+def w12_all_offsets(s: SparkSession, d: str) -> DataFrame:
+    """Where every track's particles start in the sorted catalogue of its snapshot."""
+    t = tracks(s, d, ["n_bound"]).select(*KEYS, F.coalesce("n_bound", F.lit(0)).alias("n_bound"))
+    return rk.positions_within(t, ["snapshot_id"], [F.col("track_id")], "n_bound").select(*KEYS, "n_bound", "position", "offset")
+
+
+def w12_member_offsets(s: SparkSession, d: str) -> DataFrame:
+    """Every bound member with its offset in its snapshot's particles, sorted by track and rank of binding (IO19)."""
+    m = members(s, d, ["bound", "rank"]).where("bound")
+    return rk.positions_within(m, ["snapshot_id"], [F.col("track_id"), F.col("rank").isNull(), F.col("rank"), F.col("particle_id")]).select(*KEYS, "particle_id", F.col("position").alias("offset"))
+
+
 def w13_new_ids(s: SparkSession, d: str) -> DataFrame:
     """Dense ids for new tracks of the groups without any, in order of snapshot and group, after the existing ones."""
     t = tracks(s, d, ["host_halo_id"])
@@ -240,8 +260,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         a1_mean_motion, a3_types, a4_tracer_index, a5_tracers, a6_core, a7_kinematics, a8_profiles, a10_inertia, a12_host_counts,
-        a13_track_counts, a14_imbalance, a15_mass_function, a16_cumulative, a17_merger_rate, a18_upscale, a22_sources, a24_satellites,
-        w1_member_ranks, w3_satellites, w5_energy_order, w5_all_places, w9_truncated, w10_peaks, w10_isolation, w12_offsets, w13_new_ids,
+        a13_track_counts, a14_imbalance, a15_mass_function, a16_cumulative, a16_all_cumulative, a17_merger_rate, a18_upscale, a22_sources, a24_satellites,
+        w1_member_ranks, w3_satellites, w5_energy_order, w5_all_places, w9_truncated, w10_peaks, w10_isolation, w12_offsets, w12_all_offsets, w12_member_offsets, w13_new_ids,
         w14_most_massive, w15_nested_order,
     )
 }
@@ -315,6 +335,8 @@ ORACLES = {
       GROUP BY ALL""",
     "a16_cumulative": f"""{sql("subs")} SELECT track_id, m_bound, row_number() OVER (ORDER BY m_bound DESC, track_id) AS n_above FROM subs
       WHERE {_TOP} AND m_bound > 0 AND NOT isnan(m_bound)""",
+    "a16_all_cumulative": f"""{sql("subs")} SELECT snapshot_id, track_id, m_bound, row_number() OVER (PARTITION BY snapshot_id ORDER BY m_bound DESC, track_id) AS n_above
+      FROM subs WHERE m_bound > 0 AND NOT isnan(m_bound)""",
     "a17_merger_rate": f"""{sql("subs")}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY snapshot_index DESC) AS k FROM subs) WHERE k = 1)
       SELECT snapshot_of_death, count(*) FILTER (WHERE coalesce(snapshot_of_sink, -1) = snapshot_of_death) AS n_sunk,
         count(*) FILTER (WHERE coalesce(snapshot_of_sink, -1) <> snapshot_of_death) AS n_disrupted FROM l WHERE snapshot_of_death >= 0 GROUP BY ALL""",
@@ -349,6 +371,10 @@ ORACLES = {
       SELECT u.snapshot_id, u.track_id, coalesce(s.snapshot_id, -1)::BIGINT AS last_isolation FROM u LEFT JOIN snapshots s ON s.snapshot_index = u.i""",
     "w12_offsets": f"""{sql("subs")} SELECT track_id, coalesce(n_bound, 0) AS n_bound, row_number() OVER (ORDER BY track_id) - 1 AS position,
       (coalesce(sum(coalesce(n_bound, 0)) OVER (ORDER BY track_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset" FROM subs WHERE {_TOP}""",
+    "w12_all_offsets": f"""{sql("subs")} SELECT snapshot_id, track_id, coalesce(n_bound, 0) AS n_bound, row_number() OVER (PARTITION BY snapshot_id ORDER BY track_id) - 1 AS position,
+      (coalesce(sum(coalesce(n_bound, 0)) OVER (PARTITION BY snapshot_id ORDER BY track_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset" FROM subs""",
+    "w12_member_offsets": f"""{sql("mems")} SELECT snapshot_id, track_id, particle_id, row_number() OVER (PARTITION BY snapshot_id
+      ORDER BY track_id, rank ASC NULLS LAST, particle_id) - 1 AS "offset" FROM mems WHERE bound""",
     "w13_new_ids": f"""{sql("subs", "fofs")} SELECT snapshot_id, halo_id AS host_halo_id, (SELECT max(track_id) FROM subs) + row_number() OVER (ORDER BY snapshot_id, halo_id) AS track_id
       FROM fofs f WHERE NOT EXISTS (SELECT 1 FROM subs t WHERE t.snapshot_id = f.snapshot_id AND t.host_halo_id = f.halo_id)""",
     "w14_most_massive": f"""{sql("subs")} SELECT snapshot_id, track_id, m_bound FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY m_bound DESC, track_id) AS k
