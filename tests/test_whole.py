@@ -14,6 +14,7 @@ from trackweave.config import Config
 from trackweave.functions import physics as ph
 from trackweave.operators import gravity as gr
 from trackweave.operators import ranking as rk
+from trackweave.plans import joins as jn
 from trackweave.plans import structures as st
 
 
@@ -100,3 +101,13 @@ def test_positions_and_offsets_start_anew_in_every_group(spark):
         for i, (k, w) in enumerate(sorted((k, w) for t, k, w in rows if t == s)):
             want[s, k], at = (i, at), at + w
     assert got == want
+
+
+def test_orphans_vote_and_every_track_has_a_host(spark, monkeypatch):
+    snaps = spark.createDataFrame([(10, 0), (11, 1)], "snapshot_id long, snapshot_index int")
+    t = spark.createDataFrame([(10, 0, 1, 20, 100), (10, 0, 2, 0, 200), (10, 0, 3, 0, 300), (11, 1, 1, 20, 100)], "snapshot_id long, snapshot_index int, track_id long, n_bound long, most_bound_particle_id long")
+    p = spark.createDataFrame([(1, 100, 7), (1, 200, 8)], "snapshot_index int, particle_id long, host_id long")
+    voted = spark.createDataFrame([(1, 1, 7, 1.0)], "snapshot_index int, track_id long, host_id long, score double")
+    for name, df in (("snapshots", snaps), ("tracks", t), ("particles", p), ("v1_hosts", voted)):
+        monkeypatch.setattr(jn, name, lambda s, d, columns=None, df=df: df)
+    assert sorted(map(tuple, jn.v1_all_hosts(spark, "").collect())) == [(1, 1, 7, 1.0), (1, 2, 8, None), (1, 3, -1, None)]

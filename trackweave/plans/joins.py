@@ -129,12 +129,25 @@ def j21_edges(s: SparkSession, d: str) -> DataFrame:
 
 
 def v1_hosts(s: SparkSession, d: str) -> DataFrame:
-    """The host of every track in the next snapshot, voted by its ten most bound tracers."""
+    """The host in the next snapshot of every track with bound tracers there, voted by the ten most bound ones; of all
+    tracks: v1_all_hosts."""
     m = _carried(s, d, ["host_id", "type"]).where("bound")
     best = votes.first_tracers(m, ["snapshot_index", "track_id"], CONFIG.NumTracerHostFinding, TRACER(), spill=False)
     return votes.weighted_host(best, ["snapshot_index", "track_id"])
 
 
+def v1_all_hosts(s: SparkSession, d: str) -> DataFrame:
+    """The host of every track in the next snapshot: voted by its ten most bound tracers, or that of the particle an
+    orphan follows (no score), or -1."""
+    by = ["snapshot_index", "track_id"]
+    t = tracks(s, d, ["n_bound", "most_bound_particle_id"])
+    t = t.withColumn("snapshot_index", F.col("snapshot_index") + 1).join(F.broadcast(snapshots(s, d).select("snapshot_index")), "snapshot_index")
+    p = particles(s, d, ["host_id"]).select("snapshot_index", F.col("particle_id").alias("most_bound_particle_id"), F.col("host_id").alias("_followed"))
+    followed = t.where("n_bound <= 1").join(p, ["snapshot_index", "most_bound_particle_id"]).select(*by, "_followed")
+    j = t.select(*by).join(v1_hosts(s, d), by, "left").join(followed, by, "left")
+    return j.select(*by, F.coalesce("host_id", "_followed", F.lit(-1)).alias("host_id"), "score")
+
+
 def v2_descendants(s: SparkSession, d: str) -> DataFrame:
     """The track that holds most of every track's ten best tracers in the next snapshot."""
     m = _members_here(s, d, ["type"]).where("bound")
@@ -184,8 +197,16 @@ def k3_orphan_ids(s: SparkSession, d: str) -> DataFrame:
 
 
 def k4_rederived_hosts(s: SparkSession, d: str) -> DataFrame:
-    """Per snapshot: tracks whose catalogued host is not the one voted by their tracers."""
-    voted = v1_hosts(s, d)
+    """Per snapshot: tracks whose catalogued host is not the one voted by their tracers; with orphans: k4_all_hosts."""
+    return _rederived(s, d, v1_hosts(s, d))
+
+
+def k4_all_hosts(s: SparkSession, d: str) -> DataFrame:
+    """The same over all tracks that were there one snapshot before, orphans and tracks without a candidate as well."""
+    return _rederived(s, d, v1_all_hosts(s, d))
+
+
+def _rederived(s: SparkSession, d: str, voted: DataFrame) -> DataFrame:
     t = tracks(s, d, ["host_halo_id"]).select("snapshot_index", "track_id", F.coalesce("host_halo_id", F.lit(-1)).alias("h"))
     j = t.join(voted, ["snapshot_index", "track_id"])
     return j.groupBy("snapshot_index").agg(F.count("*").alias("n"), F.count_if(F.col("h") != F.col("host_id")).alias("n_wrong"))
@@ -259,8 +280,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         j1_lookup, j4_matches, j6_most_bound_positions, j8_properties, j9_group_info, j13_duplicates, j14_exclusive, j15_next_snapshot,
-        j16_match, j17_as_of, j18_evolution, j21_edges, v1_hosts, v2_descendants, v3_centrals, k1_shared_particles, k2_interhost,
-        k3_orphan_ids, k4_rederived_hosts, k5_orphan_hosts, k6_same_orphans, k7_rederived_descendants, k8_sums,
+        j16_match, j17_as_of, j18_evolution, j21_edges, v1_hosts, v1_all_hosts, v2_descendants, v3_centrals, k1_shared_particles, k2_interhost,
+        k3_orphan_ids, k4_rederived_hosts, k4_all_hosts, k5_orphan_hosts, k6_same_orphans, k7_rederived_descendants, k8_sums,
         g7_progenitors, g9_all_progenitors, g10_mass_ratios,
     )
 }
@@ -272,6 +293,11 @@ _V1 = f"""{sql("mems", "parts", "subs")},
   best AS (SELECT *, row_number() OVER (PARTITION BY snapshot_index, track_id ORDER BY rank, particle_id) - 1 AS r FROM carried),
   scores AS (SELECT snapshot_index, track_id, host_id, round(sum(1 / (1 + sqrt(r))), 9) AS score FROM best WHERE r < 10 GROUP BY ALL),
   voted AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_index, track_id ORDER BY score DESC, host_id) AS k FROM scores) WHERE k = 1)"""
+_V1_ALL = f"""{_V1},
+  every AS (SELECT t.snapshot_index + 1 AS snapshot_index, t.track_id, coalesce(v.host_id, p.host_id, -1) AS host_id, v.score FROM subs t
+    JOIN snapshots n ON n.snapshot_index = t.snapshot_index + 1
+    LEFT JOIN voted v ON v.snapshot_index = t.snapshot_index + 1 AND v.track_id = t.track_id
+    LEFT JOIN parts p ON p.snapshot_index = t.snapshot_index + 1 AND p.particle_id = t.most_bound_particle_id AND t.n_bound <= 1)"""
 _V2 = f"""{sql("mems", "parts", "subs")},
   held AS (SELECT p.snapshot_index, m.track_id, m.rank, m.particle_id, coalesce(p.type IN (1, 4), false) AS tracer FROM mems m
     JOIN parts p ON p.snapshot_id = m.snapshot_id AND p.particle_id = m.particle_id WHERE m.bound),
@@ -325,6 +351,7 @@ ORACLES = {
     "j21_edges": f"""{sql("subs")} SELECT c.snapshot_id, c.track_id, c.nested_parent_track_id, c.depth, c.n_bound, p.depth AS parent_depth, p.n_bound AS parent_n_bound
       FROM subs c JOIN subs p ON p.snapshot_id = c.snapshot_id AND p.track_id = c.nested_parent_track_id WHERE c.nested_parent_track_id >= 0""",
     "v1_hosts": f"{_V1} SELECT snapshot_index, track_id, host_id, score FROM voted",
+    "v1_all_hosts": f"{_V1_ALL} SELECT snapshot_index, track_id, host_id, score FROM every",
     "v2_descendants": f"{_V2} SELECT snapshot_index, track_id, descendant, n_matches FROM voted",
     "v3_centrals": f"""{sql("subs", "fofs")}, j AS (SELECT t.*, s.hz * s.scale_factor AS ha, s.box_size AS l, f.vx AS fvx, f.vy AS fvy, f.vz AS fvz,
         t.comoving_average_position[1] - f.x AS dx, t.comoving_average_position[2] - f.y AS dy, t.comoving_average_position[3] - f.z AS dz
@@ -349,6 +376,8 @@ ORACLES = {
       WHERE a.n_bound = 0 AND b.n_bound = 0 AND coalesce(b.snapshot_of_sink, -1) <> b.snapshot_id GROUP BY b.snapshot_id""",
     "k4_rederived_hosts": f"""{_V1} SELECT v.snapshot_index, count(*) AS n, count(*) FILTER (WHERE coalesce(t.host_halo_id, -1) <> v.host_id) AS n_wrong
       FROM voted v JOIN subs t ON t.snapshot_index = v.snapshot_index AND t.track_id = v.track_id GROUP BY v.snapshot_index""",
+    "k4_all_hosts": f"""{_V1_ALL} SELECT v.snapshot_index, count(*) AS n, count(*) FILTER (WHERE coalesce(t.host_halo_id, -1) <> v.host_id) AS n_wrong
+      FROM every v JOIN subs t ON t.snapshot_index = v.snapshot_index AND t.track_id = v.track_id GROUP BY v.snapshot_index""",
     "k5_orphan_hosts": f"""{sql("subs", "parts")} SELECT t.snapshot_id, count(*) AS n, count(*) FILTER (WHERE coalesce(t.host_halo_id, -1) <> p.host_id) AS n_wrong_host,
       count(*) FILTER (WHERE p.type NOT IN (1, 4)) AS n_wrong_type FROM subs t JOIN parts p ON p.snapshot_id = t.snapshot_id
       AND p.particle_id = t.most_bound_particle_id WHERE t.n_bound = 0 GROUP BY t.snapshot_id""",

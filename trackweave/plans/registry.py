@@ -6,6 +6,6 @@ from trackweave.plans import aggregates, joins, problems, scalars, streams, stru
 
 _PARTS = [problems, scalars, joins, aggregates, structures, streams]
 
-FLAGSHIP = "v1_hosts"
+FLAGSHIP = "v1_all_hosts"
 QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
