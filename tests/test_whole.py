@@ -111,3 +111,17 @@ def test_orphans_vote_and_every_track_has_a_host(spark, monkeypatch):
     for name, df in (("snapshots", snaps), ("tracks", t), ("particles", p), ("v1_hosts", voted)):
         monkeypatch.setattr(jn, name, lambda s, d, columns=None, df=df: df)
     assert sorted(map(tuple, jn.v1_all_hosts(spark, "").collect())) == [(1, 1, 7, 1.0), (1, 2, 8, None), (1, 3, -1, None)]
+
+
+def test_the_pipeline_refines_the_innermost_members(spark):
+    m, _, _ = cloud(spark, 80)
+    by_id = m.toPandas().sort_values("particle_id")
+    c = Config(BoxSize=1e9, SofteningHalo=0.01, MaxSampleSizeOfPotentialEstimate=20, BoundFractionCenterRefinement=0.5)
+    rows = m.withColumns({"bound": F.lit(True), "potential_energy": F.col("particle_id") - 1e6, "rank": F.col("particle_id").cast("long")})
+    rows = rows.withColumn("energy", F.col("potential_energy"))  # no kinetic part
+    got = {r["particle_id"]: r["rank"] for r in pl._refined(rows, c).collect()}
+    x, w = by_id[["x", "y", "z"]].to_numpy()[:40], by_id.mass.to_numpy()[:40]
+    phi = gr._kernel(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), 0.028) * w[None]
+    np.fill_diagonal(phi, 0)
+    assert sorted(range(40), key=got.get) == np.argsort(phi.sum(axis=1)).tolist()
+    assert all(got[i] == i for i in range(40, 80))

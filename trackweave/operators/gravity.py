@@ -207,6 +207,14 @@ def centre_sample(n_bound: Column, max_sources: int, fraction: float) -> Column:
     return F.greatest(F.lit(max_sources), F.floor(n_bound * fraction))
 
 
+def refined(bound: DataFrame, max_sources: int, fraction: float, gravity: float = ph.GRAVITY) -> DataFrame:
+    """(g, particle_id, place) of the bound members of groups above max_sources, whose energies come from a sample, the
+    innermost reordered by their own potential (W6). bound: members with energy and potential_energy, as of `unbind`."""
+    sizes = bound.groupBy("g").agg(F.count("*").alias("_n")).where(F.col("_n") > max_sources)
+    big = bound.join(sizes, "g").withColumn("dv2", (F.col("energy") - F.col("potential_energy")) * 2 * F.col("scale_factor") / gravity)
+    return refine_order(big, centre_sample(F.col("_n"), max_sources, fraction))
+
+
 def overlaps(a: Sequence[str], b: Sequence[str]) -> Column:
     """Whether object b lies within 2 units of phase-space distance of the reference a.
 

@@ -152,10 +152,10 @@ def _unbind_levels(members: DataFrame, nests: DataFrame, c: Config, places: Data
         verdicts.append(verdict)
     spark = members.sparkSession
     if not done:
-        none = members.limit(0).withColumns({"bound": F.lit(False), "energy": F.lit(0.0)})
+        none = members.limit(0).withColumns({"bound": F.lit(False), "energy": F.lit(0.0), "potential_energy": F.lit(0.0)})
         return none, spark.createDataFrame([], "g long, n_bound long, m_bound double, disrupted boolean, n_rounds int"), spark.createDataFrame([], "track_id long, parent long, handed boolean")
     merged = union(mergers) if mergers else spark.createDataFrame([], "track_id long, parent long, handed boolean")
-    return union([x.select(*columns, "bound", "energy") for x in done]), union(verdicts), merged
+    return union([x.select(*columns, "bound", "energy", "potential_energy") for x in done]), union(verdicts), merged
 
 
 def _core(bound: DataFrame, c: Config, order: str) -> DataFrame:
@@ -277,6 +277,8 @@ def _finish(every, kept, verdict, mergers, stored, shape, p, snap: Snapshot, c:
     living = t.where("n_bound > 0").select("track_id")
     w = Window.partitionBy("track_id").orderBy(F.col("bound").desc(), F.col("energy").asc_nulls_last(), F.col("particle_id"))
     m = cut(m.join(living, "track_id", "left_semi").withColumn("rank", (F.row_number().over(w) - 1).cast("long")))
+    if c.RefineMostBoundParticle and c.MaxSampleSizeOfPotentialEstimate:
+        m = _refined(m, c)
     if c.InclusiveMass:
         m = cut(_purged(m, t))
     b = m.where("bound")
@@ -342,6 +344,15 @@ def _finish(every, kept, verdict, mergers, stored, shape, p, snap: Snapshot, c:
     return State(t, cut(kept_members))
 
 
+def _refined(m: DataFrame, c: Config) -> DataFrame:
+    """m with the ranks of the innermost bound members of tracks with sampled sources taken by their own potential."""
+    b = m.where("bound").withColumn("g", F.col("track_id"))
+    places = gr.refined(b, c.MaxSampleSizeOfPotentialEstimate, c.BoundFractionCenterRefinement, c.gravity)
+    places = places.select(F.col("g").alias("track_id"), "particle_id", F.col("place").alias("_place"))
+    ranked = m.join(places, ["track_id", "particle_id"], "left").withColumn("rank", F.coalesce("_place", "rank").cast("long"))
+    return cut(ranked.select(*m.columns))
+
+
 def _purged(m: DataFrame, t: DataFrame) -> DataFrame:
     """Members with the ranks of each track's most bound member and the one promoted instead of it exchanged."""
     order = [F.col("m_bound").desc(), F.col("track_id").desc()]

@@ -263,6 +263,16 @@ def phys3_sampled(s: SparkSession, d: str) -> DataFrame:
     return _unbound(s, d, CONFIG.MaxSampleSizeOfPotentialEstimate)
 
 
+def w6_refined_order(s: SparkSession, d: str) -> DataFrame:
+    """Bound members of every track by energy, the innermost of tracks with sampled sources by their own potential."""
+    m = _selves(s, d)
+    frames = mean_motion(m, ["g"], "rank").where("mass > 0")
+    e = cut(gr.energies(m, gr.potentials(m, CONFIG.MaxSampleSizeOfPotentialEstimate, CONFIG.keep_mask), frames, ph.GRAVITY))
+    places = gr.refined(e, CONFIG.MaxSampleSizeOfPotentialEstimate, CONFIG.BoundFractionCenterRefinement)
+    plain = e.withColumn("_p", F.row_number().over(Window.partitionBy("g").orderBy("energy", "particle_id")) - 1)
+    return plain.join(places, ["g", "particle_id"], "left").select(*KEYS, "particle_id", F.coalesce("place", "_p").alias("place"))
+
+
 def phys7_overlaps(s: SparkSession, d: str) -> DataFrame:
     """Every nested track not yet trapped beside each of its ancestors that has bound members (`parent`, so many levels
     up), and whether it sinks into it: into the deepest one that it overlaps in phase space (P7, P8)."""
@@ -306,7 +316,7 @@ QUERIES = {
     for f in (
         d1_mask, d2_clean, d4_promoted, d5_pass_up, d10_fakes, d11_seeds, g1_depths, g2_parents, g3_level_up, g5_nest, g11_split_trees, g13_split_links,
         j7_with_splits, j10_neighbours, v4_reassign, j11_sphere, j11_shell, j11_cylinder, w8_nearest, j12_linked, j19_painted,
-        a19_multipoles, a20_density, phys1_potential, phys2_energy, phys3_unbind, phys3_sampled, phys7_overlaps, io14_catalogue,
+        a19_multipoles, a20_density, phys1_potential, phys2_energy, phys3_unbind, phys3_sampled, w6_refined_order, phys7_overlaps, io14_catalogue,
     )
 }
 
