@@ -1,5 +1,6 @@
 """Whole results where a cap, a sample or a subset would show."""
 
+import inspect
 from dataclasses import replace
 
 import numpy as np
@@ -125,3 +126,10 @@ def test_the_pipeline_refines_the_innermost_members(spark):
     np.fill_diagonal(phi, 0)
     assert sorted(range(40), key=got.get) == np.argsort(phi.sum(axis=1)).tolist()
     assert all(got[i] == i for i in range(40, 80))
+
+
+def test_unbinding_goes_on_until_every_group_has_settled(spark):
+    m, _, _ = cloud(spark, 40)
+    assert "rounds" not in inspect.signature(gr.unbind).parameters  # no round is the last one but by settling
+    out = {r["g"]: r["n_rounds"] for r in gr.unbind(m, gravity=1e6, min_members=1, min_tracers=1)[1].collect()}
+    assert out[7] >= 1

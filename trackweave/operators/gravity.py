@@ -9,6 +9,7 @@ pairs of members ever rows. Small tracks share tasks. `max_sources` 0 takes all
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -132,7 +133,6 @@ def unbind(
     max_sources: int = 1000,
     keep_mask: int = 32,
     thermal: bool = False,
-    rounds: int = 100,
     strip: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Iterative unbinding of all groups at once (P3): (members with bound, energy, potential_energy; groups with
@@ -150,7 +150,7 @@ def unbind(
     settled: list[DataFrame] = []
     verdicts: list[DataFrame] = []
     tracer = ph.is_tracer("type", tracer_mask)
-    for n in range(1, rounds + 1):
+    for n in count(1):  # ends, as every group that stays loses a member a round
         frames = mean_motion(active, ["g"], "_order").where("mass > 0")
         phi = potentials(active, max_sources, keep_mask)
         e = cut(energies(active, phi, frames, gravity, thermal).withColumn("bound", ph.is_bound("energy") if strip else F.lit(True)))
