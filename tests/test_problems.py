@@ -194,8 +194,8 @@ def walk(parent):
     return out
 
 
-@pytest.mark.parametrize("small_rows", [0, 20_000])
-def test_hierarchy(spark, small_rows):
+@pytest.mark.parametrize("broadcast_rows", [0, 120, 100_000])
+def test_hierarchy(spark, broadcast_rows):
     rng = random.Random(2)
     parent = {i: rng.choice([None, rng.randint(0, 199)]) for i in range(200)}
     parent |= {1000 + i: 999 + i for i in range(1, 60)} | {1000: None}  # a long chain
@@ -203,10 +203,16 @@ def test_hierarchy(spark, small_rows):
     rows = [(n, p, "x") for n, p in parent.items()]
     rows += [(3000, 3000, "x"), (3001, -1, "x"), (3002, 77777, "x"), (None, 1, "x")]
     links = hierarchy.clean_links(spark.createDataFrame(rows, "id long, up long, root string"), "id", "up")
-    tree = hierarchy.hierarchy(links, small_rows=small_rows)
+    trace = []
+    tree = hierarchy.hierarchy(links, broadcast_rows=broadcast_rows, levels=8, trace=trace)
     got = {r["node"]: (r["root"], r["depth"], r["path"]) for r in tree.collect()}
     want = walk({n: None if p == n else p for n, p in parent.items()} | {3000: None, 3001: None, 3002: None})
     assert got == want
+    deepest = max(d for _, d, _ in want.values())
+    assert [n for n, _ in trace] == sorted({n for n, _ in trace}) and deepest <= trace[-1][0] < deepest + 8 + 1
+    assert len(trace) == (deepest + 1 if broadcast_rows == 0 else len(trace))  # a level each, and the empty one at the end
+    for (before, _), (upto, n) in zip([(0, 0), *trace], trace):  # every job finds just the nodes of its levels
+        assert n == sum(before < d <= upto for _, d, _ in want.values())
     pairs = {tuple(r) for r in hierarchy.ancestor_pairs(tree).collect()}
     assert pairs == {(a, n, d - i) for n, (_, d, path) in want.items() if path for i, a in enumerate(path[:-1])}
     on = {r["node"]: r["on_cycle"] for r in hierarchy.cycles(links, tree).collect()}

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackweave.runtime import cut
+from trackweave.runtime import BROADCAST_ROWS, cut
 
-#: Path entries up to which a frontier is broadcast, and links left from which on several levels are taken per job.
-SMALL = 20_000
-#: Levels per job in the tail.
-HOPS = 16
+#: Levels joined in one job while the links are few enough to be broadcast.
+LEVELS = 32
+#: Path entries of a frontier up to which it is broadcast.
+ENTRIES = 1_000_000
 PATH = T.ArrayType(T.LongType())
 
 
@@ -34,63 +34,86 @@ def clean_links(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     return n.select("node").join(kept, "node", "left")
 
 
-def hierarchy(links: DataFrame, paths: bool = True, small_rows: int = SMALL) -> DataFrame:
+def hierarchy(
+    links: DataFrame,
+    paths: bool = True,
+    broadcast_rows: int = BROADCAST_ROWS,
+    levels: int = LEVELS,
+    trace: list[tuple[int, int]] | None = None,
+) -> DataFrame:
     """(node, root, depth, path) of every node of `links` (node, parent; null parent = root).
 
     From the roots (depth 0) each level joins the frontier with the links whose parent it holds, extending path
-    (root first, node last) and depth; a level reads only the links not reached before it. Once at most small_rows of
-    these are left, HOPS levels are taken per job, so a long thin tail costs few jobs. A frontier is broadcast only
-    after its rows were counted, and while these times their depth are few. Nodes that no level reaches lie on a cycle
-    or lead into one: root = depth = -1 and a null path. No links: no rows. With paths=False path is null.
+    (root first, node last) and depth, until a frontier is empty. The size of the data decides only how a level is
+    joined: where the links not reached yet are counted to be at most broadcast_rows, their children are broadcast once
+    and `levels` levels are joined before the next cut; else every level is cut, by a broadcast of a counted small
+    frontier or by a shuffle, and the links are written anew once half of them were reached. Nodes that no level
+    reaches lie on a cycle or lead into one: root = depth = -1 and a null path. No links: no rows. With paths=False
+    path is null. `trace` collects (levels joined, nodes found) of every job.
     """
     links = cut(links)
     path = F.array("node") if paths else F.lit(None).cast(PATH)
-    roots = links.where("parent IS NULL").select(
+    frontier = links.where("parent IS NULL").select(
         "node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), path.alias("path")
     )
+    grown = F.concat("path", F.array("node")) if paths else F.col("path")
     rest = links.where("parent IS NOT NULL").select("node", "parent")
-    n_rest, n = rest.count(), roots.count()
-    frontier, found = roots, [roots]
-    while n and n_rest > small_rows:
-        f = frontier.select(F.col("node").alias("parent"), "root", "depth", "path")
-        t = cut(rest.join(F.broadcast(f) if n * len(found) <= small_rows else f, "parent", "left"))
-        grown = F.concat("path", F.array("node")) if paths else F.col("path")
-        frontier = t.where("depth IS NOT NULL").select("node", "root", (F.col("depth") + 1).alias("depth"), grown.alias("path"))
-        rest = t.where("depth IS NULL").select("node", "parent")
-        n = frontier.count()
-        n_rest -= n
-        found.append(frontier)
-    while n and n_rest:
-        t = _levels(rest, frontier, paths)
-        reached = t.where("root IS NOT NULL").select("node", "root", "depth", "path", "_hops")
-        found.append(reached.drop("_hops"))
-        frontier = reached.where(F.col("_hops") == HOPS).drop("_hops")
-        rest = t.where("root IS NULL").select("node", "parent")
-        n_rest, n = t.agg(F.count_if(F.col("root").isNull()), F.count_if((F.col("_hops") == HOPS) & F.col("root").isNotNull())).first()
+    n_links, n = links.agg(F.count("parent"), F.count_if(F.col("parent").isNull())).first()
+    left, stale, level, found, kids = n_links, 0, 0, [frontier], None
+    while n and left:
+        if n_links - stale <= broadcast_rows:
+            kids = kids or cut(_firsts(rest))
+            reached = cut(_join_levels(frontier, kids, paths, levels))
+            frontier = reached.where("open").drop("open")
+            got, n = reached.agg(F.count("*"), F.count_if("open")).first()
+            found.append(reached.drop("open"))
+            level += levels
+        else:
+            level += 1
+            f = frontier.select(F.col("node").alias("parent"), "root", "depth", "path")
+            f = F.broadcast(f) if n <= broadcast_rows and n * level <= ENTRIES else f
+            frontier = cut(rest.join(f, "parent").select("node", "root", (F.col("depth") + 1).alias("depth"), grown.alias("path")))
+            got = n = frontier.count()
+            found.append(frontier)
+        left -= got
+        if trace is not None:
+            trace.append((level, got))
+        if left and n_links - stale > broadcast_rows and left * 2 <= n_links - stale:
+            rest = cut(rest.join(_union(found[1:]).select("node"), "node", "left_anti"))
+            stale = n_links - left
     every = _union(found)
+    if not left:
+        return every
     minus = F.lit(-1).cast("long")
-    lost = rest.select("node", minus.alias("root"), minus.alias("depth"), F.lit(None).cast(PATH).alias("path"))
-    return every.unionByName(lost)
+    lost = rest.join(_union([f.select("node") for f in found[1:]]), "node", "left_anti") if len(found) > 1 else rest
+    return every.unionByName(lost.select("node", minus.alias("root"), minus.alias("depth"), F.lit(None).cast(PATH).alias("path")))
 
 
-def _levels(rest: DataFrame, frontier: DataFrame, paths: bool) -> DataFrame:
-    """HOPS levels at once, for a counted few links: (node, parent, root, depth, path, _hops), root null if not reached.
+def _firsts(rest: DataFrame) -> DataFrame:
+    """(of, node, first) of every link; first marks one child of each parent."""
+    least = rest.groupBy("parent").agg(F.min("node").alias("_least"))
+    return rest.join(least, "parent").select(F.col("parent").alias("of"), "node", (F.col("node") == F.col("_least")).alias("first"))
 
-    Each link is followed upwards through links not yet reached, by joins with one and the same broadcast table, until it
-    leaves them; where it leaves them within HOPS steps it stands on the frontier, that many levels below it.
+
+def _join_levels(frontier: DataFrame, kids: DataFrame, paths: bool, levels: int) -> DataFrame:
+    """(node, root, depth, path, open) of the nodes up to `levels` levels below the frontier; open: the lowest of them.
+
+    Every level joins the nodes of the one before with their children, by one broadcast that all levels share. A node
+    with several children then stands in several rows; it comes out of the one that goes on with first children only.
     """
-    up = F.broadcast(rest.select(F.col("node").alias("_at"), F.col("parent").alias("_to")))
-    chain = rest.withColumn("a1", F.col("parent"))
-    for i in range(2, HOPS + 2):
-        chain = chain.join(up, F.col(f"a{i - 1}") == F.col("_at"), "left").withColumn(f"a{i}", F.col("_to")).drop("_at", "_to")
-    steps = F.array_compact(F.array(*[F.col(f"a{i}") for i in range(1, HOPS + 2)]))
-    left = chain.select("node", "parent", steps.alias("_s")).withColumn("_hops", F.size("_s"))
-    left = left.withColumn("_top", F.when(F.col("_hops") <= HOPS, F.element_at("_s", -1)))
-    f = frontier.select(F.col("node").alias("_top"), "root", F.col("depth").alias("_d"), F.col("path").alias("_p"))
-    joined = left.join(f, "_top", "left")
-    between = F.reverse(F.slice("_s", 1, F.col("_hops") - 1))
-    path = F.concat("_p", between, F.array("node")) if paths else F.lit(None).cast(PATH)
-    return cut(joined.select("node", "parent", "root", (F.col("_d") + F.col("_hops")).alias("depth"), path.alias("path"), "_hops"))
+    names = [f"k{i}" for i in range(1, levels + 1)]
+    on = " ".join(f"LEFT JOIN {{kids}} {k} ON {k}.of = {before}.node" for before, k in zip(["f", *names], names))
+    other = ", ".join(f"CASE WHEN NOT {k}.first THEN {i} END" for i, k in enumerate(names, 1))
+    at = frontier.sparkSession.sql(  # one statement, as Spark analyses every step of a chain of frames anew
+        f"""SELECT /*+ BROADCAST({", ".join(names)}) */ f.root, f.depth, f.path,
+          array_compact(array({", ".join(f"{k}.node" for k in names)})) AS _below, greatest(0, 0, {other}) AS _other
+        FROM {{frontier}} f {on}""",
+        frontier=frontier,
+        kids=kids,
+    )
+    at = at.select("root", "depth", "path", "_below", "_other", F.posexplode("_below").alias("_at", "node")).where("_at + 1 >= _other")
+    path = F.concat("path", F.slice("_below", 1, F.col("_at") + 1)) if paths else F.col("path")
+    return at.select("node", "root", (F.col("depth") + F.col("_at") + 1).alias("depth"), path.alias("path"), (F.col("_at") + 1 == levels).alias("open"))
 
 
 def ancestor_pairs(tree: DataFrame) -> DataFrame:

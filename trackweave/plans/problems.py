@@ -272,6 +272,11 @@ ORACLES = {
       (SELECT count(*) FROM pairs p WHERE p.ancestor = l.track_id) AS n_progenitors
       FROM links l LEFT JOIN tree t ON t.track_id = l.track_id""",
     "p4_progenitors": f"{_TREE} SELECT ancestor AS track_id, node AS progenitor_track_id, distance FROM pairs",
+    "p4_cycles": f"""{_TREE},
+      lost AS (SELECT * FROM links WHERE track_id NOT IN (SELECT track_id FROM tree)),
+      reach AS (SELECT track_id, parent AS via FROM lost
+        UNION SELECT r.track_id, l.parent FROM reach r JOIN lost l ON l.track_id = r.via)
+      SELECT track_id, bool_or(via = track_id) AS on_cycle FROM reach GROUP BY track_id""",
     "p5_found": f"{_RUNS} SELECT track_id, from_snapshot_id, to_snapshot_id FROM hist",
     "p5_history": f"{_RUNS} SELECT track_id, n_bound, m_bound, from_snapshot_id, to_snapshot_id FROM hist",
 }
