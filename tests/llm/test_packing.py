@@ -27,6 +27,23 @@ def test_differencing_is_near_equal():
     assert abs(sums[0] - sums[1]) == 2
 
 
+def test_many_tiny_items_fill_few_windows():
+    window = pk.pack_block(np.full(40_000, 10), 65_536)
+    assert len(np.unique(window)) == 7
+    assert np.bincount(window).max() * 10 <= 65_536
+
+
+def test_full_pieces_stand_alone():
+    sizes = np.array([100, 100, 40, 60, 0, 100])
+    window = pk.pack_block(sizes, 100)
+    assert len(np.unique(window[[0, 1, 5, 2]])) == 4 and np.bincount(window, weights=sizes).tolist() == [100.0] * 4
+
+
+def test_the_count_rises_until_the_capacity_holds():
+    window = pk.pack_block(np.full(9, 60), 100)  # six windows would do by tokens, nine are needed
+    assert np.bincount(window).tolist() == [1] * 9
+
+
 def best_fit_decreasing(sizes, capacity):
     room, n = [], 0
     for s in sorted(sizes, reverse=True):

@@ -2,14 +2,13 @@
 
 Items are hashed into blocks of about `windows` containers' worth of tokens, so no source, page or group of copies
 makes a block larger than the others, and only ids and sizes are shuffled. Within a block the partial partitions with
-the largest imbalance are merged so that their imbalances oppose each other, giving near-equal windows. What still
-exceeds the capacity is moved to the windows with just enough room; where none has, the window count rises.
+the largest imbalance are merged so that their imbalances oppose each other, giving near-equal windows; the window
+count rises whenever the capacity is exceeded.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left, insort
 from collections.abc import Sequence
 
 import numpy as np
@@ -19,8 +18,12 @@ from pyspark.sql import functions as F
 
 from trackweave.llm.tokens import size
 
-#: Containers' worth of tokens in a block, and the items it holds on average at most.
-WINDOWS, BLOCK_ITEMS = 128, 4096
+#: Containers' worth of tokens in a block.
+WINDOWS = 128
+#: From which fill on a window is closed where others exceed the capacity.
+FULL = 0.97
+#: Items smaller than the capacity over FINEST are bundled before differencing.
+FINEST = 512
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -54,55 +57,55 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     return window
 
 
-def _relieve(sizes: np.ndarray, window: np.ndarray, k: int, capacity: int) -> bool:
-    """Move items out of windows above capacity into the tightest room left; True if all of them find some."""
-    sums = np.bincount(window, weights=sizes, minlength=k).astype(np.int64)
-    moved: list[int] = []
-    for w in np.flatnonzero(sums > capacity):
-        own = np.flatnonzero(window == w)
-        own = own[np.argsort(sizes[own], kind="stable")]
-        while sums[w] > capacity:
-            i = min(int(np.searchsorted(sizes[own], sums[w] - capacity)), len(own) - 1)
-            moved.append(int(own[i]))
-            sums[w] -= sizes[own[i]]
-            own = np.delete(own, i)
-    room = sorted((int(capacity - s), w) for w, s in enumerate(sums))
-    for i in sorted(moved, key=lambda i: -sizes[i]):
-        at = bisect_left(room, (int(sizes[i]), -1))
-        if at == len(room):
-            return False
-        left, w = room.pop(at)
-        window[i] = w
-        insort(room, (left - int(sizes[i]), w))
-    return True
+def _bundles(sizes: np.ndarray, unit: float) -> np.ndarray:
+    """The bundle of each item: items smaller than `unit` are put together, in order of size, to bundles below twice it.
+
+    Differencing then starts from the bundles as from items, so a block of very many tiny items stays small.
+    """
+    tiny = np.flatnonzero(sizes < unit)
+    bundle = np.empty(len(sizes), np.int64)
+    order = tiny[np.argsort(-sizes[tiny], kind="stable")]
+    before = np.cumsum(sizes[order]) - sizes[order]
+    numbers = (before // unit).astype(np.int64)
+    _, bundle[order] = np.unique(numbers, return_inverse=True)
+    rest = np.setdiff1d(np.arange(len(sizes)), tiny, assume_unique=True)
+    bundle[rest] = (bundle[order].max() + 1 if len(order) else 0) + np.arange(len(rest))
+    return bundle
 
 
 def pack_block(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The window of each item of a block; no item is larger than the capacity.
 
-    As long as some items find no room, the windows that are nearly full are closed and the others' items are
-    differenced anew; where no window is full enough, the bar is lowered, and at last the window count rises.
+    The items are differenced into as many windows as their tokens need. Where some exceed the capacity, the windows
+    that are at least FULL are closed and the items of all others differenced anew; closed windows hold less than their
+    capacity, so the whole count rises, and it rises by one more whenever no window is full enough to be closed.
     """
     out = np.empty(len(sizes), np.int64)
-    left, closed, extra, enough = np.arange(len(sizes)), 0, 0, 0.985
-    while True:
-        own = sizes[left]
-        k = max(1, -(-int(own.sum()) // capacity)) + extra
-        window = differencing(own, k)
-        if _relieve(own, window, k, capacity):
-            out[left] = closed + window
-            return out
-        sums = np.bincount(window, weights=own, minlength=k)
-        full = (sums <= capacity) & (sums >= enough * capacity)
+    whole = sizes == capacity
+    closed = int(whole.sum())
+    out[whole] = np.arange(closed)  # nothing fits beside these
+    part = np.flatnonzero(~whole)
+    bundle = _bundles(sizes[part], capacity / FINEST)
+    own = np.bincount(bundle, weights=sizes[part]).astype(np.int64)
+    at = np.empty(len(own), np.int64)
+    left, extra = np.arange(len(own)), 0
+    while len(left):
+        k = max(1, -(-int(own[left].sum()) // capacity)) + extra
+        window = differencing(own[left], k)
+        sums = np.bincount(window, weights=own[left], minlength=k)
+        if sums.max() <= capacity:
+            at[left] = closed + window
+            break
+        full = (sums <= capacity) & (sums >= FULL * capacity)
         if full.any():
             number = np.cumsum(full) - 1 + closed
             inside = full[window]
-            out[left[inside]] = number[window[inside]]
+            at[left[inside]] = number[window[inside]]
             left, closed = left[~inside], closed + int(full.sum())
-        elif enough > 0.9:
-            enough -= 0.01
         else:
             extra += 1
+    out[part] = at[bundle]
+    return out
 
 
 def items(documents: DataFrame, capacities: Sequence[tuple[int, int]], doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,8 +141,9 @@ def pack(
     """Which item lies in which container, for each kind of container in `capacities` (container_id, capacity).
 
     Columns: container_id, block, window, doc_id, piece_no, n_pieces, start_token, n_tokens; (container_id, block,
-    window) names one container. A piece that fills a container alone has a block of its own (negative). Every item
-    comes out once and no container exceeds its capacity. doc_id is unique; capacities are positive. Repeated sizes
+    window) names one container. Every item, full pieces of a cut document too, is placed by `pack_block`, comes out
+    once, and no container exceeds its capacity. The number of blocks follows from the tokens beside full pieces, so a
+    block is `windows` containers' worth of them on average, however many items they are. doc_id is unique; capacities are positive. Repeated sizes
     and empty texts are ordinary items; no kinds or no documents give no rows.
     """
     if any(c <= 0 for _, c in capacities):
@@ -147,15 +151,14 @@ def pack(
     if not capacities:
         capacities, documents = [(0, 1)], documents.limit(0)
     every = items(documents, capacities, doc, text)
-    full = F.col("n_tokens") == F.col("capacity")
-    rest = every.where(~full)
-    totals = rest.groupBy("container_id", "capacity").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()
+    part = F.when(F.col("n_tokens") < F.col("capacity"), F.col("n_tokens"))
+    totals = every.groupBy("container_id", "capacity").agg(F.coalesce(F.sum(part), F.lit(0)).alias("t")).collect()
     blocks = F.lit(1)
     for r in totals:  # one row per kind of container
-        n_blocks = max(1, int(r["t"] // (windows * r["capacity"])), -(-int(r["n"]) // BLOCK_ITEMS))
+        n_blocks = max(1, int(r["t"] // (windows * r["capacity"])))
         blocks = F.when(F.col("container_id") == r["container_id"], n_blocks).otherwise(blocks)
     columns = ["container_id", "block", "window", "doc_id", "piece_no", "n_pieces", "start_token", "n_tokens"]
-    blocked = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no"), blocks).cast("long"))
+    blocked = every.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no"), blocks).cast("long"))
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "piece_no"], kind="stable")
@@ -163,16 +166,13 @@ def pack(
         return group[columns]
 
     schema = "container_id long, block long, window long, doc_id long, piece_no int, n_pieces int, start_token long, n_tokens long"
-    packed = blocked.groupBy("container_id", "block").applyInPandas(fill, schema)
-    alone = every.where(full).withColumns(
-        {"block": -1 - F.col("doc_id").cast("long"), "window": F.col("piece_no").cast("long"), "doc_id": F.col("doc_id").cast("long")}
-    )
-    return packed.unionByName(alone.select(columns))
+    return blocked.groupBy("container_id", "block").applyInPandas(fill, schema)
 
 
 def cut_documents(packed: DataFrame) -> DataFrame:
-    """(container_id, doc_id) of the documents that had to be cut: those packed in more than one piece."""
-    return packed.where("n_pieces > 1 AND piece_no = 0").select("container_id", "doc_id")
+    """(container_id, doc_id) of the documents that had to be cut: those of which several pieces lie in containers."""
+    pieces = packed.where("n_pieces > 1").groupBy("container_id", "doc_id").agg(F.count_distinct("piece_no").alias("n"))
+    return pieces.where("n > 1").select("container_id", "doc_id")
 
 
 def containers(packed: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm import mixing, packing, splitting
-from trackweave.runtime import params
+from trackweave.llm import mixing, packing, splitting, tokens
+from trackweave.runtime import cut, params
 from trackweave.sources.tables import read
 
 
@@ -38,6 +38,25 @@ def p6_fill(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p6_checks(s: SparkSession, d: str) -> DataFrame:
+    """Per kind of container: documents, pieces and tokens packed, containers above the capacity and documents whose
+    packed tokens aren't their size (both none)."""
+    kinds = F.broadcast(read(s, d, "pack_containers").select("container_id", "capacity_tokens"))
+    packed = cut(_packed(s, d))
+    over = packing.containers(packed).join(kinds, "container_id").groupBy("container_id").agg(
+        F.count_if(F.col("n_tokens") > F.col("capacity_tokens")).alias("n_over")
+    )
+    sizes = read(s, d, "documents").select("doc_id", tokens.size("text").alias("size"))
+    whole = packed.groupBy("container_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("got"))
+    per = whole.join(sizes, "doc_id").groupBy("container_id").agg(
+        F.count("*").alias("n_docs"),
+        F.sum("pieces").alias("n_pieces"),
+        F.sum("got").alias("n_tokens"),
+        F.count_if(F.col("got") != F.col("size")).alias("n_wrong"),
+    )
+    return per.join(over, "container_id")
+
+
 def _mixed(s: SparkSession, d: str, **options) -> tuple[DataFrame, DataFrame]:
     targets = [mixing.Target(r["source"], r["target_share"], r["max_repeats"]) for r in params(read(s, d, "mix_targets"))]
     return mixing.mix(read(s, d, "documents"), sorted(targets, key=lambda t: t.source), **options)
@@ -77,12 +96,16 @@ def p8_pieces(s: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(splitting.split(read(s, d, "documents"), limits), limits)
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_pack, p6_fill, p7_found, p7_mix, p7_shares, p7_soft, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_pack, p6_fill, p6_checks, p7_found, p7_mix, p7_shares, p7_soft, p8_found, p8_pieces)}
 
 ORACLES = {
     "p7_found": """SELECT t.source FROM mix_targets t LEFT JOIN documents d ON lower(trim(d.source)) = lower(trim(t.source))
       GROUP BY t.source, t.target_share, t.max_repeats
       HAVING coalesce(sum(strlen(d.text)), 0) * t.max_repeats < t.target_share * (SELECT sum(strlen(text)) FROM documents)""",
+    "p6_checks": """SELECT c.container_id, count(*) AS n_docs,
+        sum(greatest(1, (strlen(d.text) + c.capacity_tokens - 1) // c.capacity_tokens))::BIGINT AS n_pieces,
+        sum(strlen(d.text))::BIGINT AS n_tokens, 0::BIGINT AS n_over, 0::BIGINT AS n_wrong
+      FROM documents d JOIN pack_containers c ON d.text IS NOT NULL GROUP BY c.container_id""",
     "p6_found": """SELECT c.container_id, d.doc_id FROM documents d JOIN pack_containers c
       ON strlen(d.text) > c.capacity_tokens""",
     "p8_found": """WITH over AS (SELECT l.limit_id, l.max_tokens, d.doc_id, d.text FROM documents d
