@@ -57,28 +57,55 @@ def p6_checks(s: SparkSession, d: str) -> DataFrame:
     return per.join(over, "container_id")
 
 
-def _mixed(s: SparkSession, d: str, **options) -> tuple[DataFrame, DataFrame]:
+def _mixed(s: SparkSession, d: str, **options) -> mixing.Mixed:
     targets = [mixing.Target(r["source"], r["target_share"], r["max_repeats"]) for r in params(read(s, d, "mix_targets"))]
     return mixing.mix(read(s, d, "documents"), sorted(targets, key=lambda t: t.source), **options)
 
 
 def p7_found(s: SparkSession, d: str) -> DataFrame:
-    return _mixed(s, d)[1].where("short").select("source")
+    return _mixed(s, d).shares.where("short").select("source")
 
 
 def p7_mix(s: SparkSession, d: str) -> DataFrame:
     """The chosen documents with their repeats."""
-    return _mixed(s, d)[0]
+    return _mixed(s, d).chosen
 
 
 def p7_shares(s: SparkSession, d: str) -> DataFrame:
     """What every source was to reach and reaches."""
-    return _mixed(s, d)[1]
+    return _mixed(s, d).shares
 
 
 def p7_soft(s: SparkSession, d: str) -> DataFrame:
     """The mix with unlabelled documents given to their most probable source."""
-    return _mixed(s, d, admit_unlabelled=True)[0]
+    return _mixed(s, d, admit_unlabelled=True).chosen
+
+
+def p7_recall(s: SparkSession, d: str) -> DataFrame:
+    """Per source: how many documents the classifier trained on the other half of them names rightly."""
+    return _mixed(s, d).recall
+
+
+def p7_checks(s: SparkSession, d: str) -> DataFrame:
+    """Per target: its documents and tokens; whether no document is used too often; and for each source that can be
+    reached, whether the fitted rates meet its target within a hundredth and the chosen documents to the nearest one."""
+    shares = _mixed(s, d).shares
+    docs = read(s, d, "documents").groupBy(mixing.label("source").alias("name")).agg(F.max(tokens.size("text")).alias("largest"))
+    targets = read(s, d, "mix_targets").select("source", "max_repeats")
+    all_ = shares.join(F.broadcast(targets), "source").join(docs, mixing.label("source") == F.col("name"), "left")
+    off = lambda c: F.abs(F.col(c) - F.col("target_tokens"))
+    return all_.select(
+        "source",
+        "n_docs",
+        "available_tokens",
+        "reachable_tokens",
+        (F.col("most_repeats") <= F.col("max_repeats")).alias("within_repeats"),
+        (F.col("short") | (off("expected_tokens") <= F.col("target_tokens") * 0.01)).alias("expected_met"),
+        F.coalesce(
+            F.when(F.col("short"), F.col("reached_tokens") == F.col("reachable_tokens")).otherwise(off("reached_tokens") * 2 <= F.col("largest")),
+            F.lit(False),
+        ).alias("reached_met"),
+    )
 
 
 def _limits(s: SparkSession, d: str) -> list[tuple[int, int, int]]:
@@ -96,12 +123,16 @@ def p8_pieces(s: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(splitting.split(read(s, d, "documents"), limits), limits)
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_pack, p6_fill, p6_checks, p7_found, p7_mix, p7_shares, p7_soft, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_pack, p6_fill, p6_checks, p7_found, p7_mix, p7_shares, p7_soft, p7_recall, p7_checks, p8_found, p8_pieces)}
 
 ORACLES = {
     "p7_found": """SELECT t.source FROM mix_targets t LEFT JOIN documents d ON lower(trim(d.source)) = lower(trim(t.source))
       GROUP BY t.source, t.target_share, t.max_repeats
       HAVING coalesce(sum(strlen(d.text)), 0) * t.max_repeats < t.target_share * (SELECT sum(strlen(text)) FROM documents)""",
+    "p7_checks": """SELECT t.source, count(d.text) AS n_docs, coalesce(sum(strlen(d.text)), 0)::BIGINT AS available_tokens,
+        coalesce(sum(strlen(d.text)) * t.max_repeats, 0)::BIGINT AS reachable_tokens,
+        true AS within_repeats, true AS expected_met, true AS reached_met
+      FROM mix_targets t LEFT JOIN documents d ON lower(trim(d.source)) = lower(trim(t.source)) GROUP BY t.source, t.max_repeats""",
     "p6_checks": """SELECT c.container_id, count(*) AS n_docs,
         sum(greatest(1, (strlen(d.text) + c.capacity_tokens - 1) // c.capacity_tokens))::BIGINT AS n_pieces,
         sum(strlen(d.text))::BIGINT AS n_tokens, 0::BIGINT AS n_over, 0::BIGINT AS n_wrong
