@@ -10,9 +10,19 @@ from trackweave.llm import splitting as sp
 LIMITS = [(1, 60, 10), (2, 150, 20)]
 
 
+def bounds_of(*raw: bytes) -> sp.Boundaries:
+    return sp.Boundaries([np.frombuffer(r, np.uint8) for r in raw])
+
+
+def cuts(b: sp.Boundaries, most: int, overlap: int):
+    """Starts, ends and kinds by text, positions within the text."""
+    chosen = np.flatnonzero(b.sizes > most)
+    t, s, e, k = sp.cut_texts(b, chosen, most, overlap)
+    return {i: (s[t == i] - b.first[i], e[t == i] - b.first[i], k[t == i]) for i in chosen.tolist()}
+
+
 def check(raw: bytes, most: int, overlap: int):
-    b = sp.Boundaries(np.frombuffer(raw, np.uint8))
-    s, e, k = sp.cut(b, most, overlap)
+    s, e, k = cuts(bounds_of(raw), most, overlap)[0]
     assert s[0] == 0 and e[-1] == len(raw) and k[-1] == -1 and (k[:-1] >= 0).all()
     assert ((e - s) <= most).all() and ((e - s) > 0).all()
     shared = e[:-1] - s[1:]
@@ -38,31 +48,67 @@ def test_any_bytes_are_cut():
         check(b"x" * n, 60, 10)
 
 
-def best(n, candidates, price, most, overlap):
-    """The least cost over all chains of cuts (ASCII, so overlaps are exact)."""
-    longest = most - overlap
+def least_cost(b: sp.Boundaries, text: int, most: int, overlap: int) -> float:
+    """Over all chains of all candidates, whatever the lengths of the pieces."""
+    longest, n, first = most - overlap, b.sizes[text], b.first[text]
+    at, kinds, _ = b.candidates(np.array([text]), longest, overlap)
+    extra = at - overlap - b.snap(at - overlap)
+    price = np.concatenate([[0.0], sp.PENALTIES[kinds] + sp.UNEVEN_OVERLAP * (extra > 0), [0.0]])
+    base = np.concatenate([[overlap], at - first - extra, [n]])
+    at = np.concatenate([[overlap], at - first, [n]])
     even = (n - overlap) / -(-(n - overlap) // longest)
-    least = longest // 2 + 4
-    f = {overlap: 0.0}
-    for c in candidates:
-        ways = [f[p] + ((c - p - even) / even) ** 2 for p in f if p < c and least <= c - p <= longest]
-        if ways:
-            f[c] = min(ways) + price[c]
-    return min(v + ((n - p - even) / even) ** 2 for p, v in f.items() if n - p <= longest)
+    cost = np.full(len(at), np.inf)
+    cost[0] = 0.0
+    for j in range(1, len(at)):
+        i = np.flatnonzero((at[j] - base[:j] <= longest) & (at[j] - at[:j] >= sp.LEAST))
+        if len(i):
+            cost[j] = (cost[i] + ((at[j] - base[i]) / even - 1) ** 2).min() + price[j]
+    return cost[-1]
+
+
+STYLES = {
+    "prose": ["word ", "a ", "longer ", "end. ", "line\n", "\n\n", "== h ==\n"],
+    "words": ["word ", "a ", "longerword ", "x" * 30 + " "],
+    "mixed": ["word ", "end. ", "line\n", "\n\n", "== h ==\n", "x", "é", "漢字", "y" * 40],
+    "wide": ["漢", "字。", "é ", "😀", "a ", "\n", "zz. "],
+}
 
 
-def test_cuts_are_optimal_over_the_boundaries():
+@pytest.mark.parametrize("style", STYLES)
+def test_cuts_are_optimal_over_all_boundaries(style):
     rng = random.Random(3)
+    for _ in range(80):
+        texts = ["".join(rng.choice(STYLES[style]) for _ in range(rng.randint(80, 700))).encode() for _ in range(rng.randint(1, 4))]
+        most, overlap = rng.choice([(60, 10), (400, 30), (200, 0), (900, 100), (300, 120), (16, 0)])
+        b = bounds_of(*texts)
+        for i, (s, e, k) in cuts(b, most, overlap).items():
+            extra = e[:-1] - s[1:] - overlap
+            base = np.concatenate([[overlap], e[:-1] - extra])
+            longest, n = most - overlap, len(texts[i])
+            even = (n - overlap) / -(-(n - overlap) // longest)
+            cost = (((e - base) / even - 1) ** 2).sum() + sp.PENALTIES[k[:-1]].sum() + sp.UNEVEN_OVERLAP * (extra > 0).sum()
+            assert cost == pytest.approx(least_cost(b, i, most, overlap))
+
+
+def test_texts_of_a_chunk_do_not_meet():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(STYLES["mixed"]) for _ in range(rng.randint(1, 300))).encode() for _ in range(40)] + [b"", b"\n", "é".encode()]
+    together = cuts(bounds_of(*texts), 200, 20)
+    for i, got in together.items():
+        for x, y in zip(got, cuts(bounds_of(texts[i]), 200, 20)[0]):
+            assert x.tolist() == y.tolist()
+
+
+def test_every_long_line_is_broken_by_a_cut():
+    rng = random.Random(6)
     for _ in range(60):
-        text = "".join(rng.choice(["word ", "end. ", "line\n", "\n\n", "== h ==\n", "x"]) for _ in range(rng.randint(60, 200))).encode()
-        b = sp.Boundaries(np.frombuffer(text, np.uint8))
-        s, e, k = check(text, 60, 10)
-        at, kinds = b.within(50)
-        price = {int(a): sp.PENALTIES[x] for a, x in zip(at, kinds)}
-        even = (len(text) - 10) / -(-(len(text) - 10) // 50)
-        chain = [10, *e.tolist()]
-        cost = sum(((y - x - even) / even) ** 2 for x, y in zip(chain, chain[1:])) + sum(price[x] for x in e[:-1].tolist())
-        assert cost == pytest.approx(best(len(text), [a for a in at.tolist() if a > 10], price, 60, 10))
+        texts = ["".join(rng.choice(["word ", "end. ", "\n", "x" * 30, "é"]) for _ in range(rng.randint(50, 300))).encode() for _ in range(3)]
+        b = bounds_of(*texts)
+        chosen = np.flatnonzero(b.sizes > 90)
+        t, _, e, k = sp.cut_texts(b, chosen, 90, 20)
+        owner, number, length = b.lines_of(e[k >= 0], t[k >= 0])
+        got = sorted(zip(owner[length > 90].tolist(), number[length > 90].tolist()))
+        assert got == [(i, j) for i in chosen.tolist() for j, line in enumerate(texts[i].split(b"\n"), 1) if len(line) > 90]
 
 
 def test_natural_boundaries_are_preferred():

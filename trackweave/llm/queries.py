@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackweave.llm import mixing, packing, splitting, tokens
@@ -123,7 +123,27 @@ def p8_pieces(s: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(splitting.split(read(s, d, "documents"), limits), limits)
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_pack, p6_fill, p6_checks, p7_found, p7_mix, p7_shares, p7_soft, p7_recall, p7_checks, p8_found, p8_pieces)}
+def p8_checks(s: SparkSession, d: str) -> DataFrame:
+    """Per limit: documents cut, their tokens as counted off by the pieces, pieces above the limit, pieces that don't
+    share overlap_tokens (or up to three more) with the one before, and pieces that break a character (all none)."""
+    limits = _limits(s, d)
+    pieces = splitting.pieces(splitting.split(read(s, d, "documents"), limits), limits)
+    dim = F.broadcast(read(s, d, "piece_limits"))
+    before = F.lag("end_token").over(Window.partitionBy("limit_id", "doc_id").orderBy("piece_no"))
+    rows = pieces.select(
+        "limit_id", "doc_id", "piece_no", "start_token", "end_token", tokens.size("piece").alias("size"), F.coalesce(before, F.lit(0)).alias("before")
+    ).join(dim, "limit_id")
+    shared = F.col("before") - F.col("start_token")
+    return rows.groupBy("limit_id").agg(
+        F.count_if(F.col("piece_no") == 0).alias("n_docs"),
+        F.sum(F.col("end_token") - F.col("before")).alias("n_tokens"),
+        F.count_if(F.col("end_token") - F.col("start_token") > F.col("max_tokens")).alias("n_over"),
+        F.count_if((F.col("piece_no") > 0) & ~shared.between(F.col("overlap_tokens"), F.col("overlap_tokens") + 3)).alias("n_unshared"),
+        F.count_if(F.col("size") != F.col("end_token") - F.col("start_token")).alias("n_broken"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_pack, p6_fill, p6_checks, p7_found, p7_mix, p7_shares, p7_soft, p7_recall, p7_checks, p8_found, p8_pieces, p8_checks)}
 
 ORACLES = {
     "p7_found": """SELECT t.source FROM mix_targets t LEFT JOIN documents d ON lower(trim(d.source)) = lower(trim(t.source))
@@ -139,6 +159,9 @@ ORACLES = {
       FROM documents d JOIN pack_containers c ON d.text IS NOT NULL GROUP BY c.container_id""",
     "p6_found": """SELECT c.container_id, d.doc_id FROM documents d JOIN pack_containers c
       ON strlen(d.text) > c.capacity_tokens""",
+    "p8_checks": """SELECT l.limit_id, count(*) AS n_docs, sum(strlen(d.text))::BIGINT AS n_tokens,
+        0::BIGINT AS n_over, 0::BIGINT AS n_unshared, 0::BIGINT AS n_broken
+      FROM documents d JOIN piece_limits l ON strlen(d.text) > l.max_tokens GROUP BY l.limit_id""",
     "p8_found": """WITH over AS (SELECT l.limit_id, l.max_tokens, d.doc_id, d.text FROM documents d
         JOIN piece_limits l ON strlen(d.text) > l.max_tokens),
       lines AS (SELECT limit_id, max_tokens, doc_id, unnest(string_split(text, chr(10))) AS line,

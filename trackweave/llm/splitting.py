@@ -1,10 +1,16 @@
 """Cutting oversized texts at natural boundaries, by dynamic programming over boundary positions.
 
 A text is a sequence of tokens, one per UTF-8 byte. The cuts chosen minimise the sum of a penalty per cut (by the kind
-of boundary) and the squared relative deviation of every piece from equal sizes, under the hard limits: no piece is
-larger than max_tokens, and each piece starts overlap_tokens before the cut that ends the one before. Where that place
-lies within a character, the piece starts up to three tokens earlier, so no character is broken; such cuts cost a
-little more, so they are taken only where no better one is near.
+of boundary) and the squared relative deviation of every piece from equal sizes, over all boundaries of the text and
+under the hard limits: no piece is larger than max_tokens, and each piece starts overlap_tokens before the cut that ends
+the one before. Where that place lies within a character, the piece starts up to three tokens earlier, so no character
+is broken; such cuts cost a little more. Stretches without any boundary longer than a quarter of a piece get forced
+places as well, 64 to a piece.
+
+Most boundaries are between words, dear ones beside a cheaper one close by. To move a cut there can only be impossible
+because the piece that grows would be too large, on either side; so such a place needs to be looked at only between
+two nearly full pieces. The minimum stays exact, and the work in proportion to the text. Texts are treated in chunks, all
+texts of a chunk at once.
 """
 
 from __future__ import annotations
@@ -22,8 +28,12 @@ from trackweave.llm.tokens import size
 KINDS = ("section", "paragraph", "line", "sentence", "word", "character")
 PENALTIES = np.array([0.0, 0.05, 0.15, 0.4, 1.0, 4.0])
 UNEVEN_OVERLAP = 0.02
-#: Stretches longer than this share of a piece get the next finer kind of boundary as well.
-GAP = 8
+#: Kinds up to this one are near enough to each other to be compared with all others.
+STRONG = 3
+#: Every piece adds this many tokens at least, one character of any length.
+LEAST = 4
+#: Bytes of text treated at once, and the blank bytes between two texts.
+CHUNK, SPACE = 1 << 22, 4
 
 _RESULT = (
     "struct<limit:array<int>,start:array<long>,end:array<long>,kind:array<tinyint>,long_limit:array<int>,long_line:array<long>>"
@@ -31,65 +41,45 @@ _RESULT = (
 
 
 class Boundaries:
-    """The boundary positions of one text: a position p lies before byte p."""
+    """The boundary positions of some texts (bytes), laid out behind each other: a position p lies before byte p."""
 
-    def __init__(self, b: np.ndarray) -> None:
-        self.n = len(b)
+    def __init__(self, texts: Sequence[np.ndarray]) -> None:
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.first = SPACE + np.concatenate([[0], np.cumsum(self.sizes[:-1] + SPACE)]).astype(np.int64)[: len(texts)]
+        self.last = self.first + self.sizes
+        gap = np.zeros(SPACE, np.uint8)
+        b = np.concatenate([gap, *[x for t in texts for x in (t, gap)]])
         cont = (b & 0xC0) == 0x80
-        broken = cont[3:] & cont[2:-1] & cont[1:-2] & cont[:-3]  # no character has four continuation bytes
         self.whole = ~cont
-        self.whole[3:] |= broken
-        self.whole[:1] = True
+        self.whole[3:] |= cont[3:] & cont[2:-1] & cont[1:-2] & cont[:-3]  # no character has four continuation bytes
+        self.whole[self.first] = True
         feed = np.flatnonzero(b == 10)
-        self.line_ends = feed
         bare = np.flatnonzero((b[:-1] == 13) & (b[1:] != 10))  # a carriage return alone also ends a line
-        after = np.unique(np.concatenate([feed, bare])) + 1
-        after = after[after < self.n]
+        after = np.sort(np.concatenate([feed, bare])) + 1
         kind = np.full(len(after), 2, np.int8)
-        prev = b[np.maximum(after - 2, 0)]
-        before = b[np.maximum(after - 3, 0)]
-        kind[(prev == 10) | ((prev == 13) & (before == 10))] = 1
+        kind[(b[after - 2] == 10) | ((b[after - 2] == 13) & (b[after - 3] == 10))] = 1
         kind[b[after] == 61] = 0  # a heading follows
-        space = (b == 32) | (b == 9)
-        blank = np.flatnonzero(space) + 1
-        blank = blank[(blank < self.n) & (blank > 1)]
+        blank = np.flatnonzero((b == 32) | (b == 9)) + 1
         mark = b[blank - 2]
-        ends = (mark == 46) | (mark == 33) | (mark == 63)
+        kind_of_blank = np.where((mark == 46) | (mark == 33) | (mark == 63), 3, 4).astype(np.int8)
         wide = np.flatnonzero(
             ((b[:-2] == 0xE3) & (b[1:-1] == 0x80) & (b[2:] == 0x82))
             | ((b[:-2] == 0xEF) & (b[1:-1] == 0xBC) & ((b[2:] == 0x81) | (b[2:] == 0x9F)))
         ) + 3
-        wide = wide[wide < self.n]
-        at = np.concatenate([after, blank[ends], wide])
-        kinds = np.concatenate([kind, np.full(int(ends.sum()) + len(wide), 3, np.int8)])
+        at = np.concatenate([after, blank, wide])
+        kinds = np.concatenate([kind, kind_of_blank, np.full(len(wide), 3, np.int8)])
         order = np.lexsort((kinds, at))
         at, kinds = at[order], kinds[order]
-        first = np.ones(len(at), bool)
-        first[1:] = at[1:] != at[:-1]
-        first &= self.whole[at] if len(at) else first
-        self.strong, self.kinds = at[first], kinds[first]
-        self.words = blank[~ends]
-
-    def within(self, longest: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and kinds so that no stretch between two is much longer than longest / GAP."""
-        gap = max(1, longest // GAP)
-        at, kinds = self._fill(self.strong, self.kinds, self.words, 4, gap)
-        edges = np.concatenate([[0], at, [self.n]])
-        wide = np.flatnonzero(np.diff(edges) > gap)
-        if not len(wide):
-            return at, kinds
-        step = max(1, longest // 64)
-        spots = np.concatenate([np.arange(edges[i] + step, edges[i + 1], step) for i in wide])
-        return self._fill(at, kinds, np.unique(self.snap(spots)), 5, gap)
-
-    def _fill(self, at: np.ndarray, kinds: np.ndarray, more: np.ndarray, kind: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
-        edges = np.concatenate([[0], at, [self.n]])
-        i = np.searchsorted(edges, more, "left")
-        i = np.minimum(i, len(edges) - 1)
-        more = more[(edges[i] != more) & (edges[i] - edges[i - 1] > gap)]
-        both = np.concatenate([at, more])
-        order = np.argsort(both, kind="stable")
-        return both[order], np.concatenate([kinds, np.full(len(more), kind, np.int8)])[order]
+        keep = np.ones(len(at), bool)
+        keep[1:] = at[1:] != at[:-1]
+        text = self.text_of(at)
+        keep &= self.whole[at] & (at > self.first[text]) & (at < self.last[text])
+        self.at, self.kinds, self.text = at[keep], kinds[keep], text[keep]
+        # lines: every line feed, and the ends of the texts
+        self.line_ends = np.sort(np.concatenate([feed, self.first - 1, self.last]))
+
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        return np.maximum(np.searchsorted(self.first, at, "right") - 1, 0)
 
     def snap(self, spots: np.ndarray) -> np.ndarray:
         """Each spot, or the nearest place before it that breaks no character."""
@@ -98,82 +88,224 @@ class Boundaries:
             spots -= ~self.whole[spots]
         return spots
 
+    def candidates(self, chosen: np.ndarray, longest: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions, kinds and texts of all places to cut the texts in `chosen`, with forced ones in long stretches."""
+        wanted = np.zeros(len(self.sizes), bool)
+        wanted[chosen] = True
+        mine = wanted[self.text] & (self.at - self.first[self.text] >= overlap + LEAST)
+        at, kinds, text = self.at[mine], self.kinds[mine], self.text[mine]
+        edges = np.concatenate([at, self.first[chosen] + overlap, self.last[chosen]])
+        owner = np.concatenate([text, chosen, chosen])
+        order = np.argsort(edges, kind="stable")
+        edges, owner = edges[order], owner[order]
+        wide = np.flatnonzero((np.diff(edges) > longest // 4) & (owner[1:] == owner[:-1]))
+        step = max(1, longest // 64)
+        n = (edges[wide + 1] - edges[wide] - 1) // step
+        forced = np.repeat(edges[wide], n) + step * (_ramp(n) + 1)
+        where = np.repeat(owner[wide], n)
+        forced = self.snap(forced)
+        fine = (forced - self.first[where] >= overlap + LEAST) & (forced < self.last[where])
+        fine[1:] &= forced[1:] != forced[:-1]
+        at = np.concatenate([at, forced[fine]])
+        order = np.argsort(at, kind="stable")  # of a natural and a forced place the natural one comes first
+        order = order[np.concatenate([[True], np.diff(at[order]) > 0])] if len(order) else order
+        kinds = np.concatenate([kinds, np.full(int(fine.sum()), 5, np.int8)])
+        return at[order], kinds[order], np.concatenate([text, where[fine]])[order]
+
+    def lines_of(self, cuts: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, number (from 1) and size of each line that a cut breaks."""
+        i = np.searchsorted(self.line_ends, cuts)
+        inside = (self.line_ends[i - 1] + 1 < cuts) & (cuts < self.line_ends[i])
+        i, pick = np.unique(i[inside], return_index=True)
+        owner = text[inside][pick]
+        number = i - np.searchsorted(self.line_ends, self.first[owner] - 1)
+        return owner, number, self.line_ends[i] - self.line_ends[i - 1] - 1
+
+
+def _ramp(n: np.ndarray) -> np.ndarray:
+    """0 .. n[0] - 1, 0 .. n[1] - 1, ..."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(n) else 0) - np.repeat(ends - n, n)
+
+
+class _Nodes:
+    """Places to cut, in order: position, base (where the tokens counted for the next piece begin), cost of the best way."""
+
+    def __init__(self, at: np.ndarray, base: np.ndarray, text: np.ndarray, price: np.ndarray, kind: np.ndarray) -> None:
+        self.at, self.base, self.text, self.price, self.kind = at, base, text, price, kind
+        self.cost = np.full(len(at), np.inf)
+
+
+def _ways(lo: np.ndarray, hi: np.ndarray, source: _Nodes, at: np.ndarray, even: np.ndarray):
+    """Costs of all ways from source[lo:hi] to each position, flat, and what position (row) each belongs to."""
+    n = np.maximum(hi - lo, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    i = lo[row] + _ramp(n)
+    off = (at[row] - source.base[i]) / even[row] - 1
+    return source.cost[i] + off * off, n, row, i
 
-def cut(bounds: Boundaries, max_tokens: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and kinds of the pieces of a text larger than max_tokens. The last piece's kind is -1."""
-    n, longest = bounds.n, max_tokens - overlap
-    at, kinds = bounds.within(longest)
-    keep = at > overlap
-    at, kinds = at[keep], kinds[keep]
-    starts = bounds.snap(at - overlap)
-    extra = at - overlap - starts
-    # Piece i -> j holds at[j] - start[i] tokens; beyond the overlap that is at[j] - base[i].
-    base = np.concatenate([[overlap], at - extra])
-    at = np.concatenate([[overlap], at])
-    price = np.concatenate([[0.0], PENALTIES[kinds] + UNEVEN_OVERLAP * (extra > 0)])
-    count = -(-(n - overlap) // longest)
-    even = (n - overlap) / count
-    block, least = longest // 2, longest // 2 + 4
-    m = len(at)
-    cost, back = np.full(m, np.inf), np.zeros(m, np.int64)
-    cost[0] = 0.0
-    i = 1
-    while i < m:  # all positions of a block are reached from earlier blocks only
-        j = int(np.searchsorted(at, at[i] + block, "left"))
-        lo = int(np.searchsorted(base, at[i] - longest, "left"))
-        hi = int(np.searchsorted(base, at[j - 1] - least, "right"))
-        if lo < hi:
-            length = at[i:j, None] - base[None, lo:hi]
-            total = cost[None, lo:hi] + ((length - even) / even) ** 2
-            total[(length > longest) | (length < least)] = np.inf
-            best = total.argmin(axis=1)
-            cost[i:j] = total[np.arange(j - i), best] + price[i:j]
-            back[i:j] = lo + best
-        i = j
-    lo = int(np.searchsorted(base, n - longest, "left"))
-    total = cost[lo:] + ((n - base[lo:] - even) / even) ** 2
-    k = lo + int(total.argmin())
-    if not np.isfinite(cost[k]):
+
+def _least(lo: np.ndarray, hi: np.ndarray, source: _Nodes, at: np.ndarray, even: np.ndarray) -> np.ndarray:
+    """The least cost of reaching each position from source[lo:hi]."""
+    out = np.full(len(at), np.inf)
+    some = np.flatnonzero(hi > lo)
+    if len(some):
+        costs, n, _, _ = _ways(lo[some], hi[some], source, at[some], even[some])
+        out[some] = np.minimum.reduceat(costs, np.cumsum(n) - n)
+    return out
+
+
+def cut_texts(bounds: Boundaries, chosen: np.ndarray, max_tokens: int, overlap: int):
+    """Texts, starts, ends and kinds of the pieces of the texts in `chosen`, all larger than max_tokens, in order.
+
+    The last piece of a text has kind -1. Positions are those of `bounds`.
+    """
+    if not len(chosen):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.astype(np.int8)
+    longest = max_tokens - overlap
+    total = bounds.sizes[chosen] - overlap
+    even_of = np.zeros(len(bounds.sizes))
+    even_of[chosen] = total / -(-total // longest)
+    at, kinds, text = bounds.candidates(chosen, longest, overlap)
+    extra = (at - overlap) - bounds.snap(at - overlap)
+    price = PENALTIES[kinds] + UNEVEN_OVERLAP * (extra > 0)
+
+    # the cheaper places around each word or forced place; the ends of the texts stand in where there is none
+    strong = np.flatnonzero(kinds <= STRONG)
+    far = 1 << 40
+    s_at = np.concatenate([[-far], at[strong], [far]])
+    s_text = np.concatenate([[-1], text[strong], [-1]])
+    s_price = np.concatenate([[0.0], price[strong], [0.0]])
+    s_base = np.concatenate([[-far], at[strong] - extra[strong], [far]])
+    right = np.searchsorted(s_at, at, "right")
+    left = np.searchsorted(s_at, at, "left") - 1
+    even = even_of[text]
+    need = lambda d: 2 * d * (longest + 3) / even**2 + 6 / even + 27 / even**2
+    beside = (kinds > STRONG) & (s_text[left] == text) & (s_text[right] == text) & (s_at[right] - s_at[left] <= longest // 2 - 8)
+    for q, d in ((left, at - s_at[left]), (right, s_at[right] - at)):
+        beside &= price - s_price[q] > need(np.where(beside, d, 0))
+    b = _Nodes(*[x[beside] for x in (at, at - extra, text, price, kinds)])
+    b_left, b_right = s_base[left[beside]], s_at[right[beside]]
+    # all others, with a first node (where the first piece's tokens count from) and a last one per text
+    first, last = bounds.first[chosen] + overlap, bounds.last[chosen]
+    m, zero = len(chosen), np.zeros(len(chosen))
+    joined = [
+        np.concatenate(x)
+        for x in (
+            (first, at[~beside], last), (first, (at - extra)[~beside], last), (chosen, text[~beside], chosen),
+            (zero, price[~beside], zero), (np.full(m, -2), kinds[~beside], np.full(m, -1)),
+        )
+    ]
+    order = np.argsort(joined[0], kind="stable")
+    a = _Nodes(*[x[order] for x in joined])
+    a.cost[a.kind == -2] = 0.0
+
+    first_a, first_b = (np.searchsorted(x.at, bounds.first) for x in (a, b))
+    reach = lambda x, source, begin: np.maximum(np.searchsorted(source.base, x.at - longest), begin[x.text])
+    # ways into a: from all of a within reach, and from b only where its left neighbour is beyond reach
+    a_lo, a_hi = reach(a, a, first_a), np.searchsorted(a.at, a.at - LEAST, "right")
+    ab_lo, ab_hi = reach(a, b, first_b), np.searchsorted(b_left, a.at - longest)
+    # ways into b: only from where its right neighbour is beyond reach
+    ba_lo, ba_hi = reach(b, a, first_a), np.searchsorted(a.base, b_right - longest)
+    bb_lo, bb_hi = reach(b, b, first_b), np.minimum(np.searchsorted(b.base, b_right - longest), np.searchsorted(b_left, b.at - longest))
+    even_a, even_b = even_of[a.text], even_of[b.text]
+
+    # blocks of positions so short that a way through b always begins in an earlier one
+    width = max(LEAST, longest // 2 - 8)
+    block = lambda x: (x.at - bounds.first[x.text] - overlap) // width
+    block_a, block_b = block(a), block(b)
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(block_a) != 0) | (np.diff(a.text) != 0)]))
+    begin = np.repeat(starts, np.diff(np.append(starts, len(block_a))))
+    rank = np.arange(len(begin)) - begin
+    order_a, order_b = np.lexsort((rank, block_a)), np.argsort(block_b, kind="stable")
+    n_blocks = int(block_a.max()) + 1 if len(block_a) else 0
+    edges_a = np.searchsorted(block_a[order_a], np.arange(n_blocks + 1))
+    edges_b = np.searchsorted(block_b[order_b], np.arange(n_blocks + 1))
+    for k in range(n_blocks):
+        j = order_b[edges_b[k] : edges_b[k + 1]]
+        if len(j):
+            ways = _least(ba_lo[j], ba_hi[j], a, b.at[j], even_b[j]), _least(bb_lo[j], bb_hi[j], b, b.at[j], even_b[j])
+            b.cost[j] = np.minimum(*ways) + b.price[j]
+        j = order_a[edges_a[k] : edges_a[k + 1]]
+        ways = _least(a_lo[j], np.minimum(a_hi[j], begin[j]), a, a.at[j], even_a[j]), _least(ab_lo[j], ab_hi[j], b, a.at[j], even_a[j])
+        a.cost[j] = np.minimum(a.cost[j], np.minimum(*ways) + a.price[j])
+        ranks = rank[j]
+        turns = np.searchsorted(ranks, np.arange(1, (ranks[-1] if len(ranks) else 0) + 2))
+        for x, y in zip(turns[:-1], turns[1:]):  # within the block one after the other, all texts at once
+            t = j[x:y]
+            t = t[a_hi[t] > begin[t]]
+            if len(t):
+                near = _least(np.maximum(a_lo[t], begin[t]), a_hi[t], a, a.at[t], even_a[t])
+                a.cost[t] = np.minimum(a.cost[t], near + a.price[t])
+
+    # back from the ends, all texts at once
+    where, in_a = np.flatnonzero(a.kind == -1), np.ones(m, bool)
+    if not np.isfinite(a.cost[where]).all():
         raise ValueError("no way to cut within the limits")
-    chain = []
-    while k:
-        chain.append(k)
-        k = int(back[k])
-    chain = np.array(chain[::-1], np.int64)
-    ends = np.concatenate([at[chain], [n]])
-    begins = np.concatenate([[0], starts[chain - 1]])
-    return begins, ends, np.concatenate([kinds[chain - 1], [-1]]).astype(np.int8)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(where):
+        t = np.where(in_a, a.text[np.where(in_a, where, 0)], b.text[np.where(in_a, 0, where)] if len(b.text) else 0)
+        at_now = np.where(in_a, a.at[np.where(in_a, where, 0)], b.at[np.where(in_a, 0, where)] if len(b.at) else 0)
+        kind_now = np.where(in_a, a.kind[np.where(in_a, where, 0)], b.kind[np.where(in_a, 0, where)] if len(b.kind) else 0)
+        found.append((t, at_now, kind_now))
+        pick = lambda x, y: np.where(in_a, x[np.where(in_a, where, 0)], y[np.where(in_a, 0, where)] if len(y) else 0)
+        via_a = _best(pick(a_lo, ba_lo), pick(a_hi, ba_hi), a, at_now, even_of[t])
+        via_b = _best(pick(ab_lo, bb_lo), pick(ab_hi, bb_hi), b, at_now, even_of[t])
+        in_a = via_a[0] <= via_b[0]
+        where = np.where(in_a, via_a[1], via_b[1])
+        go_on = ~in_a | (a.kind[np.where(in_a, where, 0)] != -2)
+        where, in_a = where[go_on], in_a[go_on]
+    text, ends, kinds = (np.concatenate([f[i] for f in found]) for i in range(3))
+    order = np.argsort(ends, kind="stable")
+    text, ends, kinds = text[order], ends[order], kinds[order]
+    begins = bounds.first[text]
+    later = np.flatnonzero(text[1:] == text[:-1]) + 1
+    begins[later] = bounds.snap(ends[later - 1] - overlap)
+    return text, begins, ends, kinds.astype(np.int8)
+
+
+def _best(lo: np.ndarray, hi: np.ndarray, source: _Nodes, at: np.ndarray, even: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least cost of reaching each position from source[lo:hi], and from where."""
+    out, origin = np.full(len(at), np.inf), np.zeros(len(at), np.int64)
+    some = np.flatnonzero(hi > lo)
+    if len(some):
+        costs, n, row, i = _ways(lo[some], hi[some], source, at[some], even[some])
+        out[some] = np.minimum.reduceat(costs, np.cumsum(n) - n)
+        hit = np.flatnonzero(costs == out[some][row])
+        origin[some] = i[hit[np.searchsorted(row[hit], np.arange(len(some)))]]
+    return out, origin
 
 
 def _cutter(limits: Sequence[tuple[int, int]]):
     """An Arrow function from texts (binary) to their pieces for each limit; a limit a text doesn't exceed gives none."""
 
     def cut_batch(texts: pa.Array) -> pa.Array:
-        cols: list[list] = [[] for _ in range(6)]
-        sizes = np.zeros((2, len(texts) + 1), np.int64)
+        raw = [np.frombuffer(t.as_buffer() if t.is_valid else b"", np.uint8) for t in texts]
+        upto = np.cumsum([len(t) for t in raw])
+        chunk = (upto - [len(t) for t in raw]) // CHUNK
         none = np.zeros(0, np.int64)
-        for row, value in enumerate(texts):
-            b = np.frombuffer(value.as_buffer(), np.uint8) if value.is_valid else none.astype(np.uint8)
-            bounds = None
+        parts: list[list[tuple]] = [[], []]  # rows of (text, limit, ...) of pieces and of long lines
+        for first in np.flatnonzero(np.diff(chunk, prepend=-1)):
+            own = raw[first : first + int(np.searchsorted(chunk[first:], chunk[first], "right"))]
+            bounds = Boundaries(own)
             for i, (most, overlap) in enumerate(limits):
-                if len(b) <= most:
+                chosen = np.flatnonzero(bounds.sizes > most)
+                if not len(chosen):
                     continue
-                if bounds is None:
-                    bounds = Boundaries(b)
-                    feeds = np.concatenate([[-1], bounds.line_ends, [len(b)]])
-                    lines = np.diff(feeds) - 1
-                s, e, k = cut(bounds, most, overlap)
-                long_lines = np.flatnonzero(lines > most) + 1
-                for c, x in zip(cols, (np.full(len(s), i), s, e, k, np.full(len(long_lines), i), long_lines)):
-                    c.append(x)
-                sizes[0, row + 1] += len(s)
-                sizes[1, row + 1] += len(long_lines)
-        offsets = [pa.array(x, pa.int32()) for x in np.cumsum(sizes, axis=1)]
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.int8(), pa.int32(), pa.int64())
-        arrays = [
-            pa.ListArray.from_arrays(offsets[c > 3], pa.array(np.concatenate([none, *cols[c]]), t))
-            for c, t in enumerate(types)
-        ]
+                text, s, e, k = cut_texts(bounds, chosen, most, overlap)
+                base = bounds.first[text]
+                parts[0].append((text + first, np.full(len(text), i), s - base, e - base, k))
+                inner = k >= 0
+                owner, number, length = bounds.lines_of(e[inner], text[inner])
+                long = length > most
+                parts[1].append((owner[long] + first, np.full(int(long.sum()), i), number[long]))
+        arrays = []
+        for rows, types in zip(parts, ((pa.int32(), pa.int64(), pa.int64(), pa.int8()), (pa.int32(), pa.int64()))):
+            cols = [np.concatenate(c) for c in zip(*rows)] if rows else [none] * (len(types) + 1)
+            order = np.lexsort((cols[1], cols[0]))
+            offsets = pa.array(np.searchsorted(cols[0][order], np.arange(len(raw) + 1)), pa.int32())
+            arrays += [pa.ListArray.from_arrays(offsets, pa.array(c[order], t)) for c, t in zip(cols[1:], types)]
         return pa.StructArray.from_arrays(arrays, ["limit", "start", "end", "kind", "long_limit", "long_line"])
 
     return F.arrow_udf(cut_batch, _RESULT)
@@ -184,8 +316,9 @@ def split(
 ) -> DataFrame:
     """(doc_id, text, cuts) of the documents larger than the smallest limit of `limits` (limit_id, max, overlap).
 
-    cuts holds, for each limit the document exceeds, its pieces in order and the lines that alone are larger than the
-    limit; `pieces` and `oversized` unfold it. The text itself stays on the JVM side. A null or small text is not cut.
+    cuts holds, for each limit the document exceeds, its pieces in order and, of the lines that a cut breaks, those
+    that alone are larger than the limit (no piece can hold such a line, so a cut breaks each of them); `pieces` and
+    `oversized` unfold it. The text itself stays on the JVM side. A null or small text is not cut.
     max - overlap must be at least 16 tokens and overlap not negative. No limits give no rows.
     """
     for _, most, overlap in limits:
