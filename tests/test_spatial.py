@@ -57,6 +57,25 @@ def test_fewer_points_than_neighbours(spark):
     assert sp.nearest_neighbours(frame(spark, points(2, 3), "query_id"), none, ["s"], 3, BOX).count() == 0
 
 
+def test_a_small_crowded_group_is_searched_in_linear_rows(spark, monkeypatch):
+    n, k = 4000, 5
+    rng = np.random.default_rng(11)
+    x = 0.5 + (rng.random((n, 3)) - 0.5) * 1e-3  # a thousandth of the box
+    x[: n // 4] = 0.5 + rng.normal(size=(n // 4, 3)) * 1e-6  # and a core far denser yet
+    x[:50] = 0.5  # in one place
+    pairs = []
+    nearest = sp._nearest
+    monkeypatch.setattr(sp, "_nearest", lambda p, keys, k: pairs.append(p) or nearest(p, keys, k))
+    got = sp.nearest_neighbours(frame(spark, x, "query_id"), frame(spark, x), ["s"], k, BOX).toPandas()
+    assert len(got) == n * k
+    for i in [*range(0, 60, 20), *range(100, n, 331)]:
+        own = got[got.query_id == i].sort_values("place")
+        d = dist(x[i : i + 1], x)[0]
+        want = np.lexsort((np.arange(n), d))[:k]
+        assert np.allclose(own.r, d[want], atol=1e-12) and (i >= 50 or own.particle_id.tolist() == want.tolist())
+    assert sum(p.count() for p in pairs) < 200 * n
+
+
 def test_radius_shell_and_cylinder(spark):
     x, q = points(500, 3, clumps=1), points(40, 4)
     d = dist(q, x)
@@ -87,6 +106,20 @@ def test_linked_groups(spark):
     assert got == {i: (label[i], (label == label[i]).sum()) for i in range(len(x))}
 
 
+@pytest.mark.parametrize("gap", [0.0499, 0.0501])
+def test_crowded_cells_are_linked_by_their_parts(spark, gap):
+    rng = np.random.default_rng(7)
+    a = np.c_[0.300 - rng.random(800) * 0.02, 0.5 + rng.random((800, 2)) * 0.02]
+    b = np.c_[0.300 + gap + rng.random(800) * 0.02, 0.5 + rng.random((800, 2)) * 0.02]
+    a[0], b[0] = (0.300, 0.51, 0.51), (0.300 + gap, 0.51, 0.51)
+    x = np.concatenate([a, b, np.full((30, 3), 0.9)])
+    got = {r["particle_id"]: r["tag"] for r in sp.friends_of_friends(frame(spark, x), ["s"], 0.05, BOX).collect()}
+    linked = (dist(a, b) < 0.05).any()
+    assert linked == (gap < 0.05)
+    assert {got[i] for i in range(800)} == {0} and {got[i] for i in range(800, 1600)} == {0 if linked else 800}
+    assert {got[i] for i in range(1600, 1630)} == {1600}
+
+
 def test_components_of_a_chain(spark):
     nodes = spark.range(50).select(F.col("id").alias("node"))
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 39)] + [(45, 44), (45, 45)], "a long, b long")
@@ -222,7 +255,6 @@ def test_scalar_functions(spark):
     df = spark.createDataFrame([(0.7, 1.0), (-0.7, 1.0), (0.5, 1.0), (0.2, None)], "d double, l double")
     assert [round(r[0], 9) for r in df.select(g.nearest("d", "l")).collect()] == [-0.3, 0.3, 0.5, 0.2]
     assert [round(r[0], 9) for r in df.limit(2).select(g.wrap("d", "l")).collect()] == [0.7, 0.3]
-    assert g.closest_factors(12, 3) == [2, 2, 3] and g.closest_factors(7, 2) == [1, 7]
     row = spark.range(1).select(
         ph.softening(F.lit(0.01), F.lit(-1.0), F.lit(0.5)), ph.softening(F.lit(0.01), F.lit(0.002), F.lit(0.5)),
         ph.hubble(F.lit(1.0), F.lit(0.3), F.lit(0.7), F.lit(100.0)), ph.is_tracer(F.lit(4), 18), ph.is_tracer(F.lit(None), 18), ph.is_bound(F.lit(0.0)),

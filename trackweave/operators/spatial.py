@@ -10,9 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackweave.functions.geometry import cell, distance2, vec
+from trackweave.functions.geometry import cell, distance2, nearest, vec
 from trackweave.functions.physics import sph_kernel
-from trackweave.runtime import cut
+from trackweave.runtime import cut, small
 
 #: Points of a group up to which every query of the group looks at all of them.
 FEW = 128
@@ -58,66 +58,110 @@ def within_cylinder(centres: DataFrame, points: DataFrame, by: Sequence[str], rz
     near = within_radius(centres, points, by, radius * (1 + 1e-9), box)
     q = centres.select(*by, "centre_id", *[F.col(a).alias(f"q{a}") for a in "xyz"])
     d = near.join(q, [*by, "centre_id"]).join(points.select(*by, "particle_id", "x", "y", "z"), [*by, "particle_id"])
-    from trackweave.functions.geometry import nearest
-
     dx, dy, dz = (nearest(F.col(a) - F.col(f"q{a}"), box) for a in "xyz")
     return d.where((F.abs(dz) < rz) & (dx * dx + dy * dy < rp * rp)).select(*by, "centre_id", "particle_id")
 
 
 def nearest_neighbours(
-    queries: DataFrame, points: DataFrame, by: Sequence[str], k: int, box: float, finest: int = 64
+    queries: DataFrame, points: DataFrame, by: Sequence[str], k: int, box: float
 ) -> DataFrame:
     """(by, query_id, particle_id, r, place): the k nearest points of each query, place from 1, ties by id.
 
-    Grids from fine to coarse: at each, the open queries look at the 27 cells around their own. A query is settled
-    once its k-th neighbour is no farther than a cell is wide, as nothing nearer can lie outside; only the others go on to
-    cells of twice the width, so crowded places are settled in small cells and the coarse ones serve the lonely
-    queries. The last grid covers the box. Groups of at most FEW points need no grid: each query looks at all of them. A query's own row is a neighbour unless it is left out of the points.
-    Queries with fewer than k points in their group get all of them; without any they get no row.
+    Groups of at most FEW points need no grid: each query looks at all of them. The others form an octree over the box,
+    split as long as cells hold k points or more (LEAF at least), so the cells adapt to every group and to its crowded
+    places. A query's level is that of the finest such cell around it: these lie within 1.74 of its side, so the 27 cells a level above
+    hold all k nearest. Most queries are settled two levels below that, where 27 cells hold few points, by a k-th
+    neighbour that is no farther than a cell is wide. Of points in one place only the k of least id are looked at, and
+    queries in one place ask once. A query's own row is a neighbour unless it is left out of the points. Queries with
+    fewer than k points in their group get all of them; without any they get no row. Null positions have no neighbours.
     """
-    keys = [*by, "query_id"]
-    asked = queries.select(*keys, *[F.col(a).alias(f"q{a}") for a in "xyz"])
-    here = points.select(*by, "particle_id", "x", "y", "z")
+    keys, place = [*by, "query_id"], ["x", "y", "z"]
+    somewhere = " AND ".join(f"{c} IS NOT NULL" for c in place)
+    asked = queries.where(somewhere).select(*keys, *[F.col(c).alias(f"q{c}") for c in place])
+    here = points.where(somewhere).select(*by, "particle_id", *place)
     sizes = here.groupBy(*by).agg(F.count("*").alias("_n"))
     few = sizes.where(F.col("_n") <= FEW).select(*by)
     near = asked.join(here.join(few, list(by), "left_semi"), list(by))
-    done = [_nearest(near.select(*keys, "particle_id", F.sqrt(distance2(vec("q"), vec(""), box)).alias("r")), keys, k)]
+    direct = _nearest(near.select(*keys, "particle_id", F.sqrt(distance2(vec("q"), vec(""), box)).alias("r")), keys, k)
     many = sizes.where(F.col("_n") > FEW).select(*by)
-    todo = cut(asked.join(many, list(by), "left_semi"))
-    points = cut(here.join(many, list(by), "left_semi"))
-    if todo.isEmpty():
-        return done[0]
-    n = _start_grid(points, by, k, box, finest)
-    while True:
-        q = _around(todo.select("*", *[cell(F.col(f"q{a}"), F.lit(box / n), n).alias(f"c{a}") for a in "xyz"]), n)
-        p = points.select(*by, "particle_id", "x", "y", "z", *_cells_of(n, box))
-        r = F.sqrt(distance2(vec("q"), vec(""), box))
-        best = _nearest(q.join(p, [*by, "cx", "cy", "cz"]).select(*keys, "particle_id", r.alias("r")), keys, k)
-        if n <= 3:  # 27 cells are the whole box
-            done.append(best)
-            break
-        best = cut(best)
-        settled = best.where((F.col("place") == k) & (F.col("r") <= box / n)).select(*keys)
-        done.append(best.join(settled, keys, "left_semi"))
-        todo = cut(todo.join(settled, keys, "left_anti"))
+    mine = cut(asked.join(many, list(by), "left_semi"))
+    if mine.isEmpty():
+        return direct
+    w = Window.partitionBy(*by, *place).orderBy("particle_id")
+    kept = here.join(many, list(by), "left_semi").withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= k).drop("_i")
+    kept = cut(kept.withColumns({d: cell(F.col(c), F.lit(box / (1 << DEEPEST)), 1 << DEEPEST) for c, d in zip(place, _AXES)}))
+    at = ["qx", "qy", "qz"]
+    todo = mine.select(*by, *at).distinct().withColumns({f"d{c}": cell(F.col(c), F.lit(box / (1 << DEEPEST)), 1 << DEEPEST) for c in at})
+    todo = cut(_own_levels(todo, _full_cells(kept, by, max(k, LEAF)), by))
+    done: list[DataFrame] = []
+    for offset in (1, 0, -1):
+        best = cut(_search(todo, kept, by, k, box, offset))
+        side = F.lit(box) / F.expr("shiftleft(1, _level)")
+        sure = (F.col("_level") <= 1) if offset >= 0 else F.lit(True)
+        settled = best.where(sure | ((F.col("place") == k) & (F.col("r") < side))).select(*by, *at).distinct()
+        done.append(best.join(settled, [*by, *at], "left_semi").select(*by, *at, "particle_id", "r", "place"))
+        todo = cut(todo.join(settled, [*by, *at], "left_anti"))
         if todo.isEmpty():
             break
-        n = max(3, n // 2)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
+    return direct.unionByName(mine.join(out, [*by, *at]).select(*keys, "particle_id", "r", "place"))
+
+
+#: Halvings of the box at the finest cells of an octree, and levels counted in one pass.
+DEEPEST, PASS = 20, 4
+#: Points a cell must hold to be split, at least.
+LEAF = 8
+_AXES = ("dx", "dy", "dz")
+
+
+def _full_cells(points: DataFrame, by: Sequence[str], k: int) -> DataFrame:
+    """(by, _level, cx, cy, cz) of the octree's cells that hold at least k points."""
+    alive, found = points.select(*by, *_AXES), []
+    for first in range(1, DEEPEST + 1, PASS):
+        last = min(first + PASS - 1, DEEPEST)
+        each = alive.withColumn("_level", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        cells = each.select(*by, "_level", *[F.expr(f"shiftright({c}, {DEEPEST} - _level)").alias(f"c{c[1]}") for c in _AXES])
+        full = cut(cells.groupBy(*by, "_level", "cx", "cy", "cz").agg(F.count("*").alias("_n")).where(F.col("_n") >= k).drop("_n"))
+        found.append(full)
+        lowest = full.where(F.col("_level") == last).drop("_level")
+        if last == DEEPEST or lowest.isEmpty():
+            break
+        deeper = alive.withColumns({f"c{c[1]}": F.shiftright(c, DEEPEST - last) for c in _AXES}).join(small(lowest), [*by, "cx", "cy", "cz"], "left_semi")
+        alive = cut(deeper.select(*by, *_AXES))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
     return out
 
 
-def _start_grid(points: DataFrame, by: Sequence[str], k: int, box: float, finest: int) -> int:
-    """The coarsest grid, of 4, 8, ... up to finest cells a side, none of whose cells holds more than 4 k points."""
-    n = 4
-    while n < finest:
-        most = points.groupBy(*by, *_cells_of(n, box)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-        if (most or 0) <= 4 * k:
-            break
-        n *= 2
-    return n
+def _own_levels(asked: DataFrame, full: DataFrame, by: Sequence[str]) -> DataFrame:
+    """asked with `_own`, the finest level whose cell around it is full (0, the box, where none is)."""
+    levels = F.explode(F.sequence(F.lit(1), F.lit(DEEPEST))).alias("_level")
+    used = full.select(*by, "_level").distinct()
+    each = asked.select("*", levels).join(small(used), [*by, "_level"], "left_semi")
+    cells = each.select(*asked.columns, "_level", *[F.expr(f"shiftright(d{c}, {DEEPEST} - _level)").alias(f"c{c[1]}") for c in ("qx", "qy", "qz")])
+    hit = cells.join(small(full), [*by, "_level", "cx", "cy", "cz"], "left_semi")
+    own = hit.groupBy(*by, "qx", "qy", "qz").agg(F.max("_level").alias("_own"))
+    return asked.join(own, [*by, "qx", "qy", "qz"], "left").withColumn("_own", F.coalesce("_own", F.lit(0)))
+
+
+def _search(asked: DataFrame, points: DataFrame, by: Sequence[str], k: int, box: float, offset: int) -> DataFrame:
+    """(by, qx, qy, qz, _level, particle_id, r, place): the k nearest in the 27 cells around, `offset` levels below the own one."""
+    at = ["qx", "qy", "qz"]
+    q = asked.withColumn("_level", F.greatest(F.lit(0), F.least(F.lit(DEEPEST), F.col("_own") + offset)))
+    for c in at:
+        n = F.expr("shiftleft(1, _level)")
+        mid = F.expr(f"shiftright(d{c}, {DEEPEST} - _level)")
+        near = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(3)) - 1), lambda i: F.pmod(mid + i - F.least(F.lit(1), n - 1), n))
+        q = q.withColumn(f"c{c[1]}", F.explode(near))
+    used = q.select(*by, "_level").distinct()
+    p = points.join(small(used), list(by)).withColumns({f"c{c[1]}": F.expr(f"shiftright({c}, {DEEPEST} - _level)") for c in _AXES})
+    cells = [*by, "_level", "cx", "cy", "cz"]
+    r = F.sqrt(distance2(vec("q"), vec(""), box)).alias("r")
+    pairs = q.select(*cells, *at).join(p.select(*cells, "particle_id", "x", "y", "z"), cells)
+    return _nearest(pairs.select(*by, *at, "_level", "particle_id", r), [*by, *at, "_level"], k)
 
 
 def _nearest(pairs: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
@@ -162,9 +206,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def friends_of_friends(points: DataFrame, by: Sequence[str], link: float, box: float) -> DataFrame:
     """(by, particle_id, tag, length): groups of points chained by separations below `link`, single points too.
 
-    Points of one cell of side link / sqrt(3) are linked by the cell itself, so a crowded cell emits no pairs; only
-    pairs of points in different cells near each other are compared, and they become edges between cells. `by` must
-    be one column, that holds integers. The tag is the least particle_id of the group.
+    Points of one cell of side link / sqrt(3) are linked by the cell itself, so a crowded cell emits no pairs. Pairs of
+    cells near each other become edges if any of their points are close: see `_near_pairs`. `by` must be one column,
+    that holds integers. The tag is the least particle_id of the group.
     """
     n = 2 * max(1, int(box / (link * 0.999 / 3**0.5) / 2))
     one = by[0]
@@ -185,11 +229,8 @@ def friends_of_friends(points: DataFrame, by: Sequence[str], link: float, box: f
         close_by = close_by & (gap <= 4)
     pairs = near.join(here, [one, *[f"b{c}" for c in axes]]).where(close_by & (F.col("_a") != F.col("rep")))
     pairs = pairs.select(one, F.least("_a", "rep").alias("a"), F.greatest("_a", "rep").alias("b")).distinct()
-    own = p.join(cells.select(one, "cx", "cy", "cz", "rep"), [one, "cx", "cy", "cz"]).select(one, "rep", "particle_id", "x", "y", "z")
-    left = own.select(one, F.col("rep").alias("a"), *[F.col(c).alias(f"q{c}") for c in "xyz"])
-    right = own.select(one, F.col("rep").alias("b"), "x", "y", "z")
-    close = distance2(vec("q"), vec(""), box) < link * link
-    edges = pairs.join(left, [one, "a"]).join(right, [one, "b"]).where(close).select(one, "a", "b").distinct()
+    own = cut(p.join(cells.select(one, "cx", "cy", "cz", "rep"), [one, "cx", "cy", "cz"]).select(one, "rep", "particle_id", "x", "y", "z"))
+    edges = _near_pairs(cut(pairs), own, one, n, link, box)
     code = lambda c: F.struct(F.col(one).cast("long").alias("s"), F.col(c).alias("p"))
     comp = components(
         cells.select(code("rep").alias("node")), edges.select(code("a").alias("a"), code("b").alias("b"))
@@ -199,6 +240,66 @@ def friends_of_friends(points: DataFrame, by: Sequence[str], link: float, box: f
     return tagged.join(sizes, [one, "tag"]).select(one, "particle_id", "tag", "length")
 
 
+#: Comparisons of points up to which a pair of cells, or of parts of them, is compared point by point.
+COMPARED = 256
+#: Splits after which parts are as small as the resolution of positions; what is left then is compared.
+SPLITS = 40
+
+
+def _near_pairs(pairs: DataFrame, points: DataFrame, one: str, n: int, link: float, box: float) -> DataFrame:
+    """(one, a, b) of the pairs of cells with two points closer than `link`; points: one, rep (their cell), x, y, z.
+
+    First the extents of the cells are compared: pairs that can't or must be near are decided. Of the others those with
+    few points are compared point by point; crowded ones are split into the eight parts of either cell, and pairs of
+    these are decided likewise. A pair leaves as soon as one pair of its parts is near, so crowded cells never meet
+    point by point.
+    """
+    parts = points.withColumn("part", F.lit(""))
+    open_ = pairs.select(one, "a", "b", F.lit("").alias("pa"), F.lit("").alias("pb"))
+    edges: list[DataFrame] = []
+    for depth in range(1, SPLITS + 1):
+        extent = [f(c).alias(f"{f.__name__}_{c}") for c in "xyz" for f in (F.min, F.max)]
+        boxes = cut(parts.groupBy(one, "rep", "part").agg(F.count("*").alias("n"), *extent))
+        side = lambda s: boxes.select(one, F.col("rep").alias(s), F.col("part").alias(f"p{s}"), *[F.col(c).alias(f"{s}_{c}") for c in boxes.columns[3:]])
+        j = open_.join(side("a"), [one, "a", "pa"]).join(side("b"), [one, "b", "pb"])
+        least, most, size = F.lit(0.0), F.lit(0.0), F.lit(0.0)
+        for c in "xyz":
+            mid = F.abs(nearest((F.col(f"a_min_{c}") + F.col(f"a_max_{c}")) / 2 - (F.col(f"b_min_{c}") + F.col(f"b_max_{c}")) / 2, box))
+            half = (F.col(f"a_max_{c}") - F.col(f"a_min_{c}") + F.col(f"b_max_{c}") - F.col(f"b_min_{c}")) / 2
+            least = least + F.pow(F.greatest(F.lit(0.0), mid - half), F.lit(2))
+            most = most + F.pow(mid + half, F.lit(2))
+            size = size + half
+        # a hair of room, so that rounding decides nothing
+        state = F.when(least > link * link * (1 + 1e-9), 0).when(most < link * link * (1 - 1e-9), 1)
+        state = state.when(size == 0, (least < link * link).cast("int"))  # points in one place each
+        state = state.when((F.col("a_n") * F.col("b_n") <= COMPARED) | F.lit(depth == SPLITS), 2).otherwise(3)
+        judged = cut(j.select(one, "a", "b", "pa", "pb", state.alias("state")).where("state > 0"))
+        sure = judged.where("state = 1").select(one, "a", "b").distinct()
+        left = judged.where("state > 1").join(sure, [one, "a", "b"], "left_anti")
+        q = parts.select(one, F.col("rep").alias("a"), F.col("part").alias("pa"), *[F.col(c).alias(f"q{c}") for c in "xyz"])
+        p = parts.select(one, F.col("rep").alias("b"), F.col("part").alias("pb"), "x", "y", "z")
+        close = distance2(vec("q"), vec(""), box) < link * link
+        met = left.where("state = 2").join(q, [one, "a", "pa"]).join(p, [one, "b", "pb"]).where(close).select(one, "a", "b").distinct()
+        hit = cut(sure.unionByName(met).distinct())
+        edges.append(hit)
+        crowded = cut(left.where("state = 3").join(hit, [one, "a", "b"], "left_anti").select(one, "a", "b", "pa", "pb"))
+        if crowded.isEmpty():
+            break
+        wanted = crowded.select(one, F.col("a").alias("rep")).unionByName(crowded.select(one, F.col("b").alias("rep"))).distinct()
+        fine = n << depth
+        eighth = sum((F.pmod(F.floor(F.col(c) / F.lit(box / fine)), F.lit(2)) * (1 << i) for i, c in enumerate("xyz")), F.lit(0))
+        parts = cut(parts.join(wanted, [one, "rep"], "left_semi").withColumn("part", F.concat("part", eighth.cast("string"))))
+        filled = parts.select(one, "rep", "part").distinct()
+        for s in "ab":
+            kids = filled.select(one, F.col("rep").alias(s), F.col("part").alias(f"_{s}"), F.substring("part", 1, depth - 1).alias(f"p{s}"))
+            crowded = crowded.join(kids, [one, s, f"p{s}"])
+        open_ = cut(crowded.select(one, "a", "b", F.col("_a").alias("pa"), F.col("_b").alias("pb")))
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionByName(e)
+    return out.distinct()
+
+
 def multipoles(points: DataFrame, by: Sequence[str], levels: int, box: str = "box_size") -> DataFrame:
     """(by, level, cx, cy, cz, n, mass, x, y, z): count, mass and centre of mass of every cell of every level of an
     octree over the box, level 0 being the box itself (A19). Sums merge before the shuffle. Massless cells have null
