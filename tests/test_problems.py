@@ -54,6 +54,8 @@ def test_orphans_in_batches_equal_one_pass(spark, periods, tmp_path):
     targets = [(rng.choice([3, 7, 9]), rng.randint(0, 30), rng.random() < 0.3, day(rng.randint(0, 40))) for _ in range(150)]
     r, t = frames(spark, refs, targets)
     whole = ref.orphan_references([r], t, "id", periods, "withdrawn")
+    halves = ref.orphan_references([r.part(F.lit(True))], t.withColumn("k", F.lit(0)), "id", periods, "withdrawn", [F.col("k") > 3, F.col("k") >= 0])
+    assert found(halves) == found(whole)
     ledger = Ledger(spark, str(tmp_path))
     existing = ref.existence_deltas(t, "id", periods, 1, "withdrawn")
     ledger.apply(existing.where("key % 2 = 0"), 0)  # in any order
@@ -79,6 +81,20 @@ def test_orphans_in_batches_equal_one_pass(spark, periods, tmp_path):
     assert {k: v[0] for k, v in found(whole).items()} == want
 
 
+def test_references_are_taken_back(spark, periods):
+    columns = "snapshot_id long, track_id long, k long"
+    before = spark.createDataFrame([(3, 1, 5), (3, 2, 5), (3, 3, 6), (3, 4, None)], columns)
+    after = spark.createDataFrame([(3, 1, 5), (3, 2, 7), (3, 4, None), (3, 5, 8)], columns)
+    changes = ref.revisions(before, after, ["track_id"], "k")
+    assert sorted((r["k"], r["sign"]) for r in changes.collect()) == [(5, -1), (6, -1), (7, 1), (8, 1)]
+    first = ref.merge_state(ref.reference_deltas([ref.Reference("t.k", before, "k")], periods))
+    _, t = frames(spark, [], [(3, 8, False, day(1)), (3, 7, False, day(1)), (3, 7, True, day(2))])
+    second = ref.merge_state(first.drop("delta"), ref.reference_deltas([ref.Reference("t.k", changes, "k", "sign")], periods), ref.existence_deltas(t, "id", periods, 1, "withdrawn"))
+    assert {r["ref_key"]: (r["n_refs"], r["cause"]) for r in ref.orphans(second, ["t.k"]).collect()} == {5: (1, "missing"), 7: (1, "withdrawn")}
+    third = ref.merge_state(second.drop("delta"), ref.existence_deltas(frames(spark, [], [(3, 8, True, day(3)), (3, 5, False, day(4))])[1], "id", periods, 1, "withdrawn"))
+    assert {r["key"]: r["delta"] for r in third.where("delta <> 0").collect()} == {8: -1, 5: 1}
+
+
 def test_no_references_or_targets(spark, periods):
     r, t = frames(spark, [(3, 1)], [])
     assert found(ref.orphan_references([r], t, "id", periods, "withdrawn")) == {(3, 1): (1, "missing")}
@@ -117,6 +133,24 @@ def test_overload_counts_all_rows(spark):
     assert heavy_keys.per_key_profile(df.limit(0), "k", "v").count() == 0
 
 
+@pytest.mark.parametrize("values", [[1e30, 2.0, 3.0], [1e-9, 2e-9, 3e-9], [5e-324, 0.0], [1.7e308, -1.7e308, 1.0], [0.1, 0.2, 0.3], [1e15, 1.0]])
+def test_values_of_any_size(spark, values):
+    df = spark.createDataFrame([(1, v) for v in values], "k long, v double")
+    got = heavy_keys.per_key_profile(df, "k", "v", (0.0, 0.5, 1.0)).first()
+    assert [got[f"q{i}"] for i in range(3)] == [quantile(values, p) for p in (0.0, 0.5, 1.0)]
+    assert got["v_sum"] == pytest.approx(math.fsum(values), rel=1e-12, abs=1e-18 * max(values))
+
+
+def test_a_missing_version_is_an_error(spark, periods, tmp_path):
+    ledger = Ledger(spark, str(tmp_path))
+    deltas = ref.reference_deltas([frames(spark, [(3, 1)], [])[0]], periods)
+    ledger.apply(deltas, 4)  # the first there is
+    with pytest.raises(ValueError, match="batch 7"):
+        ledger.apply(deltas, 7)
+    ledger.apply(deltas, 5)
+    assert ledger.versions() == [4, 5] and ledger.state(5).first()["refs_0"] == 2
+
+
 VERSIONS = "snapshot_index int, track_id long, n long, m double, first int, change int"
 
 

@@ -7,6 +7,7 @@ wanted rank becomes the next round's interval; when its least and greatest value
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from decimal import Decimal
 
@@ -22,14 +23,36 @@ HOT_SHARE = 0.001
 
 
 def _bin(v: Column, lo: Column, hi: Column, bins: int, log: bool) -> Column:
-    """A bin of [lo, hi], rising with v; lo and hi fall into different bins unless equal. Halves avoid an overflow."""
+    """A bin of [lo, hi], rising with v; lo and hi fall into different bins unless equal.
+
+    Halves avoid an overflow of large differences; differences of small numbers are taken whole, as half the least
+    number there is would be 0.
+    """
     if log:  # equal ratios instead of equal widths, for values spread over many magnitudes
         scale = lambda x: F.signum(x) * F.log1p(F.abs(x))
         v, lo, hi = scale(v), scale(lo), scale(hi)
-    share = (v / 2 - lo / 2) / (hi / 2 - lo / 2)
+    big = F.greatest(F.abs(lo), F.abs(hi)) > 1
+    share = F.when(big, F.try_divide(v / 2 - lo / 2, hi / 2 - lo / 2)).otherwise(F.try_divide(v - lo, hi - lo))
     return F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(F.when(hi > lo, share).otherwise(0.0) * bins).cast("int")))
 
 
+def _unit(top: float) -> int:
+    """The power of ten in whose multiples values up to `top` are added up: sums of any 10^12 rows fit 38 digits, and no
+    digit that a double of that size can show is lost. -6 for values of usual size."""
+    if top == 0:
+        return -6
+    size = math.floor(math.log10(top))
+    return size - 21 if size > 15 else -6 if size >= -3 else size - 18
+
+
+def _scaled(v: Column, power: int) -> Column:
+    """v times 10 to the power, in steps that don't overflow."""
+    while power:
+        step = max(-300, min(300, power))
+        v, power = v * F.lit(10.0**step), power - step
+    return v
+
+
 def _refine(rows: DataFrame, active: DataFrame, hot: DataFrame, n_active: int, log: bool, broadcast_rows: int) -> DataFrame:
     """Histograms of the active intervals: (key, lo, bin, n, least, most)."""
     intervals = active.select("key", "lo", "hi").distinct()
@@ -75,8 +98,9 @@ def per_key_profile(
 
     Columns: key, n_rows, n_values, v_min, v_max, v_sum, overloaded, q0, q1, ... in the order of `probabilities`.
     The quantile of p is the least value whose rank is at least p times n_values (as SQL's quantile_disc). Null, NaN
-    and infinite values count as rows only; a key without values has null quantiles. v_sum adds the values rounded to
-    six decimals, so it doesn't depend on the order. Rows with a null key belong to no key, but to all rows, against
+    and infinite values count as rows only; a key without values has null quantiles. v_sum (double) adds the values rounded
+    to six decimals, or to as many digits as the greatest value's size asks for if that is beyond 10^16 or below 10^-3,
+    so it doesn't depend on the order; beyond the doubles it is infinite. Rows with a null key belong to no key, but to all rows, against
     which overload_share is taken. Tied and repeated values count each. An empty table gives no rows.
     """
     v = F.col(value).cast("double")
@@ -85,13 +109,14 @@ def per_key_profile(
     rows = df.select(F.col(key).alias("key"), finite.alias("v"))
     low, high = rows.agg(F.min("v"), F.max("v")).first()
     low, high = (0.0, 0.0) if low is None else (low, high)
+    unit = _unit(max(abs(low), abs(high)))
     first = F.when(F.col("v").isNotNull(), _bin(F.col("v"), F.lit(low), F.lit(high), FIRST_BINS, False))
     hist = cut(
         rows.groupBy("key", first.alias("bin")).agg(
             F.count("*").alias("n"),
             F.min("v").alias("least"),
             F.max("v").alias("most"),
-            F.sum(F.col("v").cast("decimal(28,6)")).alias("total"),
+            F.sum(_scaled(F.col("v"), -unit).cast("decimal(38,0)") if unit != -6 else F.col("v").cast("decimal(28,6)")).alias("total"),
         )
     )
     n_all = hist.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -105,7 +130,7 @@ def per_key_profile(
             F.coalesce(F.sum(F.when(has, F.col("n"))), F.lit(0)).alias("n_values"),
             F.min("least").alias("v_min"),
             F.max("most").alias("v_max"),
-            F.sum("total").alias("v_sum"),
+            _scaled(F.sum("total").cast("double"), unit if unit != -6 else 0).alias("v_sum"),
         )
         .withColumn("overloaded", F.col("n_rows") >= F.lit(enough))
     )

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.operators.changes import snapshot_changes
 from trackweave.operators.heavy_keys import per_key_profile
 from trackweave.operators.hierarchy import ancestor_pairs, clean_links, cycles, hierarchy
 from trackweave.operators.history import history
-from trackweave.operators.references import Reference, merge_state, orphan_references, reference_deltas
-from trackweave.runtime import params
-from trackweave.sources.tables import read, rows_that_count
+from trackweave.operators.references import (
+    Reference,
+    existence_deltas,
+    merge_state,
+    orphan_references,
+    orphans,
+    reference_deltas,
+    revisions,
+)
+from trackweave.runtime import cut, small
+from trackweave.sources.tables import read, rows_that_count, without_nan
 
 
 def _group_refs(s: SparkSession, d: str) -> list[Reference]:
@@ -28,10 +36,16 @@ def _particle_refs(s: SparkSession, d: str) -> list[Reference]:
     ]
 
 
+def _first_half(s: SparkSession, d: str) -> Column:
+    """Whether a row was delivered in the first half of the time in which snapshots close; the others are a second batch."""
+    first, last = read(s, d, "snapshots").agg(F.min(F.unix_micros("closed_at")), F.max(F.unix_micros("closed_at"))).first()
+    return F.lit(True) if first is None else F.unix_micros("delivered_at") < (first + last) // 2
+
+
 def _orphans(s: SparkSession, d: str) -> DataFrame:
-    snaps = read(s, d, "snapshots")
-    groups = orphan_references(_group_refs(s, d), read(s, d, "halos"), "halo_id", snaps, "withdrawn")
-    members = orphan_references(_particle_refs(s, d), read(s, d, "particles"), "particle_id", snaps)
+    snaps, first = read(s, d, "snapshots"), [_first_half(s, d)]
+    groups = orphan_references(_group_refs(s, d), read(s, d, "halos"), "halo_id", snaps, "withdrawn", first)
+    members = orphan_references(_particle_refs(s, d), read(s, d, "particles"), "particle_id", snaps, None, first)
     return groups.unionByName(members)
 
 
@@ -56,6 +70,24 @@ def p1_report(s: SparkSession, d: str) -> DataFrame:
     return every.join(counts, by, "left").na.fill(0)
 
 
+def p1_current(s: SparkSession, d: str) -> DataFrame:
+    """Orphans among the references of the catalogue's current rows: when a row is superseded by the second batch, its
+    reference is taken back."""
+    snaps, first, subs = read(s, d, "snapshots"), _first_half(s, d), read(s, d, "subhalos")
+    fields = {"host_halo_id": ("halos", "halo_id", "withdrawn"), "most_bound_particle_id": ("particles", "particle_id", None)}
+    before, after = (cut(rows_that_count(t, list(fields))) for t in (subs.where(first), subs))
+    out: DataFrame | None = None
+    for field, (table, key, withdrawn) in fields.items():
+        name, targets = f"subhalos.{field}", read(s, d, table)
+        made = Reference(name, before, field)
+        state = merge_state(reference_deltas([made], snaps), existence_deltas(targets.where(first), key, snaps, 1, withdrawn))
+        changed = Reference(name, revisions(before, after, ["track_id"], field), field, "sign")
+        later = existence_deltas(targets.where(~F.coalesce(first, F.lit(False))), key, snaps, 1, withdrawn)
+        rows = orphans(merge_state(state.drop("delta"), reference_deltas([changed], snaps), later), [name])
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("ref_field", "snapshot_id", "ref_key", "n_refs", "cause")
+
+
 def p2_found(s: SparkSession, d: str) -> DataFrame:
     hot = per_key_profile(read(s, d, "source_members"), "track_id", "binding_energy", overload_share=0.04)
     return hot.where("overloaded AND track_id >= 0").select("track_id")
@@ -70,7 +102,7 @@ def p2_tracks(s: SparkSession, d: str) -> DataFrame:
         "track_id",
         "n_rows",
         "n_values",
-        F.col("v_sum").cast("double").alias("energy_sum"),
+        F.col("v_sum").alias("energy_sum"),
         F.col("v_min").alias("energy_min"),
         F.col("q0").alias("energy_p25"),
         F.col("q1").alias("energy_p50"),
@@ -137,11 +169,13 @@ def p4_cycles(s: SparkSession, d: str) -> DataFrame:
 
 def _history(s: SparkSession, d: str) -> DataFrame:
     snaps = read(s, d, "snapshots")
-    times = sorted((r["snapshot_index"], r["snapshot_id"]) for r in params(snaps.select("snapshot_index", "snapshot_id")))
+    indexes = sorted(int(r["snapshot_index"]) for r in snaps.select("snapshot_index").distinct().collect())  # one merge each
     versions = rows_that_count(read(s, d, "subhalos"), ["n_bound", "m_bound"], snaps)
-    ids = F.create_map(*[F.lit(x) for i, k in times for x in (int(i), int(k))]) if times else F.create_map()
-    h = history(versions, "track_id", ["n_bound", "m_bound"], [i for i, _ in times])
-    return h.withColumns({"from_snapshot_id": ids[F.col("valid_from")].cast("long"), "to_snapshot_id": ids[F.col("valid_to")].cast("long")})
+    h = history(versions, "track_id", ["n_bound", "m_bound"], indexes)
+    for end in ("from", "to"):
+        ids = snaps.select(F.col("snapshot_index").alias(f"valid_{end}"), F.col("snapshot_id").cast("long").alias(f"{end}_snapshot_id"))
+        h = h.join(small(ids), f"valid_{end}")
+    return h
 
 
 def p5_found(s: SparkSession, d: str) -> DataFrame:
@@ -149,14 +183,15 @@ def p5_found(s: SparkSession, d: str) -> DataFrame:
 
 
 def p5_history(s: SparkSession, d: str) -> DataFrame:
-    """Every version of every track: the values and the snapshots between which they held."""
-    return _history(s, d).select("track_id", "n_bound", "m_bound", "from_snapshot_id", "to_snapshot_id")
+    """Every version of every track: the values and the snapshots between which they held. NaN is told from null by
+    m_bound_is_nan, m_bound being null for both."""
+    return _history(s, d).select("track_id", "n_bound", *without_nan("m_bound"), "from_snapshot_id", "to_snapshot_id")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_report, p2_found, p2_tracks, p3_found, p3_summary,
+        p1_found, p1_report, p1_current, p2_found, p2_tracks, p3_found, p3_summary,
         p4_found, p4_paths, p4_progenitors, p4_cycles, p5_found, p5_history,
     )
 }
@@ -250,6 +285,11 @@ ORACLES = {
       FROM every_period g LEFT JOIN every e ON e.ref_field = g.ref_field AND e.snapshot_id = g.snapshot_id
       LEFT JOIN orphans o ON o.ref_field = g.ref_field AND o.snapshot_id = g.snapshot_id
       GROUP BY g.ref_field, g.snapshot_id""",
+    "p1_current": f"""WITH {_COUNTING}, {_ORPHANS.replace("FROM subhalos", "FROM current_rows").replace("refs AS (", """
+      current_rows AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id, track_id ORDER BY delivered_at DESC) AS rn
+        FROM subhalos WHERE track_id >= 0) WHERE rn = 1),
+      refs AS (""", 1)}
+      SELECT ref_field, snapshot_id, ref_key, n_refs, cause FROM orphans WHERE ref_field LIKE 'subhalos.%'""",
     "p2_found": """SELECT track_id FROM source_members WHERE track_id >= 0 GROUP BY track_id
       HAVING count(*) * 25 >= (SELECT count(*) FROM source_members)""",
     "p2_tracks": f"""WITH {_COUNTING},
@@ -278,5 +318,6 @@ ORACLES = {
         UNION SELECT r.track_id, l.parent FROM reach r JOIN lost l ON l.track_id = r.via)
       SELECT track_id, bool_or(via = track_id) AS on_cycle FROM reach GROUP BY track_id""",
     "p5_found": f"{_RUNS} SELECT track_id, from_snapshot_id, to_snapshot_id FROM hist",
-    "p5_history": f"{_RUNS} SELECT track_id, n_bound, m_bound, from_snapshot_id, to_snapshot_id FROM hist",
+    "p5_history": f"""{_RUNS} SELECT track_id, n_bound, CASE WHEN NOT isnan(m_bound) THEN m_bound END AS m_bound,
+      coalesce(isnan(m_bound), false) AS m_bound_is_nan, from_snapshot_id, to_snapshot_id FROM hist""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,12 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def without_nan(column: str) -> list[Column]:
+    """The column with null for NaN, and <column>_is_nan."""
+    nan = F.coalesce(F.isnan(column), F.lit(False))
+    return [F.when(~nan, F.col(column)).alias(column), nan.alias(f"{column}_is_nan")]
+
+
 def rows_that_count(
     subhalos: DataFrame, columns: list[str], snapshots: DataFrame | None = None
 ) -> DataFrame:
