@@ -2,11 +2,11 @@
 
 import numpy as np
 import pytest
-from pyspark.errors import PythonException
+from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import functions as F
 
 from trackweave import config as cf
-from trackweave.sources import blocks, catalogue_io, formats, hdf5
+from trackweave.sources import blocks, catalogue_io, formats
 
 TEXT = """
 SnapshotPath /in   # a comment
@@ -82,7 +82,7 @@ def test_binary_snapshots(spark, tmp_path, order, real):
     rng = np.random.default_rng(1)
     npart, fixed = [5, 7, 0, 0, 3, 1], [0.0, 0.5, 0.0, 0.0, 0.0, 0.0]
     want = [write_snapshot(tmp_path / f"snap.{i}", order, real, npart, fixed, rng, 100 * i, 2, [2 * k for k in npart]) for i in range(2)]
-    df = formats.load_snapshot(spark, "gadget", f"{tmp_path}/snap.*", slice="3")
+    df = formats.load_snapshot(spark, "blocks", f"{tmp_path}/snap.*", slice="3")
     rows = {r["particle_id"]: r for r in df.collect()}
     assert len(rows) == 32
     for ids, pos, vel, masses, u in want:
@@ -95,21 +95,18 @@ def test_binary_snapshots(spark, tmp_path, order, real):
             assert r["mass"] == pytest.approx(own, rel=1e-6) and r["u"] == pytest.approx(u[i] if i < 5 else 0, rel=1e-6)
     for i in range(2):
         write_snapshot(tmp_path / f"bare.{i}", order, real, npart, fixed, rng, 0, 2, [2 * k for k in npart], with_ids=False)
-    implicit = formats.load_snapshot(spark, "gadget", f"{tmp_path}/bare.*", ids="false")
+    implicit = formats.load_snapshot(spark, "blocks", f"{tmp_path}/bare.*", ids="false")
     assert sorted(r["particle_id"] for r in implicit.select("particle_id").collect()) == list(range(32))
 
 
 def test_broken_files(spark, tmp_path):
     (tmp_path / "bad").write_bytes(b"nothing here")
     with pytest.raises((PythonException, ValueError, Exception)):
-        formats.load_snapshot(spark, "gadget", f"{tmp_path}/bad").count()
+        formats.load_snapshot(spark, "blocks", f"{tmp_path}/bad").count()
     with pytest.raises(ValueError):
         formats.load_snapshot(spark, "unheard", str(tmp_path))
     formats.register("mine", snapshot=lambda s, path, **_: s.range(3).withColumnRenamed("id", "particle_id"))
     assert formats.load_snapshot(spark, "mine", "").count() == 3
-    if hdf5.h5py is None:
-        with pytest.raises(Exception, match="h5py"):
-            formats.load_snapshot(spark, "swiftsim", str(tmp_path)).count()
 
 
 @pytest.mark.parametrize("version,width", [(2, 4), (3, 8)])
@@ -121,7 +118,7 @@ def test_group_tables(spark, tmp_path, version, width):
         (tmp_path / f"tab.{i}").write_bytes(head.tobytes() + np.array(lengths[i] * 2, "<i4").tobytes())
         raw = (ids[i] | (1 << 20)).astype(f"<i{width}").tobytes()
         (tmp_path / f"ids.{i}").write_bytes(head.tobytes() + (b"\0" * 4 if version == 3 else b"") + raw)
-    name = f"gadget{version}_{'long' if width == 8 else 'int'}"
+    name = f"groups{version}_{'long' if width == 8 else 'int'}"
     got = formats.load_groups(spark, name, f"{tmp_path}/tab.*", ids=f"{tmp_path}/ids.*", mask=(1 << 20) - 1)
     pairs = sorted(map(tuple, got.collect()))
     assert pairs == [(0, 10), (0, 11), (0, 12), (2, 13), (2, 14), (3, 100), (3, 101), (3, 102), (3, 103)]
@@ -130,9 +127,9 @@ def test_group_tables(spark, tmp_path, version, width):
 def test_catalogue(spark, tmp_path):
     path = str(tmp_path / "c")
     rows = spark.createDataFrame([(s, t, t * 10, None if t == 3 else 1.5) for s in (1, 2) for t in range(5)], "snapshot_id long, track_id long, n_bound long, m double")
-    catalogue_io.write_catalogue(rows, path, {"a": 0.5})
-    catalogue_io.write_catalogue(rows.where("snapshot_id = 2").limit(3), path)  # one snapshot anew, the other stays
-    assert catalogue_io.read_metadata(spark, path) == {"a": 0.5}
+    catalogue_io.write_catalogue(rows, path, {1: {"a": 0.5}, 2: {"a": 0.75}})
+    catalogue_io.write_catalogue(rows.where("snapshot_id = 2").limit(3), path, {2: {"a": 1.0}})  # one snapshot anew, the other stays
+    assert catalogue_io.read_metadata(spark, path) == {1: {"a": 0.5}, 2: {"a": 1.0}}
     assert catalogue_io.read_catalogue(spark, path, ["track_id"], 1, expected=5).columns == ["snapshot_id", "track_id"]
     with pytest.raises(ValueError):
         catalogue_io.read_catalogue(spark, path, expected=99)
@@ -151,3 +148,6 @@ def test_catalogue(spark, tmp_path):
 
 def test_splits_missing(spark, tmp_path):
     assert formats.read_splits(spark, str(tmp_path / "none")).count() == 0
+    spark.range(3).write.parquet(str(tmp_path / "other"))
+    with pytest.raises(AnalysisException):  # a file of other columns isn't a missing one
+        formats.read_splits(spark, str(tmp_path / "other")).count()

@@ -73,16 +73,3 @@ def cell(x: Column | str, step: Column | str | float, cells: Column | int) -> Co
 def neighbour_range(n: Column, density: Column) -> Column:
     """Radius of the sphere that holds n points at a density (points per volume)."""
     return F.pow(n / density * F.lit(0.75 / 3.141592653589793), F.lit(1 / 3))
-
-
-def closest_factors(n: int, dims: int) -> list[int]:
-    """n as a product of `dims` factors as equal as possible, ascending."""
-    if dims == 1:
-        return [n]
-    best: list[int] | None = None
-    for f in range(1, n + 1):
-        if n % f == 0:
-            way = sorted([f, *closest_factors(n // f, dims - 1)])
-            if best is None or way[-1] - way[0] < best[-1] - best[0]:
-                best = way
-    return best or [1] * dims

@@ -8,7 +8,6 @@ pairs of members ever rows. Small tracks share tasks. `max_sources` 0 takes all
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from itertools import count
 
 import numpy as np
@@ -17,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.functions import physics as ph
-from trackweave.functions.geometry import norm2, relative_velocity, vec
+from trackweave.functions.geometry import relative_velocity, vec
 from trackweave.operators.aggregates import mean_motion, upscale
+from trackweave.operators.ranking import positions_within
 from trackweave.runtime import cut
 
 TASK_ROWS = 8192
@@ -39,21 +39,23 @@ def _sum_potentials(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     right = right.rename(columns=lambda c: c.removeprefix("_"))
     if len(right):
         at, src = left["g"].to_numpy(), right.sort_values("g", kind="stable")
+        order = np.argsort(at, kind="stable")
         names, first = np.unique(src["g"].to_numpy(), return_index=True)
         ends = np.append(first[1:], len(src))
+        begin, stop = (np.searchsorted(at[order], names, side) for side in ("left", "right"))
         xyz, ids = src[["x", "y", "z"]].to_numpy(), src["particle_id"].to_numpy()
         mass = src["mass"].to_numpy()
         mine, own = left[["x", "y", "z"]].to_numpy(), left["particle_id"].to_numpy()
-        for g, a, b in zip(names, first, ends):
-            rows = np.flatnonzero(at == g)
+        for a, b, c, d in zip(first, ends, begin, stop):
+            rows = order[c:d]
             for part in np.array_split(rows, max(1, len(rows) * (b - a) // 1_000_000)):  # blocks of bounded size
                 if not len(part):
                     continue
-                d = xyz[None, a:b] - mine[part][:, None]
+                way = xyz[None, a:b] - mine[part][:, None]
                 box = left["box_size"].to_numpy()[part][:, None, None]
-                d = np.where(np.isnan(box), d, d - np.where(d > box / 2, box, 0) + np.where(d < -box / 2, box, 0))
+                way = np.where(np.isnan(box), way, way - np.where(way > box / 2, box, 0) + np.where(way < -box / 2, box, 0))
                 h = ph.KERNEL * left["soft"].to_numpy()[part][:, None]
-                phi = _kernel(np.sqrt((d * d).sum(axis=2)), h) * mass[None, a:b]
+                phi = _kernel(np.sqrt((way * way).sum(axis=2)), h) * mass[None, a:b]
                 phi[own[part][:, None] == ids[None, a:b]] = 0.0
                 out[part] = phi.sum(axis=1)
     return left[["g", "particle_id"]].assign(phi=out)
@@ -96,8 +98,9 @@ def potentials(members: DataFrame, max_sources: int = 1000, keep_mask: int = 0,
         sizes = sizes.join(given.groupBy("g").agg(F.count("*").alias("_s")), "g", "left").withColumn("_s", F.coalesce("_s", F.lit(0)))
     blocks = F.lit(1) if few else pieces("_n" if source_rows is None else "_s")
     plan = sizes.select("g", pieces("_n").alias("_parts"), blocks.alias("_blocks"))
-    n_tasks = max(1, members.sparkSession.sparkContext.defaultParallelism * 4)
-    # a task: part k of a large group with block b of its sources, or one of n_tasks bins of small groups
+    small_rows = plan.join(sizes.select("g", "_n"), "g").where("_parts = 1 AND _blocks = 1").agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    n_tasks = max(members.sparkSession.sparkContext.defaultParallelism * 4, -(-small_rows // TASK_ROWS))
+    # a task: part k of a large group with block b of its sources, or one of the bins of small groups, as many as their rows need
     task = lambda k, b: F.when((F.col("_parts") > 1) | (F.col("_blocks") > 1), F.xxhash64("g", k, b)).otherwise(F.pmod(F.xxhash64("g"), F.lit(n_tasks)))
     piece = lambda n: F.pmod(F.xxhash64("particle_id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -193,13 +196,11 @@ def refine_order(bound: DataFrame, size: Column, max_sources: int = 0) -> DataFr
 
     bound: members with energy, potential columns of `potentials` and frame velocities as dv2 (kinetic part).
     """
-    w = Window.partitionBy("g").orderBy("energy", "particle_id")
-    ranked = bound.withColumn("_p", F.row_number().over(w) - 1)
+    ranked = cut(positions_within(bound, ["g"], [F.col("energy"), F.col("particle_id")]).withColumnRenamed("position", "_p"))
     inner = cut(ranked.where(F.col("_p") < size))
     own = potentials(inner, max_sources).withColumnRenamed("phi", "_phi")
     again = inner.join(own, ["g", "particle_id"]).withColumn("_e", F.col("dv2") * 0.5 + F.col("_phi"))
-    w2 = Window.partitionBy("g").orderBy("_e", "particle_id")
-    first = again.select("g", "particle_id", (F.row_number().over(w2) - 1).alias("place"))
+    first = positions_within(again, ["g"], [F.col("_e"), F.col("particle_id")]).select("g", "particle_id", F.col("position").alias("place"))
     return first.unionByName(ranked.where(F.col("_p") >= size).select("g", "particle_id", F.col("_p").alias("place")))
 
 
@@ -213,13 +214,3 @@ def refined(bound: DataFrame, max_sources: int, fraction: float, gravity: float
     sizes = bound.groupBy("g").agg(F.count("*").alias("_n")).where(F.col("_n") > max_sources)
     big = bound.join(sizes, "g").withColumn("dv2", (F.col("energy") - F.col("potential_energy")) * 2 * F.col("scale_factor") / gravity)
     return refine_order(big, centre_sample(F.col("_n"), max_sources, fraction))
-
-
-def overlaps(a: Sequence[str], b: Sequence[str]) -> Column:
-    """Whether object b lies within 2 units of phase-space distance of the reference a.
-
-    Names of x, y, z, vx, vy, vz columns; the reference's spreads are sigma_r and sigma_v.
-    """
-    dx = norm2(tuple(F.col(p) - F.col(q) for p, q in zip(a[:3], b[:3])))  # type: ignore[arg-type]
-    dv = norm2(tuple(F.col(p) - F.col(q) for p, q in zip(a[3:], b[3:])))  # type: ignore[arg-type]
-    return F.coalesce(ph.phase_space_distance(dx, dv, F.col("sigma_r"), F.col("sigma_v")) < 2, F.lit(False))

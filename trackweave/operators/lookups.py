@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,19 +55,16 @@ def previous(rows: DataFrame, key: str, index: str, values: Sequence[str]) -> Da
 def as_of(requests: DataFrame, history: DataFrame, key: str, at: str, values: Sequence[str]) -> DataFrame:
     """requests (key, at, ...) with the values of the key's last row whose time is not after `at`.
 
-    One union and one window per key and time instead of a range join: history rows come first at equal times, and
-    the last of them is carried forward. `at` is the time column's name on both sides. Keys without an earlier row
-    get nulls.
+    The distinct times of a key, asked for or known, are one row each; a window over these carries the last known values
+    forward, and the requests are joined with it by key and time. So a window holds no more rows than there are times,
+    however often a key is asked for. Of several history rows of a key and time the greatest counts. `at` is the time
+    column's name on both sides. Keys without an earlier row, null keys and null times get nulls.
     """
-    from pyspark.sql import Window
-
-    # the id keeps repeated requests apart from each other
-    asked = requests.select("*", F.lit(1).alias("_ask"), *[F.lit(None).cast(history.schema[v].dataType).alias(f"_{v}") for v in values])
-    known = history.select(key, at, F.lit(0).alias("_ask"), *[F.col(v).alias(f"_{v}") for v in values], F.lit(True).alias("_row"))
-    w = Window.partitionBy(key).orderBy(at, "_ask")
-    both = asked.unionByName(known, allowMissingColumns=True)
-    filled = both.withColumns({v: F.last(F.when(F.col("_row"), F.struct(F.col(f"_{v}").alias("v"))), True).over(w)["v"] for v in values})
-    return filled.where("_ask = 1").select(*requests.columns, *values)
+    known = history.groupBy(key, at).agg(F.max(F.struct(*values)).alias("_v"))
+    asked = requests.select(key, at, F.lit(None).cast(known.schema["_v"].dataType).alias("_v"))
+    times = asked.unionByName(known).groupBy(key, at).agg(F.max("_v").alias("_v")).where(F.col(key).isNotNull() & F.col(at).isNotNull())
+    filled = times.withColumn("_v", F.last("_v", True).over(Window.partitionBy(key).orderBy(at)))
+    return requests.join(filled, [key, at], "left").select(*requests.columns, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
 def parent_edges(nodes: DataFrame, node: str, parent: str, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

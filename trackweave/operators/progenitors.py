@@ -83,17 +83,21 @@ def split_descendants(old: DataFrame, new: DataFrame) -> DataFrame:
 
     Rows hold particle_id, root, count (bits used) and tree (the path as bits, lowest first). A tree may also be text of
     0 and 1, the first split first, for paths longer than 63 bits; count is then its length and need not be given. A
-    child shares the root and the path of its parent and has split further. Particles of one root share a tree, whose
-    number of splits bounds a join group. Null roots and trees match nothing.
+    child shares the root and the path of its parent and has split further, so each new particle asks once for every
+    beginning of its own path: rows grow with the depth of a tree, not with the particles of a root. Null roots and trees
+    match nothing.
     """
-    text = dict(new.dtypes)["tree"] == "string"
-    o = old.select(F.col("particle_id").alias("parent"), "root", F.col("tree").alias("_t"), *([] if text else [F.col("count").alias("_n")]))
-    if text:
-        below = F.col("tree").startswith(F.col("_t")) & (F.length("tree") > F.length("_t"))
+    if dict(new.dtypes)["tree"] == "string":
+        upto = lambda n: F.substring(F.col("tree"), F.lit(1), n)
+        length = F.length("tree")
+        known = old.select(F.col("particle_id").alias("parent"), "root", F.length("tree").alias("_n"), F.col("tree").alias("_path"))
     else:
-        bits = F.expr("shiftleft(1L, cast(_n AS int)) - 1")
-        below = (F.col("tree").bitwiseAND(bits) == F.col("_t").bitwiseAND(bits)) & (F.col("count") > F.col("_n"))
-    kin = new.join(o, "root").where(below & (F.col("particle_id") != F.col("parent")))
+        upto = lambda n: F.col("tree").cast("long").bitwiseAND(F.when(n < 63, F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1).otherwise((1 << 63) - 1))
+        length = F.col("count").cast("int")
+        known = old.select(F.col("particle_id").alias("parent"), "root", length.alias("_n"), upto(length).alias("_path"))
+    parts = F.transform(F.sequence(F.lit(0), length - 1), lambda n: F.struct(n.alias("_n"), upto(n).alias("_path")))
+    asks = new.where(length > 0).select("particle_id", "root", F.explode(parts).alias("p")).select("particle_id", "root", "p.*")
+    kin = asks.join(known, ["root", "_n", "_path"]).where(F.col("particle_id") != F.col("parent"))
     return kin.select(F.col("parent").alias("particle_id"), F.col("particle_id").alias("child"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.config import Config
@@ -161,8 +161,8 @@ def _unbind_levels(members: DataFrame, nests: DataFrame, c: Config, places: Data
 def _core(bound: DataFrame, c: Config, order: str) -> DataFrame:
     tracer = ph.is_tracer("type", c.tracer_mask)
     sizes = bound.groupBy("track_id").agg(ag.core_size(F.count("*"), c.SubCoreSizeFactor, c.SubCoreSizeMin).alias("_size"))
-    w = Window.partitionBy("track_id").orderBy(tracer.desc(), F.col(order), F.col("particle_id"))
-    ranked = bound.withColumn("order", F.row_number().over(w) - 1).join(sizes, "track_id").where(F.col("order") < F.col("_size"))
+    placed = rk.positions_within(bound, ["track_id"], [~tracer, F.col(order), F.col("particle_id")]).withColumnRenamed("position", "order")
+    ranked = placed.join(sizes, "track_id").where(F.col("order") < F.col("_size"))
     return ag.core(ranked, ["track_id"], "order", "box_size")
 
 
@@ -190,6 +190,16 @@ def _overlapping(kept: DataFrame, loose: DataFrame, above: DataFrame, c: Config)
     return cut(j.where(near).select("track_id", "parent"))
 
 
+def _in_box(m: DataFrame, c: Config) -> tuple[DataFrame, float]:
+    """m and the side of the box its positions lie in: the periodic one, or one so wide that nothing meets across its edges."""
+    if c.PeriodicBoundaryOn:
+        return m, c.BoxSize
+    ends = m.agg(*[f(x) for x in "xyz" for f in (F.min, F.max)]).first()
+    low, high = [v or 0.0 for v in ends[::2]], [v or 0.0 for v in ends[1::2]]
+    side = max(h - a for a, h in zip(low, high))
+    return m.withColumns({x: F.col(x) - F.lit(a) for x, a in zip("xyz", low)}), 2 * side or 1.0
+
+
 def step(state: State, snap: Snapshot, c: Config) -> State:
     """One snapshot. Rows of `tracks` and `members` in the result are those of the snapshot's end."""
     soft = ph.softening(F.lit(c.SofteningHalo), F.lit(c.MaxPhysicalSofteningHalo), F.lit(snap.scale_factor))
@@ -232,9 +242,9 @@ def step(state: State, snap: Snapshot, c: Config) -> State:
     alone = F.col("new_host") < 0
     m = m.withColumn("_room", F.when(alone, -F.col("track_id") - 2).otherwise(F.col("new_host")))
     m = cut((m if c.InclusiveMass else nest.mask(m, ["_room"], "visit")).drop("_room", "visit", "new_host"))
-    if c.ReassignParticles and not c.DmOnly and c.PeriodicBoundaryOn:
-        inside = m.where("host_id >= 0")
-        moved = sp.reassign(inside.where(~tracer).withColumnRenamed("particle_id", "query_id"), inside.where(tracer), ["host_id"], c.NumNeighboursForReassignment, c.BoxSize)
+    if c.ReassignParticles and not c.DmOnly:
+        inside, box = _in_box(m.where("host_id >= 0"), c)
+        moved = sp.reassign(inside.where(~tracer).withColumnRenamed("particle_id", "query_id"), inside.where(tracer), ["host_id"], c.NumNeighboursForReassignment, box)
         to = moved.where("track_id <> new_track_id").select(F.col("query_id").alias("particle_id"), "track_id", "new_track_id")
         m = cut(m.join(to, ["particle_id", "track_id"], "left").withColumn("track_id", F.coalesce("new_track_id", "track_id")).drop("new_track_id"))
     work = m.select("track_id", "particle_id", *MOTION, "mass", "type", "u", "soft", "hz", "scale_factor", "box_size")
@@ -275,8 +285,8 @@ def _finish(every, kept, verdict, mergers, stored, shape, p, snap: Snapshot, c:
     t = renamed(t, "_into")
     m = renamed(kept.join(mergers.where("handed").select("track_id"), "track_id", "left_anti"))
     living = t.where("n_bound > 0").select("track_id")
-    w = Window.partitionBy("track_id").orderBy(F.col("bound").desc(), F.col("energy").asc_nulls_last(), F.col("particle_id"))
-    m = cut(m.join(living, "track_id", "left_semi").withColumn("rank", (F.row_number().over(w) - 1).cast("long")))
+    by_energy = [~F.col("bound"), F.col("energy").isNull(), F.col("energy"), F.col("particle_id")]
+    m = cut(rk.positions_within(m.join(living, "track_id", "left_semi").drop("rank"), ["track_id"], by_energy).withColumnRenamed("position", "rank"))
     if c.RefineMostBoundParticle and c.MaxSampleSizeOfPotentialEstimate:
         m = _refined(m, c)
     if c.InclusiveMass:
@@ -369,7 +379,7 @@ def run(spark: SparkSession, snapshots: list[Snapshot], c: Config, path: str, re
     state = resume_from or State.empty(spark)
     for snap in snapshots:
         state = step(state, snap, c)
-        cio.write_catalogue(state.tracks.withColumn("snapshot_id", F.lit(snap.id)), path, {"scale_factor": snap.scale_factor, "hz": snap.hz, "snapshot": snap.id})
+        cio.write_catalogue(state.tracks.withColumn("snapshot_id", F.lit(snap.id)), path, {snap.id: {"scale_factor": snap.scale_factor, "hz": snap.hz}})
         cio.write_state(state.members.withColumn("snapshot_id", F.lit(snap.id)), path)
     return state
 

@@ -42,11 +42,14 @@ def j1_lookup(s: SparkSession, d: str) -> DataFrame:
 
 
 def j4_matches(s: SparkSession, d: str) -> DataFrame:
-    """How often each member's particle is a member in the snapshot after, by any track."""
+    """How often each member's particle is a member in the snapshot after, by any track, and the matches themselves:
+    their number and the sum of the tracks that hold them."""
     m = members(s, d, ["rank"]).join(F.broadcast(snapshots(s, d).select("snapshot_id", "snapshot_index")), "snapshot_id")
     asked = m.select((F.col("snapshot_index") + 1).alias("snapshot_index"), "track_id", "particle_id")
-    counted, _ = lk.locate(asked, m.select("snapshot_index", "particle_id", F.col("track_id").alias("holder")), "particle_id", "holder", ["snapshot_index"])
-    return counted.groupBy("snapshot_index", "track_id").agg(F.sum("n_found").alias("n_matches"), F.count_if(F.col("n_found") == 0).alias("n_unmatched"))
+    counted, found = lk.locate(asked, m.select("snapshot_index", "particle_id", F.col("track_id").alias("holder")), "particle_id", "holder", ["snapshot_index"])
+    counts = counted.groupBy("snapshot_index", "track_id").agg(F.sum("n_found").alias("n_matches"), F.count_if(F.col("n_found") == 0).alias("n_unmatched"))
+    rows = found.groupBy("snapshot_index", "track_id").agg(F.count("*").alias("n_rows"), F.sum("holder").alias("holders"))
+    return counts.join(rows, ["snapshot_index", "track_id"], "left").na.fill(0, ["n_rows", "holders"])
 
 
 def j6_most_bound_positions(s: SparkSession, d: str) -> DataFrame:
@@ -317,8 +320,9 @@ ORACLES = {
     "j1_lookup": f"""{sql("mems", "parts")} SELECT m.snapshot_id, m.track_id, m.particle_id, m.rank, coalesce(p.host_id, -1) AS host_id
       FROM mems m LEFT JOIN parts p ON p.snapshot_id = m.snapshot_id AND p.particle_id = m.particle_id""",
     "j4_matches": f"""{sql("mems")}, i AS (SELECT s.snapshot_index, m.track_id, m.particle_id FROM mems m JOIN snapshots s ON s.snapshot_id = m.snapshot_id),
-      n AS (SELECT snapshot_index, particle_id, count(*) AS c FROM i GROUP BY ALL)
-      SELECT i.snapshot_index + 1 AS snapshot_index, i.track_id, coalesce(sum(c), 0)::BIGINT AS n_matches, count(*) FILTER (WHERE c IS NULL) AS n_unmatched
+      n AS (SELECT snapshot_index, particle_id, count(*) AS c, sum(track_id) AS t FROM i GROUP BY ALL)
+      SELECT i.snapshot_index + 1 AS snapshot_index, i.track_id, coalesce(sum(c), 0)::BIGINT AS n_matches, count(*) FILTER (WHERE c IS NULL) AS n_unmatched,
+        coalesce(sum(c), 0)::BIGINT AS n_rows, coalesce(sum(t), 0)::BIGINT AS holders
       FROM i LEFT JOIN n ON n.snapshot_index = i.snapshot_index + 1 AND n.particle_id = i.particle_id GROUP BY ALL""",
     "j6_most_bound_positions": f"""{sql("subs", "parts")} SELECT t.snapshot_id, t.track_id, coalesce(p.x, t.comoving_most_bound_position[1]) AS x,
       coalesce(p.y, t.comoving_most_bound_position[2]) AS y, coalesce(p.z, t.comoving_most_bound_position[3]) AS z

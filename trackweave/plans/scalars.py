@@ -9,7 +9,9 @@ from trackweave.config import Config
 from trackweave.functions import geometry as g
 from trackweave.functions import physics as ph
 from trackweave.operators.lookups import lookup
+from trackweave.sources import formats
 from trackweave.sources.relations import groups, members, particles, snapshots, sql, tracks, with_epoch
+from trackweave.sources.tables import without_nan
 
 TRACERS = Config().tracer_mask
 
@@ -96,8 +98,9 @@ def f12_partitions(s: SparkSession, d: str) -> DataFrame:
 
 
 def f13_properties(s: SparkSession, d: str) -> DataFrame:
-    """A few named properties of every track, the others never read."""
-    return tracks(s, d, ["n_bound", "m_bound", "vmax_physical"]).select("snapshot_id", "track_id", "n_bound", "m_bound", "vmax_physical")
+    """A few named properties of every track, the others never read; a mass that is NaN is null and marked as such."""
+    t = tracks(s, d, ["n_bound", "m_bound", "vmax_physical"])
+    return t.select("snapshot_id", "track_id", "n_bound", *without_nan("m_bound"), "vmax_physical")
 
 
 def f14_by_track(s: SparkSession, d: str) -> DataFrame:
@@ -166,7 +169,7 @@ def io2_group_totals(s: SparkSession, d: str) -> DataFrame:
 def io5_groups_of_particles(s: SparkSession, d: str) -> DataFrame:
     """Groups built from the particles that name them (also IO9)."""
     p = particles(s, d, ["host_id"])
-    return p.where("host_id >= 0").groupBy("snapshot_id", "host_id").agg(F.count("*").alias("n"), F.min("particle_id").alias("first_id"))
+    return formats.groups_of_particles(p, ["snapshot_id"]).select("snapshot_id", "host_id", "n", "first_id")
 
 
 def io13_merged_groups(s: SparkSession, d: str) -> DataFrame:
@@ -216,7 +219,8 @@ ORACLES = {
           + omega_lambda0), 4) AS hubble,
         round(43.0071::DOUBLE * (mass_in_msunh / 1e10) / (vel_in_kms * vel_in_kms) / length_in_mpch, 6) AS gravity,
         round(pow(10.0::DOUBLE / (n / box_size ** 3) * (0.75 / pi()), 1.0::DOUBLE / 3), 6) AS range_10 FROM snapshots s JOIN c ON c.snapshot_id = s.snapshot_id""",
-    "f13_properties": f"{sql('subs')} SELECT snapshot_id, track_id, n_bound, m_bound, vmax_physical FROM subs",
+    "f13_properties": f"{sql('subs')} SELECT snapshot_id, track_id, n_bound, CASE WHEN NOT isnan(m_bound) THEN m_bound END AS m_bound, "
+      "coalesce(isnan(m_bound), false) AS m_bound_is_nan, vmax_physical FROM subs",
     "f14_by_track": f"""{sql("subs")} SELECT a.snapshot_id, a.track_id AS request, a.sink_track_id AS track_id,
       CASE WHEN b.track_id IS NULL THEN -9999 ELSE b.n_bound END AS n_bound
       FROM subs a LEFT JOIN subs b ON b.snapshot_id = a.snapshot_id AND b.track_id = a.sink_track_id WHERE a.sink_track_id >= 0""",

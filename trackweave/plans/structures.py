@@ -16,6 +16,7 @@ from trackweave.operators import positions as pos
 from trackweave.operators import progenitors as pg
 from trackweave.operators import spatial as sp
 from trackweave.operators.aggregates import mean_motion
+from trackweave.operators.ranking import positions_within
 from trackweave.plans.aggregates import KEYS, TRACER, bound_members
 from trackweave.runtime import cut, ensure_checkpoint_dir
 from trackweave.sources import catalogue_io as cio
@@ -269,7 +270,7 @@ def w6_refined_order(s: SparkSession, d: str) -> DataFrame:
     frames = mean_motion(m, ["g"], "rank").where("mass > 0")
     e = cut(gr.energies(m, gr.potentials(m, CONFIG.MaxSampleSizeOfPotentialEstimate, CONFIG.keep_mask), frames, ph.GRAVITY))
     places = gr.refined(e, CONFIG.MaxSampleSizeOfPotentialEstimate, CONFIG.BoundFractionCenterRefinement)
-    plain = e.withColumn("_p", F.row_number().over(Window.partitionBy("g").orderBy("energy", "particle_id")) - 1)
+    plain = positions_within(e, ["g"], [F.col("energy"), F.col("particle_id")]).withColumnRenamed("position", "_p")
     return plain.join(places, ["g", "particle_id"], "left").select(*KEYS, "particle_id", F.coalesce("place", "_p").alias("place"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import tempfile
 import uuid
@@ -40,10 +41,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; only where none is named (tests) a folder of our own."""
+    """Use the shared folder named in spark.checkpoint.dir; where none is named, a local master (tests) gets a folder of
+    its own, and a cluster, whose machines couldn't see such a folder, is refused."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", "")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="trackweave-"))
 
 
@@ -58,6 +62,8 @@ def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    if not _TABLES:
+        atexit.register(_release_at_exit)
     _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -72,6 +78,15 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None and spark.sparkContext._jsc is not None:
+            release(spark)
+    except Exception:  # the session ended first: its folder is the user's to clear
+        pass
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to hold at most `rows` rows, else df as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def write_catalogue(tracks: DataFrame, path: str, metadata: dict | None = None) -> None:
+def write_catalogue(tracks: DataFrame, path: str, metadata: dict[int, dict] | None = None) -> None:
     """Tracks by snapshot, range-partitioned and sorted by track id, so lookups by id skip row groups.
 
-    Each snapshot's partition is replaced as a whole and others are left; metadata becomes one JSON row beside it.
+    Each snapshot's partition is replaced as a whole and others are left; so is its row of `metadata` (by snapshot_id).
     """
     (
         tracks.repartitionByRange("snapshot_id", "track_id")
@@ -24,8 +24,15 @@ def write_catalogue(tracks: DataFrame, path: str, metadata: dict | None = None)
         .parquet(f"{path}/tracks")
     )
     if metadata is not None:
-        row = tracks.sparkSession.createDataFrame([(json.dumps(metadata, sort_keys=True),)], "value string")
-        row.coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+        rows = [(int(k), json.dumps(v, sort_keys=True)) for k, v in metadata.items()]
+        (
+            tracks.sparkSession.createDataFrame(rows, "snapshot_id long, value string")
+            .coalesce(1)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("snapshot_id")
+            .parquet(f"{path}/metadata")
+        )
 
 
 def read_catalogue(
@@ -40,8 +47,10 @@ def read_catalogue(
     return df
 
 
-def read_metadata(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.text(f"{path}/metadata").first()[0])
+def read_metadata(spark: SparkSession, path: str) -> dict[int, dict]:
+    """The metadata of every snapshot, by its id."""
+    rows = spark.read.parquet(f"{path}/metadata").select("snapshot_id", "value").collect()  # one row per snapshot
+    return {int(r["snapshot_id"]): json.loads(r["value"]) for r in rows}
 
 
 def write_state(members: DataFrame, path: str) -> None:

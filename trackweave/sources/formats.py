@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.operators.positions import offsets, paint
-from trackweave.sources import blocks, hdf5
+from trackweave.operators.positions import paint
+from trackweave.operators.ranking import global_positions
+from trackweave.sources import blocks
 
 Reader = Callable[..., DataFrame]
 
@@ -22,33 +23,23 @@ def _blocks(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format("blocks").options(**options).load(path=path)
 
 
-def _hdf5(flavour: str) -> Reader:
-    def load(spark: SparkSession, path: str, **options) -> DataFrame:
-        hdf5.register(spark)
-        return spark.read.format("hdf5_snapshot").options(flavour=flavour, **options).load(path=path)
-
-    return load
-
-
 def _group_members(version: int, id_bytes: int) -> Reader:
     def load(spark: SparkSession, path: str, ids: str = "", mask: int = 0, **_) -> DataFrame:
         """(group_id, particle_id): ids counted off by the lengths of the groups in `path`."""
         blocks.register(spark)
         lengths = spark.read.format("group_lengths").options(version=version).load(path=path)
         listed = spark.read.format("group_ids").options(version=version, id_bytes=id_bytes, mask=mask).load(path=ids)
-        one = F.lit(0).alias("file")
-        ranges = offsets(lengths.select("*", one), ["file"], "group_id", "length")
-        return paint(listed.select("*", one), "position", ranges, ["file"], "group_id").where("group_id >= 0").select("group_id", "particle_id")
+        counted = global_positions(lengths.select("group_id", F.coalesce("length", F.lit(0)).alias("length")), "group_id", "length")
+        ranges = counted.select("group_id", F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("end"))
+        return paint(listed, "position", ranges, [], "group_id").where("group_id >= 0").select("group_id", "particle_id")
 
     return load
 
 
-SNAPSHOTS: dict[str, Reader] = {
-    "parquet": _parquet, "gadget": _blocks, "swiftsim": _hdf5("swiftsim"), "gadget4": _hdf5("gadget4"), "apostle": _hdf5("apostle"),
-}
+SNAPSHOTS: dict[str, Reader] = {"parquet": _parquet, "blocks": _blocks}
 GROUPS: dict[str, Reader] = {
-    "parquet": _parquet, "gadget2_int": _group_members(2, 4), "gadget2_long": _group_members(2, 8),
-    "gadget3_int": _group_members(3, 4), "gadget3_long": _group_members(3, 8),
+    "parquet": _parquet, "groups2_int": _group_members(2, 4), "groups2_long": _group_members(2, 8),
+    "groups3_int": _group_members(3, 4), "groups3_long": _group_members(3, 8),
 }
 
 
@@ -74,16 +65,14 @@ def load_groups(spark: SparkSession, name: str, path: str, **options) -> DataFra
     return _load(GROUPS, "group", spark, name, path, **options)
 
 
-def groups_of_particles(particles: DataFrame, host: str = "host_id") -> DataFrame:
-    """(host_id, n, mass) of the groups that particles name, -1 and null being none (IO5, IO9)."""
-    return particles.where(F.col(host) >= 0).groupBy(host).agg(F.count("*").alias("n"), F.sum("mass").alias("mass"))
+def groups_of_particles(particles: DataFrame, by: Sequence[str] = (), host: str = "host_id") -> DataFrame:
+    """(by, host_id, n, first_id) of the groups that particles name, -1 and null being none (IO5, IO9)."""
+    return particles.where(F.col(host) >= 0).groupBy(*by, host).agg(F.count("*").alias("n"), F.min("particle_id").alias("first_id"))
 
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) split links; a missing file stands for no splits (IO6)."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path).select("key", "value")
-    except AnalysisException:
+    """(key, value) split links; a missing file or folder stands for no splits (IO6), anything else is read or fails."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], "key long, value long")
+    return spark.read.parquet(path).select("key", "value")
