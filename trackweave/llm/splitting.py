@@ -129,29 +129,36 @@ def _ramp(n: np.ndarray) -> np.ndarray:
 
 
 class _Nodes:
-    """Places to cut, in order: position, base (where the tokens counted for the next piece begin), cost of the best way."""
+    """Places to cut, in order: position, base (where the tokens counted for the next piece begin), cost of the best way;
+    `goal` and `start` are position and base in even pieces of their text, so that goal - start is a piece's deviation."""
 
-    def __init__(self, at: np.ndarray, base: np.ndarray, text: np.ndarray, price: np.ndarray, kind: np.ndarray) -> None:
+    def __init__(self, at, base, text, price, kind, first: np.ndarray, even: np.ndarray) -> None:
         self.at, self.base, self.text, self.price, self.kind = at, base, text, price, kind
+        self.goal = (at - first[text]) / even[text] - 1
+        self.start = (base - first[text]) / even[text]
         self.cost = np.full(len(at), np.inf)
 
 
-def _ways(lo: np.ndarray, hi: np.ndarray, source: _Nodes, at: np.ndarray, even: np.ndarray):
-    """Costs of all ways from source[lo:hi] to each position, flat, and what position (row) each belongs to."""
-    n = np.maximum(hi - lo, 0)
-    row = np.repeat(np.arange(len(n)), n)
-    i = lo[row] + _ramp(n)
-    off = (at[row] - source.base[i]) / even[row] - 1
-    return source.cost[i] + off * off, n, row, i
+def _ways(lo: np.ndarray, hi: np.ndarray, source: _Nodes, goal: np.ndarray):
+    """Costs of all ways from source[lo:hi] to each goal, flat, where each goal's begin, and what source each is from."""
+    n = hi - lo
+    begin = np.cumsum(n) - n
+    i = np.repeat(lo - begin, n)
+    i += np.arange(len(i))
+    off = np.repeat(goal, n)
+    off -= source.start[i]
+    off *= off
+    off += source.cost[i]
+    return off, begin, n, i
 
 
-def _least(lo: np.ndarray, hi: np.ndarray, source: _Nodes, at: np.ndarray, even: np.ndarray) -> np.ndarray:
-    """The least cost of reaching each position from source[lo:hi]."""
-    out = np.full(len(at), np.inf)
+def _least(lo: np.ndarray, hi: np.ndarray, source: _Nodes, goal: np.ndarray) -> np.ndarray:
+    """The least cost of reaching each goal from source[lo:hi]."""
+    out = np.full(len(goal), np.inf)
     some = np.flatnonzero(hi > lo)
     if len(some):
-        costs, n, _, _ = _ways(lo[some], hi[some], source, at[some], even[some])
-        out[some] = np.minimum.reduceat(costs, np.cumsum(n) - n)
+        costs, begin, _, _ = _ways(lo[some], hi[some], source, goal[some])
+        out[some] = np.minimum.reduceat(costs, begin)
     return out
 
 
@@ -185,7 +192,7 @@ def cut_texts(bounds: Boundaries, chosen: np.ndarray, max_tokens: int, overlap:
     beside = (kinds > STRONG) & (s_text[left] == text) & (s_text[right] == text) & (s_at[right] - s_at[left] <= longest // 2 - 8)
     for q, d in ((left, at - s_at[left]), (right, s_at[right] - at)):
         beside &= price - s_price[q] > need(np.where(beside, d, 0))
-    b = _Nodes(*[x[beside] for x in (at, at - extra, text, price, kinds)])
+    b = _Nodes(*[x[beside] for x in (at, at - extra, text, price, kinds)], bounds.first, even_of)
     b_left, b_right = s_base[left[beside]], s_at[right[beside]]
     # all others, with a first node (where the first piece's tokens count from) and a last one per text
     first, last = bounds.first[chosen] + overlap, bounds.last[chosen]
@@ -198,7 +205,7 @@ def cut_texts(bounds: Boundaries, chosen: np.ndarray, max_tokens: int, overlap:
         )
     ]
     order = np.argsort(joined[0], kind="stable")
-    a = _Nodes(*[x[order] for x in joined])
+    a = _Nodes(*[x[order] for x in joined], bounds.first, even_of)
     a.cost[a.kind == -2] = 0.0
 
     first_a, first_b = (np.searchsorted(x.at, bounds.first) for x in (a, b))
@@ -209,7 +216,6 @@ def cut_texts(bounds: Boundaries, chosen: np.ndarray, max_tokens: int, overlap:
     # ways into b: only from where its right neighbour is beyond reach
     ba_lo, ba_hi = reach(b, a, first_a), np.searchsorted(a.base, b_right - longest)
     bb_lo, bb_hi = reach(b, b, first_b), np.minimum(np.searchsorted(b.base, b_right - longest), np.searchsorted(b_left, b.at - longest))
-    even_a, even_b = even_of[a.text], even_of[b.text]
 
     # blocks of positions so short that a way through b always begins in an earlier one
     width = max(LEAST, longest // 2 - 8)
@@ -225,10 +231,10 @@ def cut_texts(bounds: Boundaries, chosen: np.ndarray, max_tokens: int, overlap:
     for k in range(n_blocks):
         j = order_b[edges_b[k] : edges_b[k + 1]]
         if len(j):
-            ways = _least(ba_lo[j], ba_hi[j], a, b.at[j], even_b[j]), _least(bb_lo[j], bb_hi[j], b, b.at[j], even_b[j])
+            ways = _least(ba_lo[j], ba_hi[j], a, b.goal[j]), _least(bb_lo[j], bb_hi[j], b, b.goal[j])
             b.cost[j] = np.minimum(*ways) + b.price[j]
         j = order_a[edges_a[k] : edges_a[k + 1]]
-        ways = _least(a_lo[j], np.minimum(a_hi[j], begin[j]), a, a.at[j], even_a[j]), _least(ab_lo[j], ab_hi[j], b, a.at[j], even_a[j])
+        ways = _least(a_lo[j], np.minimum(a_hi[j], begin[j]), a, a.goal[j]), _least(ab_lo[j], ab_hi[j], b, a.goal[j])
         a.cost[j] = np.minimum(a.cost[j], np.minimum(*ways) + a.price[j])
         ranks = rank[j]
         turns = np.searchsorted(ranks, np.arange(1, (ranks[-1] if len(ranks) else 0) + 2))
@@ -236,7 +242,7 @@ def cut_texts(bounds: Boundaries, chosen: np.ndarray, max_tokens: int, overlap:
             t = j[x:y]
             t = t[a_hi[t] > begin[t]]
             if len(t):
-                near = _least(np.maximum(a_lo[t], begin[t]), a_hi[t], a, a.at[t], even_a[t])
+                near = _least(np.maximum(a_lo[t], begin[t]), a_hi[t], a, a.goal[t])
                 a.cost[t] = np.minimum(a.cost[t], near + a.price[t])
 
     # back from the ends, all texts at once
@@ -245,13 +251,11 @@ def cut_texts(bounds: Boundaries, chosen: np.ndarray, max_tokens: int, overlap:
         raise ValueError("no way to cut within the limits")
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(where):
-        t = np.where(in_a, a.text[np.where(in_a, where, 0)], b.text[np.where(in_a, 0, where)] if len(b.text) else 0)
-        at_now = np.where(in_a, a.at[np.where(in_a, where, 0)], b.at[np.where(in_a, 0, where)] if len(b.at) else 0)
-        kind_now = np.where(in_a, a.kind[np.where(in_a, where, 0)], b.kind[np.where(in_a, 0, where)] if len(b.kind) else 0)
-        found.append((t, at_now, kind_now))
         pick = lambda x, y: np.where(in_a, x[np.where(in_a, where, 0)], y[np.where(in_a, 0, where)] if len(y) else 0)
-        via_a = _best(pick(a_lo, ba_lo), pick(a_hi, ba_hi), a, at_now, even_of[t])
-        via_b = _best(pick(ab_lo, bb_lo), pick(ab_hi, bb_hi), b, at_now, even_of[t])
+        found.append((pick(a.text, b.text), pick(a.at, b.at), pick(a.kind, b.kind)))
+        goal = pick(a.goal, b.goal)
+        via_a = _best(pick(a_lo, ba_lo), pick(a_hi, ba_hi), a, goal)
+        via_b = _best(pick(ab_lo, bb_lo), pick(ab_hi, bb_hi), b, goal)
         in_a = via_a[0] <= via_b[0]
         where = np.where(in_a, via_a[1], via_b[1])
         go_on = ~in_a | (a.kind[np.where(in_a, where, 0)] != -2)
@@ -265,15 +269,15 @@ def cut_texts(bounds: Boundaries, chosen: np.ndarray, max_tokens: int, overlap:
     return text, begins, ends, kinds.astype(np.int8)
 
 
-def _best(lo: np.ndarray, hi: np.ndarray, source: _Nodes, at: np.ndarray, even: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least cost of reaching each position from source[lo:hi], and from where."""
-    out, origin = np.full(len(at), np.inf), np.zeros(len(at), np.int64)
+def _best(lo: np.ndarray, hi: np.ndarray, source: _Nodes, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least cost of reaching each goal from source[lo:hi], and from where."""
+    out, origin = np.full(len(goal), np.inf), np.zeros(len(goal), np.int64)
     some = np.flatnonzero(hi > lo)
     if len(some):
-        costs, n, row, i = _ways(lo[some], hi[some], source, at[some], even[some])
-        out[some] = np.minimum.reduceat(costs, np.cumsum(n) - n)
-        hit = np.flatnonzero(costs == out[some][row])
-        origin[some] = i[hit[np.searchsorted(row[hit], np.arange(len(some)))]]
+        costs, begin, n, i = _ways(lo[some], hi[some], source, goal[some])
+        out[some] = np.minimum.reduceat(costs, begin)
+        hit = np.flatnonzero(costs == np.repeat(out[some], n))
+        origin[some] = i[hit[np.searchsorted(hit, begin)]]
     return out, origin
 
 
@@ -282,8 +286,10 @@ def _cutter(limits: Sequence[tuple[int, int]]):
 
     def cut_batch(texts: pa.Array) -> pa.Array:
         raw = [np.frombuffer(t.as_buffer() if t.is_valid else b"", np.uint8) for t in texts]
-        upto = np.cumsum([len(t) for t in raw])
-        chunk = (upto - [len(t) for t in raw]) // CHUNK
+        sizes = np.array([len(t) for t in raw], np.int64)
+        order = np.argsort(sizes, kind="stable")  # texts of like size take like many steps
+        raw, sizes = [raw[i] for i in order], sizes[order]
+        chunk = (np.cumsum(sizes) - sizes) // CHUNK
         none = np.zeros(0, np.int64)
         parts: list[list[tuple]] = [[], []]  # rows of (text, limit, ...) of pieces and of long lines
         for first in np.flatnonzero(np.diff(chunk, prepend=-1)):
@@ -295,17 +301,17 @@ def _cutter(limits: Sequence[tuple[int, int]]):
                     continue
                 text, s, e, k = cut_texts(bounds, chosen, most, overlap)
                 base = bounds.first[text]
-                parts[0].append((text + first, np.full(len(text), i), s - base, e - base, k))
+                parts[0].append((order[text + first], np.full(len(text), i), s - base, e - base, k))
                 inner = k >= 0
                 owner, number, length = bounds.lines_of(e[inner], text[inner])
                 long = length > most
-                parts[1].append((owner[long] + first, np.full(int(long.sum()), i), number[long]))
+                parts[1].append((order[owner[long] + first], np.full(int(long.sum()), i), number[long]))
         arrays = []
         for rows, types in zip(parts, ((pa.int32(), pa.int64(), pa.int64(), pa.int8()), (pa.int32(), pa.int64()))):
             cols = [np.concatenate(c) for c in zip(*rows)] if rows else [none] * (len(types) + 1)
-            order = np.lexsort((cols[1], cols[0]))
-            offsets = pa.array(np.searchsorted(cols[0][order], np.arange(len(raw) + 1)), pa.int32())
-            arrays += [pa.ListArray.from_arrays(offsets, pa.array(c[order], t)) for c, t in zip(cols[1:], types)]
+            by_text = np.lexsort((cols[1], cols[0]))
+            offsets = pa.array(np.searchsorted(cols[0][by_text], np.arange(len(raw) + 1)), pa.int32())
+            arrays += [pa.ListArray.from_arrays(offsets, pa.array(c[by_text], t)) for c, t in zip(cols[1:], types)]
         return pa.StructArray.from_arrays(arrays, ["limit", "start", "end", "kind", "long_limit", "long_line"])
 
     return F.arrow_udf(cut_batch, _RESULT)
