@@ -3,9 +3,10 @@ from dataclasses import replace
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from trackweave import pipeline as pl
-from trackweave.config import Config
+from trackweave.config import Config, parse
 
 CONFIG = Config(BoxSize=100.0, SofteningHalo=0.01, NumNeighboursForReassignment=3)
 
@@ -97,3 +98,40 @@ def test_an_empty_snapshot_leaves_orphans(spark, outputs):
     none = pl.Snapshot(2, 102, snaps[0].particles.limit(0), 1.0, 0.0)
     t = rows(pl.step(pl.resume(spark, path, 101), none, CONFIG))
     assert len(t) == 2 and all(r["n_bound"] == 0 and r["death"] == 102 and r["host_id"] == -1 for r in t.values())
+
+
+def test_a_configured_run_equals_one_by_hand(spark, outputs, tmp_path):
+    snaps, path, _ = outputs
+    for s in snaps[:2]:
+        p = s.particles.withColumn("host_id", F.when(F.col("host_id") < 0, 77).otherwise(F.col("host_id")))
+        p.drop("host_id").write.parquet(f"{tmp_path}/out_{s.id}.parquet")
+        p.select(F.col("host_id").alias("group_id"), "particle_id").write.parquet(f"{tmp_path}/groups_{s.id}.parquet")
+    text = f"""SnapshotPath {tmp_path}
+        HaloPath {tmp_path}
+        SubhaloPath {tmp_path}/cat
+        SnapshotFileBase out  # and its number
+        MinSnapshotIndex 0
+        MaxSnapshotIndex 1
+        SnapshotIdList 100 101
+        BoxSize 100
+        SofteningHalo 0.01
+        NumNeighboursForReassignment 3
+        ParticleNullGroupId 77
+        ParticlesSplit 1
+        SaveBoundParticleBindingEnergies 1
+        MaxConcurrentIO 4"""
+    with pytest.warns(UserWarning, match="MaxConcurrentIO"):
+        c = parse(text)
+    pl.run_configured(spark, c, {100: (1.0, 0.0), 101: (1.0, 0.0)})
+    keep = ["snapshot_id", "track_id", "host_id", "n_bound", "death", "rank", "depth"]
+    mine, other = (spark.read.parquet(f"{x}/tracks").where("snapshot_id < 102").select(*keep).collect() for x in (f"{tmp_path}/cat", path))
+    assert sorted(map(tuple, mine)) == sorted(map(tuple, other))
+    source = spark.read.parquet(f"{tmp_path}/cat/source").where("bound")
+    assert "energy" in source.columns and source.where("energy IS NULL OR energy >= 0").count() == 0
+
+
+def test_the_catalogue_holds_the_properties(spark, outputs):
+    t = {r["track_id"]: r for r in spark.read.parquet(f"{outputs[1]}/tracks").where("snapshot_id = 100").collect()}
+    assert t[0]["n_bound_type"] == [10, 50, 0, 0, 0, 0] and t[0]["m_bound_type"][1] == pytest.approx(5.0)
+    assert t[0]["comoving_average_position"][0] % 100 == pytest.approx(99.99, abs=0.05) or t[0]["comoving_average_position"][0] % 100 < 0.05
+    assert t[0]["specific_self_potential_energy"] < 0 < t[0]["specific_self_kinetic_energy"] and len(t[1]["inertial_tensor"]) == 6

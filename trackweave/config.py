@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
 from dataclasses import dataclass, fields
 from typing import get_type_hints
@@ -10,6 +11,9 @@ from typing import get_type_hints
 REQUIRED = (
     "SnapshotPath", "HaloPath", "SubhaloPath", "SnapshotFileBase", "MaxSnapshotIndex", "BoxSize", "SofteningHalo",
 )
+#: Keys that files may hold and that mean nothing here, as there is no tree, no table of ids and no reader of
+#: one's own whose work they would set. They are accepted with a warning.
+WITHOUT_EFFECT = ("TreeNodeOpenAngle", "ParticleIdNeedHash", "GroupLoadedFullParticle", "MaxConcurrentIO")
 
 
 @dataclass(frozen=True)
@@ -37,7 +41,6 @@ class Config:
     SourceSubRelaxFactor: float = 3.0
     SubCoreSizeFactor: float = 0.0
     SubCoreSizeMin: int = 20
-    TreeNodeOpenAngle: float = 0.45
     MaxSampleSizeOfPotentialEstimate: int = 1000
     PotentialEstimateUpscaleMassesPerType: bool = True
     RefineMostBoundParticle: bool = True
@@ -60,9 +63,6 @@ class Config:
     SaveBoundParticleProperties: bool = False
     SnapshotHasIdBlock: bool = True
     SnapshotIdUnsigned: bool = False
-    ParticleIdNeedHash: bool = True
-    GroupLoadedFullParticle: bool = False
-    MaxConcurrentIO: int = 10
     NoStripping: bool = False
     InclusiveMass: bool = False
     DmOnly: bool = False
@@ -110,6 +110,9 @@ def parse(text: str) -> Config:
         words = line.split("#")[0].split("[")[0].split()
         if not words:
             continue
+        if words[0] in WITHOUT_EFFECT:
+            warnings.warn(f"{words[0]} has no effect", stacklevel=2)
+            continue
         if words[0] not in hints:
             raise ValueError(f"unknown parameter {words[0]}")
         values[words[0]] = _convert(words[0], hints[words[0]], words[1:])

@@ -135,6 +135,7 @@ def unbind(
     tracer_mask: int = 18,
     max_sources: int = 1000,
     keep_mask: int = 32,
+    per_type: bool = True,
     thermal: bool = False,
     strip: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
@@ -155,7 +156,7 @@ def unbind(
     tracer = ph.is_tracer("type", tracer_mask)
     for n in count(1):  # ends, as every group that stays loses a member a round
         frames = mean_motion(active, ["g"], "_order").where("mass > 0")
-        phi = potentials(active, max_sources, keep_mask)
+        phi = potentials(active, max_sources, keep_mask, per_type)
         e = cut(energies(active, phi, frames, gravity, thermal).withColumn("bound", ph.is_bound("energy") if strip else F.lit(True)))
         counts = e.groupBy("g").agg(
             F.count("*").alias("_last"),

@@ -68,5 +68,5 @@ def summary(profile: DataFrame, by: Sequence[str], r: str, soft: str, density: s
         F.when(some, F.col("r_half")).otherwise(zero).alias("r_half"),
         F.when(some, F.col("r_enclose")).otherwise(zero).alias("r_enclose"),
         F.when(some, F.col("_o.m_in")).otherwise(zero).alias("m_over"),
-        F.when(some, F.pow(F.col("_o.m_in") / F.col("_o.d"), F.lit(1 / 3))).otherwise(zero).alias("r_over"),
+        F.when(some, F.pow(F.try_divide(F.col("_o.m_in"), F.col("_o.d")), F.lit(1 / 3))).otherwise(zero).alias("r_over"),
     )

@@ -23,8 +23,10 @@ from trackweave.operators import ranking as rk
 from trackweave.operators import spatial as sp
 from trackweave.operators import votes
 from trackweave.operators.hierarchy import ancestor_pairs
+from trackweave.operators.properties import track_properties
 from trackweave.runtime import cut
 from trackweave.sources import catalogue_io as cio
+from trackweave.sources import formats
 
 #: New tracks carry this plus their host's id until they are known to be bound.
 NEW = 1 << 42
@@ -53,8 +55,11 @@ class Snapshot:
 
 @dataclass(frozen=True)
 class State:
+    """tracks and members go on into the next step; properties are what the catalogue adds for tracks with bound members."""
+
     tracks: DataFrame
     members: DataFrame
+    properties: DataFrame | None = None
 
     @staticmethod
     def empty(spark: SparkSession) -> State:
@@ -112,7 +117,7 @@ def _unbind_levels(members: DataFrame, nests: DataFrame, c: Config, places: Data
     mergers: list[DataFrame] = []
     options = dict(
         gravity=c.gravity, precision=c.BoundMassPrecision, min_members=c.MinNumPartOfSub, min_tracers=c.MinNumTracerPartOfSub,
-        tracer_mask=c.tracer_mask, max_sources=c.MaxSampleSizeOfPotentialEstimate, keep_mask=c.keep_mask, thermal=c.ThermalEnergy,
+        tracer_mask=c.tracer_mask, max_sources=c.MaxSampleSizeOfPotentialEstimate, keep_mask=c.keep_mask, per_type=c.PotentialEstimateUpscaleMassesPerType, thermal=c.ThermalEnergy,
         strip=not c.NoStripping,
     )
     hands = c.MergeTrappedSubhalos and not c.NoStripping
@@ -206,7 +211,7 @@ def step(state: State, snap: Snapshot, c: Config) -> State:
     p = snap.particles.withColumns({"box_size": _box(c), "soft": soft, "hz": F.lit(snap.hz), "scale_factor": F.lit(snap.scale_factor)})
     p = cut(p.withColumn("host_id", F.coalesce("host_id", F.lit(-1))))
     tracer = ph.is_tracer("type", c.tracer_mask)
-    source = state.members
+    source = state.members.select(*[x.split()[0] for x in MEMBERS.split(", ")])
     if snap.splits is not None:  # split particles join their parent's track, at the end
         closure = nest_splits(snap.splits)
         extra = source.join(closure, "particle_id").select("track_id", F.lit(1 << 40).alias("rank"), F.col("child").alias("particle_id"), "bound")
@@ -350,8 +355,12 @@ def _finish(every, kept, verdict, mergers, stored, shape, p, snap: Snapshot, c:
     )
     columns = [x.split() for x in TRACKS.split(", ")]
     t = cut(t.select(*[F.col(n).cast(k).alias(n) for n, k in columns]))
-    kept_members = rk.truncated(m.select("track_id", "rank", "particle_id", "bound"), t.select("track_id", "n_bound"), ["track_id"], c.SourceSubRelaxFactor)
-    return State(t, cut(kept_members))
+    saved = [n for n, on in (("energy", c.SaveBoundParticleBindingEnergies), ("potential_energy", c.SaveBoundParticlePotentialEnergies)) if on]
+    saved += [*MOTION, "mass", "u", "type"] if c.SaveBoundParticleProperties else []
+    kept_members = rk.truncated(m.select("track_id", "rank", "particle_id", "bound", *saved), t.select("track_id", "n_bound"), ["track_id"], c.SourceSubRelaxFactor)
+    density = ph.virial_density(200.0, F.lit(snap.hz), F.lit(snap.scale_factor), c.gravity)
+    extra = cut(track_properties(b.withColumn("density", density), ["track_id"], ph.is_tracer("type", c.tracer_mask), thermal=c.ThermalEnergy))
+    return State(t, cut(kept_members), extra)
 
 
 def _refined(m: DataFrame, c: Config) -> DataFrame:
@@ -379,11 +388,45 @@ def run(spark: SparkSession, snapshots: list[Snapshot], c: Config, path: str, re
     state = resume_from or State.empty(spark)
     for snap in snapshots:
         state = step(state, snap, c)
-        cio.write_catalogue(state.tracks.withColumn("snapshot_id", F.lit(snap.id)), path, {snap.id: {"scale_factor": snap.scale_factor, "hz": snap.hz}})
+        full = state.tracks.join(state.properties, "track_id", "left")
+        cio.write_catalogue(full.withColumn("snapshot_id", F.lit(snap.id)), path, {snap.id: {"scale_factor": snap.scale_factor, "hz": snap.hz}})
         cio.write_state(state.members.withColumn("snapshot_id", F.lit(snap.id)), path)
     return state
 
 
+def open_snapshots(spark: SparkSession, c: Config, epochs: dict[int, tuple[float, float]]) -> list[Snapshot]:
+    """The outputs that a configuration names, from MinSnapshotIndex to MaxSnapshotIndex. epochs: scale factor and expansion
+    rate by snapshot id.
+
+    Output k lies in SnapshotPath[/SnapshotDirBase_k]/SnapshotFileBase_k*. Where its particles don't name their groups,
+    these are read from HaloPath/groups_k* and, for formats that keep them apart, the members' ids from HaloPath/ids_k*.
+    With ParticlesSplit above 0, HaloPath/splits_k.parquet holds the splits since the output before; none means no splits.
+    """
+    out = []
+    for index in range(c.MinSnapshotIndex, c.MaxSnapshotIndex + 1):
+        k = c.SnapshotIdList[index] if c.SnapshotIdList else index
+        name = f"{k:03d}"
+        folder = f"{c.SnapshotPath}/{c.SnapshotDirBase}_{name}" if c.SnapshotDirBase else c.SnapshotPath
+        options = {"periodic": c.PeriodicBoundaryOn, "ids": c.SnapshotHasIdBlock, "unsigned": c.SnapshotIdUnsigned}
+        p = formats.load_snapshot(spark, c.SnapshotFormat, f"{folder}/{c.SnapshotFileBase}_{name}*", **{n: str(v).lower() for n, v in options.items()})
+        if "host_id" not in p.columns:
+            more = {} if c.GroupFileFormat == "parquet" else {"ids": f"{c.HaloPath}/ids_{name}*", "mask": c.GroupParticleIdMask}
+            named = formats.load_groups(spark, c.GroupFileFormat, f"{c.HaloPath}/groups_{name}*", **more)
+            p = p.join(named.groupBy("particle_id").agg(F.min("group_id").alias("host_id")), "particle_id", "left")
+        none = F.col("host_id").isNull() | (F.col("host_id") < 0) | (F.col("host_id") == c.ParticleNullGroupId)
+        p = p.withColumn("host_id", F.when(none, -1).otherwise(F.col("host_id")).cast("long"))
+        splits = formats.read_splits(spark, f"{c.HaloPath}/splits_{name}.parquet") if c.ParticlesSplit > 0 else None
+        out.append(Snapshot(index, k, p, *epochs[k], splits))
+    return out
+
+
+def run_configured(spark: SparkSession, c: Config, epochs: dict[int, tuple[float, float]]) -> State:
+    """All outputs that a configuration names, written under its SubhaloPath; a run that starts later than output 0 resumes."""
+    before = c.MinSnapshotIndex - 1
+    start = None if before < 0 else resume(spark, c.SubhaloPath, c.SnapshotIdList[before] if c.SnapshotIdList else before)
+    return run(spark, open_snapshots(spark, c, epochs), c, c.SubhaloPath, start)
+
+
 def resume(spark: SparkSession, path: str, snapshot_id: int) -> State:
     """The state after a snapshot, as it was written."""
     t = spark.read.parquet(f"{path}/tracks").where(F.col("snapshot_id") == snapshot_id).drop("snapshot_id")

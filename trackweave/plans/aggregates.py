@@ -13,6 +13,7 @@ from trackweave.operators import catalogue as cat
 from trackweave.operators import profiles as pr
 from trackweave.operators import ranking as rk
 from trackweave.operators import votes
+from trackweave.operators.properties import centred
 from trackweave.sources.relations import EPOCH, groups, members, particles, snapshots, sql, tracks
 
 CONFIG = Config()
@@ -28,10 +29,7 @@ def bound_members(s: SparkSession, d: str, columns: list[str] = MOTION) -> DataF
 
 
 def _centred(s: SparkSession, d: str) -> DataFrame:
-    """Bound members beside the position and velocity (cx .. cvz) of the most bound one of their track."""
-    m = bound_members(s, d)
-    c = m.groupBy(*KEYS).agg(F.min_by(F.struct("particle_id", *MOTION[:6]), F.struct("rank", "particle_id")).alias("c"))
-    return m.join(c, KEYS).select("*", F.col("c.particle_id").alias("first_id"), *[F.col(f"c.{x}").alias(f"c{x}") for x in MOTION[:6]])
+    return centred(bound_members(s, d), KEYS)
 
 
 def _rounded(df: DataFrame, keys: list[str], digits: dict[str, int]) -> DataFrame:

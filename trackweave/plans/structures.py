@@ -16,8 +16,10 @@ from trackweave.operators import positions as pos
 from trackweave.operators import progenitors as pg
 from trackweave.operators import spatial as sp
 from trackweave.operators.aggregates import mean_motion
+from trackweave.operators.properties import track_properties
 from trackweave.operators.ranking import positions_within
 from trackweave.plans.aggregates import KEYS, TRACER, bound_members
+from trackweave.plans.aggregates import ORACLES as _AG
 from trackweave.runtime import cut, ensure_checkpoint_dir
 from trackweave.sources import catalogue_io as cio
 from trackweave.sources.relations import groups, members, particles, snapshots, sql, tracks
@@ -312,12 +314,54 @@ def io14_catalogue(s: SparkSession, d: str) -> DataFrame:
     return back.groupBy(F.col("snapshot_id").cast("long").alias("snapshot_id")).agg(F.count("*").alias("n"), F.sum("n_bound").alias("n_bound"))
 
 
+def io14_properties(s: SparkSession, d: str) -> DataFrame:
+    """The properties of every track with bound members, as the catalogue written with them gives them back."""
+    soft = ph.softening("softening", "max_physical_softening", "scale_factor")
+    b = bound_members(s, d).withColumns({"soft": soft, "density": ph.virial_density(200.0, "hz", "scale_factor")})
+    ensure_checkpoint_dir(s)
+    path = f"{s.sparkContext.getCheckpointDir()}/catalogue-{uuid.uuid4().hex}"
+    cio.write_catalogue(track_properties(b, KEYS, TRACER(), "binding_energy"), path)
+    back = cio.read_catalogue(s, path)
+    digits = {"n_bound_type": 0, "m_bound_type": 8, "comoving_average_position": 5, "physical_average_velocity": 4, "specific_angular_momentum": 2}
+    digits |= {"inertial_tensor": 4, "inertial_tensor_weighted": 6}
+    names = {"n_bound_type": "n", "m_bound_type": "m", "comoving_average_position": "p", "physical_average_velocity": "v", "specific_angular_momentum": "l"}
+    names |= {"inertial_tensor": "i", "inertial_tensor_weighted": "w"}
+    sizes = {"n": 6, "m": 6, "p": 3, "v": 3, "l": 3, "i": 6, "w": 6}
+    flat = [
+        (F.round(F.get(c, F.lit(k)), n) if n else F.get(c, F.lit(k))).alias(f"{names[c]}_{k}") for c, n in digits.items() for k in range(sizes[names[c]])
+    ]
+    return back.select(
+        F.col("snapshot_id").cast("long").alias("snapshot_id"),
+        "track_id",
+        "tracer_index",
+        *flat,
+        F.round("specific_self_potential_energy", 2).alias("potential"),
+        F.round("specific_self_kinetic_energy", 2).alias("kinetic"),
+        F.round("bound_m200_crit", 6).alias("m200"),
+        F.round("bound_r200_crit_comoving", 6).alias("r200"),
+    )
+
+
+def phys3_round(s: SparkSession, d: str) -> DataFrame:
+    """What one round of unbinding leaves of every track, by all of its members: bound members, tracers and mass."""
+    m = _selves(s, d)
+    frames = mean_motion(m, ["g"], "rank").where("mass > 0")
+    e = gr.energies(m, gr.potentials(m, 0), frames, ph.GRAVITY).where(F.abs("energy") > 0.01)  # rounding decides nothing
+    bound = ph.is_bound("energy")
+    return e.groupBy(*KEYS).agg(
+        F.count("*").alias("n"),
+        F.count_if(bound).alias("n_bound"),
+        F.count_if(bound & TRACER()).alias("n_tracers"),
+        F.round(F.coalesce(F.sum(F.when(bound, F.col("mass"))), F.lit(0.0)), 8).alias("m_bound"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         d1_mask, d2_clean, d4_promoted, d5_pass_up, d10_fakes, d11_seeds, g1_depths, g2_parents, g3_level_up, g5_nest, g11_split_trees, g13_split_links,
         j7_with_splits, j10_neighbours, v4_reassign, j11_sphere, j11_shell, j11_cylinder, w8_nearest, j12_linked, j19_painted,
-        a19_multipoles, a20_density, phys1_potential, phys2_energy, phys3_unbind, phys3_sampled, w6_refined_order, phys7_overlaps, io14_catalogue,
+        a19_multipoles, a20_density, phys1_potential, phys2_energy, phys3_unbind, phys3_round, phys3_sampled, w6_refined_order, phys7_overlaps, io14_catalogue, io14_properties,
     )
 }
 
@@ -437,5 +481,22 @@ ORACLES = {
         ON m.snapshot_id = c.snapshot_id AND m.track_id = c.track_id)
       SELECT w.snapshot_id, w.track_id, w.particle_id, round(0.5 * (wx * wx + wy * wy + wz * wz) + coalesce(p.phi, 0) * 43.0071::DOUBLE / scale_factor, 2) AS energy
       FROM w LEFT JOIN phi p ON p.snapshot_id = w.snapshot_id AND p.track_id = w.track_id AND p.particle_id = w.particle_id""",
+    "phys3_round": f"""{_PHI}, f AS (SELECT *, {", ".join(f"first_value({a}) OVER (PARTITION BY snapshot_id, track_id ORDER BY rank, particle_id) AS o{a}" for a in "xyz")} FROM b),
+      c AS (SELECT *, {", ".join(f"{_near(f'({a} - o{a})', 'box_size')} AS d{a}" for a in "xyz")} FROM f),
+      m AS (SELECT snapshot_id, track_id, {", ".join(f"sum(mass * d{a}) / sum(mass) + any_value(o{a}) AS m{a}, sum(mass * v{a}) / sum(mass) AS mv{a}" for a in "xyz")}
+        FROM c GROUP BY ALL HAVING sum(mass) > 0),
+      w AS (SELECT c.*, {", ".join(f"v{a} - mv{a} + hz * scale_factor * ({_near(f'({a} - m{a})', 'box_size')}) AS w{a}" for a in "xyz")} FROM c JOIN m
+        ON m.snapshot_id = c.snapshot_id AND m.track_id = c.track_id),
+      e AS (SELECT w.*, 0.5 * (wx * wx + wy * wy + wz * wz) + coalesce(p.phi, 0) * 43.0071::DOUBLE / scale_factor AS energy
+        FROM w LEFT JOIN phi p ON p.snapshot_id = w.snapshot_id AND p.track_id = w.track_id AND p.particle_id = w.particle_id)
+      SELECT snapshot_id, track_id, count(*) AS n, count(*) FILTER (WHERE energy < 0) AS n_bound, count(*) FILTER (WHERE energy < 0 AND type IN (1, 4)) AS n_tracers,
+        round(coalesce(sum(mass) FILTER (WHERE energy < 0), 0), 8) AS m_bound FROM e WHERE abs(energy) > 0.01 GROUP BY ALL""",
+    "io14_properties": f"""SELECT k.snapshot_id, k.track_id, x.tracer_index, {", ".join(f"k.n_{i}, k.m_{i}" for i in range(6))},
+      {", ".join(f"a.{c} AS p_{i}, a.v{c} AS v_{i}, e.l{c} AS l_{i}" for i, c in enumerate("xyz"))},
+      {", ".join(f"t.i{p} AS i_{i}, t.w_i{p} AS w_{i}" for i, p in enumerate(("xx", "xy", "xz", "yy", "yz", "zz")))},
+      e.potential, e.kinetic, r.m_over AS m200, r.r_over AS r200
+      FROM ({_AG["a3_types"]}) k JOIN ({_AG["a4_tracer_index"]}) x USING (snapshot_id, track_id) JOIN ({_AG["a1_mean_motion"]}) a USING (snapshot_id, track_id)
+      JOIN ({_AG["a7_kinematics"]}) e USING (snapshot_id, track_id) JOIN ({_AG["a10_inertia"]}) t USING (snapshot_id, track_id)
+      JOIN ({_AG["a8_profiles"]}) r USING (snapshot_id, track_id)""",
     "io14_catalogue": f"{sql('subs')} SELECT snapshot_id, count(*) AS n, sum(n_bound)::BIGINT AS n_bound FROM subs GROUP BY snapshot_id",
 }
