@@ -97,7 +97,8 @@ class Catalogue:
             links = pg.merge_links(ended).where(F.col("target") == track_id)
             links = links if kind is None else links.where(F.col("kind") == kind)
             return links.select(F.col("track_id").alias("progenitor")).orderBy("progenitor")
-        return pg.all_progenitors(ended).where(F.col("track_id") == track_id).select("progenitor").orderBy("progenitor")
+        asked = ended.where(F.col("track_id") == track_id).select(F.col("track_id").alias("node"))
+        return pg.all_progenitors(ended, asked).where(F.col("track_id") == track_id).select("progenitor").orderBy("progenitor")
 
     def scale_factors(self) -> dict[int, float]:
         """Scale factor by snapshot id."""

@@ -40,6 +40,7 @@ def hierarchy(
     broadcast_rows: int = BROADCAST_ROWS,
     levels: int = LEVELS,
     trace: list[tuple[int, int]] | None = None,
+    start: DataFrame | None = None,
 ) -> DataFrame:
     """(node, root, depth, path) of every node of `links` (node, parent; null parent = root).
 
@@ -49,16 +50,18 @@ def hierarchy(
     and `levels` levels are joined before the next cut; else every level is cut, by a broadcast of a counted small
     frontier or by a shuffle, and the links are written anew once half of them were reached. Nodes that no level
     reaches lie on a cycle or lead into one: root = depth = -1 and a null path. No links: no rows. With paths=False
-    path is null. `trace` collects (levels joined, nodes found) of every job.
+    path is null. `trace` collects (levels joined, nodes found) of every job. With `start` (node) only the trees below these
+    nodes are walked, as if they were roots, and only their nodes come out.
     """
-    links = cut(links)
+    links = links if start is None else links.join(start.select("node", F.lit(True).alias("_start")).distinct(), "node", "left")
+    links = cut(links if start is None else links.withColumn("parent", F.when(F.col("_start").isNull(), F.col("parent"))))
     path = F.array("node") if paths else F.lit(None).cast(PATH)
-    frontier = links.where("parent IS NULL").select(
+    frontier = links.where("parent IS NULL" if start is None else "_start").select(
         "node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), path.alias("path")
     )
     grown = F.concat("path", F.array("node")) if paths else F.col("path")
     rest = links.where("parent IS NOT NULL").select("node", "parent")
-    n_links, n = links.agg(F.count("parent"), F.count_if(F.col("parent").isNull())).first()
+    n_links, n = rest.count(), frontier.count()
     left, stale, level, found, kids = n_links, 0, 0, [frontier], None
     while n and left:
         if n_links - stale <= broadcast_rows:
@@ -82,7 +85,7 @@ def hierarchy(
             rest = cut(rest.join(_union(found[1:]).select("node"), "node", "left_anti"))
             stale = n_links - left
     every = _union(found)
-    if not left:
+    if not left or start is not None:
         return every
     minus = F.lit(-1).cast("long")
     lost = rest.join(_union([f.select("node") for f in found[1:]]), "node", "left_anti") if len(found) > 1 else rest

@@ -22,13 +22,14 @@ def merge_links(tracks: DataFrame) -> DataFrame:
     return tracks.where(dead).select("track_id", target.alias("target"), kind.alias("kind")).where("target >= 0")
 
 
-def all_progenitors(tracks: DataFrame) -> DataFrame:
+def all_progenitors(tracks: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """(track_id, progenitor, distance): direct progenitors at distance 1 and theirs beyond.
 
-    Tracks that lead into a cycle have none. One row per pair, which is the result asked for.
+    Tracks that lead into a cycle have none. One row per pair, which is the result asked for. With `of` (node) only the
+    trees below these tracks are walked, for a track on a cycle all that lead to it; pairs below them come along.
     """
     links = tracks.select("track_id").join(merge_links(tracks), "track_id", "left")
-    tree = hierarchy(clean_links(links, "track_id", "target"))
+    tree = hierarchy(clean_links(links, "track_id", "target"), start=of)
     return ancestor_pairs(tree).select(F.col("ancestor").alias("track_id"), F.col("node").alias("progenitor"), "distance")
 
 

@@ -42,6 +42,13 @@ def a1_mean_motion(s: SparkSession, d: str) -> DataFrame:
     return _rounded(out, KEYS, {"mass": 8, "x": 5, "y": 5, "z": 5, "vx": 4, "vy": 4, "vz": 4})
 
 
+def a23_group_motion(s: SparkSession, d: str) -> DataFrame:
+    """Mass-weighted mean position and velocity of the particles of every group, across the box edge too (also IO13)."""
+    p = particles(s, d, ["x", "y", "z", "vx", "vy", "vz", "mass", "host_id"]).where("host_id >= 0")
+    out = ag.mean_motion(p, ["snapshot_id", "host_id"], "particle_id")
+    return _rounded(out, ["snapshot_id", "host_id"], {"mass": 8, "x": 5, "y": 5, "z": 5, "vx": 4, "vy": 4, "vz": 4})
+
+
 def a3_types(s: SparkSession, d: str) -> DataFrame:
     """Members and masses of every track per particle type."""
     out = ag.type_counts(bound_members(s, d, ["mass", "type"]), KEYS)
@@ -257,7 +264,7 @@ def w15_nested_order(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        a1_mean_motion, a3_types, a4_tracer_index, a5_tracers, a6_core, a7_kinematics, a8_profiles, a10_inertia, a12_host_counts,
+        a1_mean_motion, a23_group_motion, a3_types, a4_tracer_index, a5_tracers, a6_core, a7_kinematics, a8_profiles, a10_inertia, a12_host_counts,
         a13_track_counts, a14_imbalance, a15_mass_function, a16_cumulative, a16_all_cumulative, a17_merger_rate, a18_upscale, a22_sources, a24_satellites,
         w1_member_ranks, w3_satellites, w5_energy_order, w5_all_places, w9_truncated, w10_peaks, w10_isolation, w12_offsets, w12_all_offsets, w12_member_offsets, w13_new_ids,
         w14_most_massive, w15_nested_order,
@@ -287,6 +294,12 @@ ORACLES = {
     "a1_mean_motion": f"""{_C} SELECT snapshot_id, track_id, round(sum(mass), 8) AS mass,
       {", ".join(f"CASE WHEN sum(mass) <> 0 THEN round(sum(mass * d{a}) / sum(mass) + any_value(c{a}), 5) END AS {a}" for a in "xyz")},
       {", ".join(_MEAN.format(f"sum(mass * v{a})", 4, f"v{a}") for a in "xyz")} FROM c GROUP BY ALL""",
+    "a23_group_motion": f"""{sql("parts")}, f AS (SELECT *, {", ".join(f"first_value({a}) OVER (PARTITION BY snapshot_id, host_id ORDER BY particle_id) AS c{a}" for a in "xyz")}
+        FROM parts WHERE host_id >= 0),
+      c AS (SELECT *, {", ".join(f"{_near(f'({a} - c{a})')} AS d{a}" for a in "xyz")} FROM f)
+      SELECT snapshot_id, host_id, round(sum(mass), 8) AS mass,
+      {", ".join(f"CASE WHEN sum(mass) <> 0 THEN round(sum(mass * d{a}) / sum(mass) + any_value(c{a}), 5) END AS {a}" for a in "xyz")},
+      {", ".join(_MEAN.format(f"sum(mass * v{a})", 4, f"v{a}") for a in "xyz")} FROM c GROUP BY ALL""",
     "a3_types": f"""{_B} SELECT snapshot_id, track_id, {", ".join(f"count(*) FILTER (WHERE type = {k}) AS n_{k}" for k in range(6))},
       {", ".join(f"round(coalesce(sum(mass) FILTER (WHERE type = {k}), 0), 8) AS m_{k}" for k in range(6))}, count(*) AS n, round(sum(mass), 8) AS m
       FROM b GROUP BY ALL""",

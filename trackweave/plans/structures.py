@@ -77,7 +77,7 @@ def d4_promoted(s: SparkSession, d: str) -> DataFrame:
 
 
 def d5_pass_up(s: SparkSession, d: str) -> DataFrame:
-    """Members of every track after unbound ones of nested tracks were handed to the parent."""
+    """Members of every track after unbound ones of nested tracks were handed to the parent."""
     t = _nests(s, d).select(*KEYS, F.when(F.col("parent") >= 0, F.col("parent")).alias("parent"))
     m = members(s, d).select(*KEYS, "particle_id", "bound")
     return nest.pass_up(m, t, ["snapshot_id"]).groupBy(*KEYS).agg(F.count("*").alias("n_members"))
@@ -90,6 +90,13 @@ def d10_fakes(s: SparkSession, d: str) -> DataFrame:
     return t.groupBy("snapshot_id").agg(F.count_if(~fake).alias("n_kept"), F.count_if(fake).alias("n_fake"))
 
 
+def d10_kept(s: SparkSession, d: str) -> DataFrame:
+    """The tracks left when those that were born and never bound are removed."""
+    t = tracks(s, d, ["n_bound", "snapshot_of_birth"])
+    fake = (F.coalesce("n_bound", F.lit(0)) <= 1) & F.col("snapshot_of_birth").eqNullSafe(F.col("snapshot_id"))
+    return t.where(~fake).select(*KEYS)
+
+
 def d11_seeds(s: SparkSession, d: str) -> DataFrame:
     """Groups without a track, each of which starts one."""
     h = groups(s, d).select("snapshot_id", F.col("halo_id").alias("host_id"))
@@ -359,7 +366,7 @@ def phys3_round(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        d1_mask, d2_clean, d4_promoted, d5_pass_up, d10_fakes, d11_seeds, g1_depths, g2_parents, g3_level_up, g5_nest, g11_split_trees, g13_split_links,
+        d1_mask, d2_clean, d4_promoted, d5_pass_up, d10_fakes, d10_kept, d11_seeds, g1_depths, g2_parents, g3_level_up, g5_nest, g11_split_trees, g13_split_links,
         j7_with_splits, j10_neighbours, v4_reassign, j11_sphere, j11_shell, j11_cylinder, w8_nearest, j12_linked, j19_painted,
         a19_multipoles, a20_density, phys1_potential, phys2_energy, phys3_unbind, phys3_round, phys3_sampled, w6_refined_order, phys7_overlaps, io14_catalogue, io14_properties,
     )
@@ -421,6 +428,8 @@ ORACLES = {
       ELSE m.track_id END AS track_id, count(*) AS n_members FROM mems m LEFT JOIN subs t ON t.snapshot_id = m.snapshot_id AND t.track_id = m.track_id GROUP BY 1, 2""",
     "d10_fakes": f"""{sql("subs")} SELECT snapshot_id, count(*) FILTER (WHERE NOT (coalesce(n_bound, 0) <= 1 AND snapshot_of_birth IS NOT DISTINCT FROM snapshot_id)) AS n_kept,
       count(*) FILTER (WHERE coalesce(n_bound, 0) <= 1 AND snapshot_of_birth IS NOT DISTINCT FROM snapshot_id) AS n_fake FROM subs GROUP BY snapshot_id""",
+    "d10_kept": f"""{sql("subs")} SELECT snapshot_id, track_id FROM subs
+      WHERE NOT (coalesce(n_bound, 0) <= 1 AND snapshot_of_birth IS NOT DISTINCT FROM snapshot_id)""",
     "d11_seeds": f"""{sql("subs", "fofs")} SELECT snapshot_id, halo_id AS host_id FROM fofs f WHERE NOT EXISTS (
       SELECT 1 FROM subs t WHERE t.snapshot_id = f.snapshot_id AND t.host_halo_id = f.halo_id)""",
     "g1_depths": f"""{_N} SELECT n.snapshot_id, n.track_id, coalesce(t.depth, -1) AS depth, coalesce(t.head, -1) AS head FROM nests n
