@@ -8,8 +8,8 @@
    Documents of equal membership have equal rates, so they are first added up; a step sends one row of sums to the
    driver. Sources whose documents all end at their cap can't be reached: they stay there and leave the sum of squares.
    4. Rates become whole repeats: a document is used while (k - 1 + u) / rate is below its source's threshold, u being a
-   hash of its id. A threshold of 1 gives the fitted totals up to chance; it is narrowed around 1 until it meets the
-   target of the labels to the nearest document.
+   hash of its id. A threshold of 1 gives the fitted totals up to chance; the one taken, near 1, meets the target of the
+   labels to the nearest document.
 """
 
 from __future__ import annotations
@@ -214,53 +214,54 @@ def rate(path: Sequence[Sequence[float]]) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda r, g: F.greatest(F.lit(0.0), F.least(F.col("cap"), r - dot(g))))
 
 
-def _repeats(threshold: Column) -> Column:
-    k = F.floor(threshold * F.col("rate") - F.col("u")) + 1
-    return F.when(F.col("rate") > 0, F.greatest(F.lit(0), F.least(F.col("cap"), k))).otherwise(0).cast("int")
-
-
 def _by_source(values: Sequence[float]) -> Column:
     return F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("s"))
 
 
-def whole_repeats(docs: DataFrame, targets: np.ndarray, capped: Sequence[int], grid: int = 16) -> DataFrame:
+def _step(k: Column) -> Column:
+    """The threshold from which on a document is used for the k-th time."""
+    return (k - 1 + F.col("u")) / F.col("rate")
+
+
+def whole_repeats(docs: DataFrame, targets: np.ndarray, capped: Sequence[int], bins: int = 256) -> DataFrame:
     """docs (s, tokens, rate, cap, u, ...) with `repeats`, so that every source's tokens come as near to its target as
     whole documents allow; the documents of the sources in `capped` are at their caps.
 
-    Each round adds up, per source, the tokens and repeats at `grid` thresholds and keeps the step that holds the
-    target, until it holds one repeat at most; then the nearer end is taken. The first step, 0 to 2, grows as long as
-    the target lies beyond it and repeats can still grow.
+    The threshold of a source is a quantile of its documents' steps weighted by tokens: histograms of the steps, a
+    bounded number of rows per round, narrow the interval that holds the target until it is one step (or steps at the
+    same threshold, which enter together); then the nearer side of it is taken. Documents of rate 0 are never used.
     """
     n = len(targets)
-    lo, hi, done = np.zeros(n), np.full(n, 2.0), set(capped)
-    n_docs = docs.agg(F.count("*")).first()[0]
-    while n_docs and len(done) < n:
-        at = [lo + (hi - lo) * g / grid for g in range(grid + 1)]
-        sums = [F.sum(F.col("tokens") * _repeats(_by_source(t))).alias(f"t{i}") for i, t in enumerate(at)]
-        counts = [F.sum(_repeats(_by_source(t))).alias(f"n{i}") for i, t in enumerate(at)]
-        most = F.sum(F.when(F.col("rate") > 0, F.col("cap")).otherwise(0)).cast("long").alias("most")
-        got = docs.groupBy("s").agg(*sums, *counts, most).collect()  # one row per source
-        done |= set(range(n)) - {r["s"] for r in got}
-        for r in got:
-            s = r["s"]
-            if s in done:
-                continue
-            t = [r[f"t{i}"] for i in range(grid + 1)]
-            if t[-1] < targets[s]:
-                lo[s], hi[s] = hi[s], hi[s] * 2
-                if r[f"n{grid}"] >= r["most"]:
-                    done.add(s)
-                continue
-            i = max(j for j in range(grid + 1) if j == 0 or t[j] < targets[s])
-            i = min(i, grid - 1)
-            low, high = at[i][s], at[i + 1][s]
-            if r[f"n{i + 1}"] - r[f"n{i}"] <= 1 or high - low <= 1e-14 * high:
-                lo[s] = high if t[i + 1] - targets[s] <= targets[s] - t[i] else low
-                done.add(s)
+    times = F.explode(F.sequence(F.lit(1), F.col("cap").cast("int"))).alias("k")
+    steps = docs.where("rate > 0 AND cap >= 1").select("s", "tokens", "rate", "u", times).select("s", "tokens", _step(F.col("k")).alias("at"))
+    most, below, before = np.full(n, np.inf), np.full(n, -1.0), np.zeros(n)
+    lo, hi, todo = np.zeros(n), np.zeros(n), []
+    for r in steps.groupBy("s").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.sum("tokens").alias("t")).collect():  # a row per source
+        if r["s"] not in capped and r["t"] >= targets[r["s"]]:
+            lo[r["s"]], hi[r["s"]] = r["lo"], r["hi"]
+            todo.append(r["s"])
+    while todo:
+        low, high = _by_source(lo), _by_source(hi)
+        share = F.when(high > low, F.try_divide(F.col("at") - low, high - low)).otherwise(0.0)
+        within = steps.where(F.col("s").isin(*todo) & (F.col("at") >= low) & (F.col("at") <= high))
+        counts = F.sum("tokens").alias("t"), F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")
+        got = within.groupBy("s", F.least(F.lit(bins - 1), F.floor(share * bins)).alias("bin")).agg(*counts).collect()
+        left = []
+        for s in todo:
+            upto, last = before[s], below[s]
+            for r in sorted((r for r in got if r["s"] == s), key=lambda r: r["bin"]):
+                if upto + r["t"] >= targets[s]:
+                    break
+                upto, last = upto + r["t"], r["hi"]
+            if r["n"] == 1 or r["lo"] == r["hi"]:
+                most[s] = r["hi"] if upto + r["t"] - targets[s] <= targets[s] - upto else last
             else:
-                lo[s], hi[s] = low, high
-    last = _repeats(_by_source(lo))
-    return docs.withColumn("repeats", F.when(F.col("s").isin(*capped), F.col("cap").cast("int")).otherwise(last) if capped else last)
+                lo[s], hi[s], before[s], below[s] = r["lo"], r["hi"], upto, last
+                left.append(s)
+        todo = left
+    used = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("cap").cast("int"))), lambda k: (k <= F.col("cap")) & (_step(k) <= _by_source(most))))
+    repeats = F.when(F.col("rate") > 0, used).otherwise(0)
+    return docs.withColumn("repeats", (F.when(F.col("s").isin(*capped), F.col("cap")).otherwise(repeats) if capped else repeats).cast("int"))
 
 
 @dataclass
