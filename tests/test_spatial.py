@@ -180,6 +180,22 @@ def test_potentials_equal_direct_sums(spark, monkeypatch):
         start += len(x)
 
 
+@pytest.mark.parametrize("shape", ["box", "edge", "open", "place"])
+def test_pairs_of_a_large_group_are_compared_once_and_cheaply(monkeypatch, shape):
+    n, rng, seen, direct = 3000, np.random.default_rng(13), [], gr._kernel
+    monkeypatch.setattr(gr, "_kernel", lambda r, h: seen.append(r.size) or direct(r, h))
+    x = {"box": rng.random((n, 3)), "edge": rng.normal(size=(n, 3)) * 0.02 % 1, "open": rng.normal(size=(n, 3)), "place": np.full((n, 3), 0.4)}[shape]
+    m, soft, part = rng.random(n), rng.choice([0.0005, 0.002], n), rng.integers(0, 2, n)
+    rows = pd.DataFrame({"g": 1, "particle_id": np.arange(n), "x": x[:, 0], "y": x[:, 1], "z": x[:, 2], "mass": m, "soft": soft, "box_size": np.nan if shape == "open" else 1.0, "part": part})
+    tasks = [rows[part == 0].assign(a=0, b=0), rows[part == 1].assign(a=1, b=1), rows.assign(a=0, b=1)]
+    got = pd.concat([gr._mutual_potentials(t.sample(frac=1, random_state=1)) for t in tasks]).groupby("particle_id").phi.sum()
+    if shape != "place":  # the full kernel, many steps a pair, is for close pairs only
+        assert sum(seen) < n * n / 8
+    k = kernel(dist(x, x, 1e9 if shape == "open" else 1.0), 2.8 * soft[:, None]) * m[None]
+    np.fill_diagonal(k, 0)
+    assert len(got) == n and np.allclose(got, k.sum(axis=1), rtol=1e-9)
+
+
 def test_sampled_sources_keep_the_mass(spark):
     rng = np.random.default_rng(9)
     gs = {1: (rng.normal(size=(3000, 3)), np.zeros((3000, 3)), rng.random(3000)), 2: (rng.normal(size=(50, 3)), np.zeros((50, 3)), np.ones(50))}

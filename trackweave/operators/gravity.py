@@ -3,7 +3,8 @@
 A track's gravity sources are all of its bound members or, beyond `max_sources`, a sample of them in order of a hash
 of their ids, with masses scaled up per type; types in `keep_mask` come first. Tasks hold at most about `TASK_ROWS` of
 a track's members and as many of its sources: a hot track is spread over many tasks and no task holds a track, nor are
-pairs of members ever rows. Small tracks share tasks. `max_sources` 0 takes all members, whatever their number.
+pairs of members ever rows. Small tracks share tasks. `max_sources` 0 takes all members, whatever their number; then
+every pair is looked at once for both of its members.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from trackweave.operators.ranking import positions_within
 from trackweave.runtime import cut
 
 TASK_ROWS = 8192
+#: Members of a track and sources that `_mutual_potentials` compares at once, so that its arrays stay in a core's cache.
+ROWS, COLUMNS = 128, 1024
 
 
 def _kernel(r: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -33,6 +36,116 @@ def _kernel(r: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(r >= h, far, np.where(u < 0.5, inner, outer))
 
 
+def _blocks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the points x (3, n) and the bounds of blocks in it, each of at most ROWS points near each other."""
+    n = x.shape[1]
+    side = max(1, round((n / ROWS) ** (1 / 3)))
+    part = np.zeros(n, dtype=np.int64)
+    for c in (0, 1):  # slabs of equal counts, then columns of equal counts in each
+        order = np.lexsort((x[c], part))
+        count = np.bincount(part)
+        place = np.arange(n) - np.repeat(np.cumsum(count) - count, count)
+        part[order] = part[order] * side + place * side // np.repeat(count, count)
+    order = np.lexsort((x[2], part))
+    count = np.bincount(part)
+    bounds = [b + np.arange(k) * m // k for b, m in zip(np.cumsum(count) - count, count) if m for k in (-(-m // ROWS),)]
+    return order, np.append(np.concatenate(bounds), n)
+
+
+def _add_pairs(t: tuple, s: tuple, box: float, room: list[np.ndarray]) -> None:
+    """Add the potentials of all pairs of a point of t and one of s to both. Either is (places (3, n), masses, kernel extents, sums).
+
+    t is a small block, so that most sources have one and the same image nearest to all of it. From its middle squared
+    distances are a product of matrices, but for the axes along which the image differs within t. Pairs so close that
+    this loses digits, or within the kernel, are taken one by one.
+    """
+    (x, mx, hx, out), (y, my, hy, back) = t, s
+    lo, hi = x.min(axis=1), x.max(axis=1)
+    mid = (lo + hi) / 2
+    moved, kind = y - mid[:, None], np.zeros(y.shape[1], dtype=np.int64)
+    if not np.isnan(box):
+        image = lambda e: box * ((e[:, None] - y > box / 2).astype(float) - (e[:, None] - y < -box / 2))
+        first = image(lo)
+        kind = np.array([1, 2, 4]) @ (first != image(hi))
+        moved += first
+    own = x - mid[:, None]
+    extent = max(hx.max(), hy.max())
+    close = np.inf if np.isnan(extent) else max(extent * extent * (1 + 1e-9), ((hi - lo) ** 2).sum() / 16384)
+    for k in np.flatnonzero(np.bincount(kind)):
+        plain, mixed = ([c for c in range(3) if (k >> c & 1) == bit] for bit in (0, 1))
+        left = np.column_stack([*(-2 * own[plain]), (own[plain] ** 2).sum(axis=0), np.ones(len(mx))])
+        of = np.flatnonzero(kind == k)
+        for a in range(0, len(of), COLUMNS):
+            at = of[a : a + COLUMNS]
+            there, shape = moved[:, at], (len(mx), len(at))
+            r2, d, e = (b[: shape[0] * shape[1]].reshape(shape) for b in room)
+            np.matmul(left, np.vstack([there[plain], np.ones(len(at)), (there[plain] ** 2).sum(axis=0)]), out=r2)
+            for c in mixed:
+                np.abs(np.subtract(x[c][:, None], y[c][at][None], out=d), out=d)
+                np.minimum(d, np.subtract(box, d, out=e), out=d)
+                np.add(r2, np.multiply(d, d, out=d), out=r2)
+            near = np.flatnonzero(r2 < close)
+            np.sqrt(r2, out=r2)
+            np.divide(-1.0, r2, out=r2)
+            if len(near):
+                r2.flat[near] = 0.0
+                i, col = np.divmod(near, shape[1])
+                j = at[col]
+                way = np.abs(x[:, i] - y[:, j])
+                r = np.sqrt((np.fmin(way, box - way) ** 2).sum(axis=0))
+                out += np.bincount(i, _kernel(r, hx[i]) * my[j], shape[0])
+                back[at] += np.bincount(col, _kernel(r, hy[j]) * mx[i], shape[1])
+            out += r2 @ my[at]
+            back[at] += mx @ r2
+
+
+def _direct(x: np.ndarray, mass: np.ndarray, h: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """The potentials (k, n) of k groups of n points each: x (3, k, n), box (k, 1, 1)."""
+    way = np.abs(x[:, :, :, None] - x[:, :, None, :])
+    r = np.sqrt((np.fmin(way, box - way) ** 2).sum(axis=0))
+    phi = _kernel(r, h[:, :, None]) * mass[:, None, :]
+    i = np.arange(x.shape[2])
+    phi[:, i, i] = 0.0
+    return phi.sum(axis=2)
+
+
+def _mutual_potentials(rows: pd.DataFrame) -> pd.DataFrame:
+    """Potentials of the members of one task by each other: of all in a group `g` where its parts a and b are one, else
+    of those of one part by those of the other, both ways at once."""
+    key = np.lexsort([rows[c].to_numpy() for c in ("part", "b", "a", "g")])
+    rows = rows.iloc[key]
+    x, out = np.ascontiguousarray(rows[["x", "y", "z"]].to_numpy(dtype=float).T), np.zeros(len(rows))
+    mass, h, box = rows["mass"].to_numpy(dtype=float), ph.KERNEL * rows["soft"].to_numpy(dtype=float), rows["box_size"].to_numpy(dtype=float)
+    a, b, part, ids = (rows[c].to_numpy() for c in ("a", "b", "part", "g"))
+    new = np.flatnonzero((ids[1:] != ids[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
+    begin, end = np.append(0, new), np.append(new, len(rows))
+    sizes, alone = end - begin, a[begin] == b[begin]
+    with np.errstate(all="ignore"):
+        for n in np.unique(sizes[alone & (sizes <= ROWS) & (sizes > 1)]):  # groups of like size at once
+            of = begin[alone & (sizes == n)]
+            for some in np.array_split(of, -(-len(of) * n * n // 500_000)):
+                at = some[:, None] + np.arange(n)
+                out[at] = _direct(x[:, at], mass[at], h[at], box[some][:, None, None])
+        room = [np.empty(ROWS * COLUMNS) for _ in range(3)]
+        for lo, hi, one in zip(begin, end, alone):
+            if one and hi - lo <= ROWS:
+                continue
+            cut_at = hi if one else lo + np.searchsorted(part[lo:hi], b[lo])
+            order, bounds = _blocks(x[:, lo:cut_at])
+            order += lo
+            first = [x[:, order], mass[order], h[order], np.zeros(len(order))]
+            other = [x[:, cut_at:hi], mass[cut_at:hi], h[cut_at:hi], out[cut_at:hi]]
+            for i, j in zip(bounds[:-1], bounds[1:]):
+                block, rest = ([v[..., s] for v in first] for s in (slice(i, j), slice(j, None)))
+                if one:
+                    block[3] += _direct(block[0][:, None], block[1][None], block[2][None], box[[lo]][:, None, None])[0]
+                for s in (rest if one else other,):
+                    if len(s[1]):
+                        _add_pairs(tuple(block), tuple(s), box[lo], room)
+            out[order] += first[3]
+    return rows[["g", "particle_id"]].assign(phi=out)
+
+
 def _sum_potentials(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Potential of every member of left from the sources in right of the same group `g`, its own row left out."""
     out = np.zeros(len(left))
@@ -90,6 +203,8 @@ def potentials(members: DataFrame, max_sources: int = 1000, keep_mask: int = 0,
     A member adds nothing to its own potential. Groups of one member have 0. Where the sources aren't a sample of at
     most TASK_ROWS, they are split into blocks of that size as well, whose parts of the potential are summed up.
     """
+    if source_rows is None and not max_sources:
+        return _all_potentials(members)
     pieces = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / TASK_ROWS)).cast("int")
     sizes = members.groupBy("g").agg(F.count("*").alias("_n"))
     given = sources(members, max_sources, keep_mask, per_type) if source_rows is None else source_rows
@@ -113,6 +228,22 @@ def potentials(members: DataFrame, max_sources: int = 1000, keep_mask: int = 0,
     return phi if few else phi.groupBy("g", "particle_id").agg(F.sum("phi").alias("phi"))
 
 
+def _all_potentials(members: DataFrame) -> DataFrame:
+    """`potentials` by all members. Every pair of parts of a group of more than TASK_ROWS members is one task, which sums
+    up either part's potentials by the other from the same distances; groups share the box and a member's own softening."""
+    rows = members.select("g", "particle_id", "x", "y", "z", "mass", "soft", "box_size")
+    sizes = rows.groupBy("g").agg(F.count("*").alias("_n"))
+    plan = sizes.select("g", F.ceil(F.col("_n") / TASK_ROWS).cast("int").alias("_parts"))
+    small_rows = sizes.where(F.col("_n") <= TASK_ROWS).agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    n_tasks = max(members.sparkSession.sparkContext.defaultParallelism * 4, -(-small_rows // TASK_ROWS))
+    split = rows.join(plan, "g").withColumn("part", F.pmod(F.xxhash64("particle_id"), F.col("_parts")).cast("int"))
+    split = split.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    split = split.withColumns({"a": F.least("part", "_q"), "b": F.greatest("part", "_q")})
+    task = F.when(F.col("_parts") > 1, F.xxhash64("g", "a", "b")).otherwise(F.pmod(F.xxhash64("g"), F.lit(n_tasks)))
+    phi = split.withColumn("task", task).drop("_parts", "_q").groupBy("task").applyInPandas(_mutual_potentials, "g long, particle_id long, phi double")
+    return phi.groupBy("g", "particle_id").agg(F.sum("phi").alias("phi"))
+
+
 def energies(members: DataFrame, phi: DataFrame, frames: DataFrame, gravity: Column | float, thermal: bool = False) -> DataFrame:
     """members with energy: kinetic in the group's frame plus G phi / a, plus u if thermal.
 
