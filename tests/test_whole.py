@@ -61,6 +61,20 @@ def test_large_tracks_have_exact_potentials_and_energies(spark, monkeypatch, row
     assert got.keys() == energy.keys() and all(got[p] == pytest.approx(energy[p], abs=0.006) for p in energy)
 
 
+def test_unbinding_by_all_members_looks_at_every_pair_once(spark, monkeypatch):
+    m, phi, energy = cloud(spark, 900)
+    monkeypatch.setattr(gr, "TASK_ROWS", 300)  # three parts
+    rounds, mutual = [], gr._all_potentials
+    monkeypatch.setattr(gr, "_all_potentials", lambda rows: rounds.append(1) or mutual(rows))
+    kept, groups = gr.unbind(m, max_sources=0)
+    out = groups.first()
+    assert len(rounds) == out["n_rounds"] >= 1 and not out["disrupted"]
+    bound = sum(e < 0 for e in energy.values())
+    assert out["n_bound"] == bound and kept.count() == 900
+    rows = kept.select("particle_id", F.col("energy") - F.col("potential_energy"), "potential_energy").collect()
+    assert out["n_rounds"] > 1 or all(r[2] == pytest.approx(ph.GRAVITY * phi[r[0]], rel=1e-9) for r in rows)
+
+
 def test_tracks_sink_into_the_deepest_ancestor_that_they_overlap(spark):
     # 1 holds 2, 2 holds 3 and 5, 3 holds 4: 3 overlaps 1 only, 4 is an orphan at 3, 5 one that sank before
     core = "snapshot_id long, track_id long, x double, y double, z double, vx double, vy double, vz double, sigma_r double, sigma_v double, n long"
