@@ -106,6 +106,37 @@ def test_linked_groups(spark):
     assert got == {i: (label[i], (label == label[i]).sum()) for i in range(len(x))}
 
 
+def linked(x, link):
+    near, label = dist(x, x) < link, np.arange(len(x))
+    while True:
+        new = np.array([label[near[i]].min() for i in range(len(x))])
+        if (new == label).all():
+            return {i: (label[i], (label == label[i]).sum()) for i in range(len(x))}
+        label = new
+
+
+@pytest.mark.parametrize("way", ["blocks", "many edges", "cells"])
+def test_groups_are_linked_in_blocks_whatever_their_size(spark, monkeypatch, way):
+    x, link = points(1500, 14, clumps=1), 0.055
+    if way == "cells":  # no block may hold that many
+        monkeypatch.setattr(sp, "MOST", 1)
+    else:  # pairs of cells are no rows
+        monkeypatch.setattr(sp, "_near_pairs", lambda *a: pytest.fail("pairs of cells are rows"))
+        monkeypatch.setattr(sp, "BLOCK", 40)
+        if way == "many edges":
+            monkeypatch.setattr(sp, "JOINED", 0)
+    got = {r["particle_id"]: (r["tag"], r["length"]) for r in sp.friends_of_friends(frame(spark, x), ["s"], link, BOX).collect()}
+    assert got == linked(x, link)
+
+
+@pytest.mark.parametrize("most", [10**6, 1])
+def test_points_of_one_cell_are_close(spark, monkeypatch, most):
+    monkeypatch.setattr(sp, "MOST", most, raising=False)
+    a = np.array([[0.001] * 3, [0.873] * 3, [50.0] * 3, [50.86] * 3])  # 1.510 and 1.490 apart
+    got = {r["particle_id"]: r["tag"] for r in sp.friends_of_friends(frame(spark, a), ["s"], 1.5, 100.0).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 2}
+
+
 @pytest.mark.parametrize("gap", [0.0499, 0.0501])
 def test_crowded_cells_are_linked_by_their_parts(spark, gap):
     rng = np.random.default_rng(7)

@@ -6,12 +6,14 @@ Points meet only through grid cells, by equi-joins on cell numbers; no join comp
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.functions.geometry import cell, distance2, nearest, vec
 from trackweave.functions.physics import sph_kernel
+from trackweave.operators import linking
 from trackweave.runtime import cut, small
 
 #: Points of a group up to which every query of the group looks at all of them.
@@ -203,14 +205,64 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+#: Points of a block that one task links, about and at most, and edges between blocks that one task joins, at most.
+BLOCK, MOST, JOINED = 10_000, 500_000, 2_000_000
+
+
 def friends_of_friends(points: DataFrame, by: Sequence[str], link: float, box: float) -> DataFrame:
     """(by, particle_id, tag, length): groups of points chained by separations below `link`, single points too.
 
+    The box is split into blocks. A pair is in reach of the block that holds the lower of either coordinate, so a block
+    gets its points and those up to `link` beyond its upper faces, and links them in one task (`linking.local_groups`).
+    Points of several blocks then join the blocks' groups. Where blocks can't be as wide as twice the link and hold MOST
+    points at most, cells and pairs of them are rows instead. `by` must be one column, that holds integers. The tag is
+    the least particle_id of the group. Points without a place have no group.
+    """
+    one = by[0]
+    somewhere = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in "xyz")
+    p = cut(points.select(F.col(one).cast("long").alias("_s"), "particle_id", "x", "y", "z").where(somewhere))
+    back = lambda df: df.select(F.col("_s").cast(points.schema[one].dataType).alias(one), "particle_id", "tag", "length")
+    finest = int(box / link / 2)
+    most = p.groupBy("_s").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    side = min(finest, max(2, ceil((most / BLOCK) ** (1 / 3))))
+    while 2 <= side:
+        held = p.groupBy("_s", *_cells_of(side, box)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if held <= MOST or side == finest:
+            break
+        side = min(finest, 2 * side)
+    if side < 2 or held > MOST:
+        return back(_linked_by_cells(p, ["_s"], link, box))
+    width, near = F.lit(box / side), link * (1 + 1e-9)
+    own = p.select("*", *_cells_of(side, box)).withColumn("own", F.array(F.lit(0), F.lit(-1)))
+    copies = own
+    for c in "xyz":  # one block lower too where the lower face is in reach
+        low = F.col(c) - F.col(f"c{c}") * width < near
+        copies = copies.withColumn(f"o{c}", F.explode(F.when(low, F.col("own")).otherwise(F.array(F.lit(0)))))
+    shift = {f"c{c}": F.pmod(F.col(f"c{c}") + F.col(f"o{c}"), F.lit(side)) for c in "xyz"}
+    copies = copies.withColumn("own", F.expr("ox = 0 AND oy = 0 AND oz = 0")).withColumns(shift).drop("ox", "oy", "oz")
+    local = lambda rows: linking.local_groups(rows, link, box, box / side)
+    found = cut(copies.groupBy("_s", "cx", "cy", "cz").applyInPandas(local, "_s long, particle_id long, tag long, own boolean, shared boolean"))
+    shared = found.where("shared").select("_s", "particle_id", F.col("tag").alias("a")).distinct()
+    least = shared.groupBy("_s", "particle_id").agg(F.min("a").alias("b"), F.max("a").alias("_m")).where("b < _m")
+    edges = cut(shared.join(least, ["_s", "particle_id"]).where("a > b").select("_s", "a", "b").distinct())
+    if (edges.groupBy("_s").count().agg(F.max("count")).first()[0] or 0) <= JOINED:
+        joined = edges.groupBy("_s").applyInPandas(linking.joined, "_s long, tag long, to long")
+    else:
+        code = lambda c: F.struct("_s", F.col(c).alias("p"))
+        ends = edges.select(code("a").alias("node")).unionByName(edges.select(code("b").alias("node"))).distinct()
+        joined = components(ends, edges.select(code("a").alias("a"), code("b").alias("b"))).select("node._s", F.col("node.p").alias("tag"), F.col("label.p").alias("to"))
+    tagged = found.where("own").join(joined, ["_s", "tag"], "left").select("_s", "particle_id", F.coalesce("to", "tag").alias("tag"))
+    tagged = cut(tagged)
+    return back(tagged.join(tagged.groupBy("_s", "tag").agg(F.count("*").alias("length")), ["_s", "tag"]))
+
+
+def _linked_by_cells(points: DataFrame, by: Sequence[str], link: float, box: float) -> DataFrame:
+    """`friends_of_friends` without blocks: cells and pairs of them are rows.
+
     Points of one cell of side link / sqrt(3) are linked by the cell itself, so a crowded cell emits no pairs. Pairs of
-    cells near each other become edges if any of their points are close: see `_near_pairs`. `by` must be one column,
-    that holds integers. The tag is the least particle_id of the group.
+    cells near each other become edges if any of their points are close: see `_near_pairs`.
     """
-    n = 2 * max(1, int(box / (link * 0.999 / 3**0.5) / 2))
+    n = 2 * max(1, ceil(box / (link * 0.999 / 3**0.5) / 2))  # no cell is wider than that
     one = by[0]
     p = cut(points.select(one, "particle_id", "x", "y", "z", *_cells_of(n, box)))
     cells = cut(p.groupBy(one, "cx", "cy", "cz").agg(F.min("particle_id").alias("rep")))
