@@ -75,6 +75,18 @@ def test_unbinding_by_all_members_looks_at_every_pair_once(spark, monkeypatch):
     assert out["n_rounds"] > 1 or all(r[2] == pytest.approx(ph.GRAVITY * phi[r[0]], rel=1e-9) for r in rows)
 
 
+@pytest.mark.parametrize("query", [st.phys2_energy])
+def test_members_are_read_once_and_every_pair_is_looked_at_once(spark, monkeypatch, query):
+    m, phi, energy = cloud(spark, 300)
+    kept, cut = [], st.cut
+    monkeypatch.setattr(st, "_selves", lambda s, d: m.withColumn("snapshot_index", F.lit(0)))
+    monkeypatch.setattr(st, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    out = query(spark, "")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(kept) == 1 and "FlatMapGroupsInPandas" in plan and "FlatMapCoGroups" not in plan and "LogicalRDD" not in plan
+    assert out.count() == (300 if query is st.phys2_energy else 1)
+
+
 def test_tracks_sink_into_the_deepest_ancestor_that_they_overlap(spark):
     # 1 holds 2, 2 holds 3 and 5, 3 holds 4: 3 overlaps 1 only, 4 is an orphan at 3, 5 one that sank before
     core = "snapshot_id long, track_id long, x double, y double, z double, vx double, vy double, vz double, sigma_r double, sigma_v double, n long"

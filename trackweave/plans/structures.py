@@ -252,7 +252,7 @@ def phys1_potential(s: SparkSession, d: str) -> DataFrame:
 
 def phys2_energy(s: SparkSession, d: str) -> DataFrame:
     """Binding energy of every bound member in the mean frame of its track."""
-    m = _selves(s, d)
+    m = cut(_selves(s, d))
     frames = mean_motion(m, ["g"], "rank").where("mass > 0")
     e = gr.energies(m, gr.potentials(m, 0), frames, ph.GRAVITY)
     return e.select("snapshot_id", "track_id", "particle_id", F.round("energy", 2).alias("energy"))
