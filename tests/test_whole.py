@@ -75,7 +75,7 @@ def test_unbinding_by_all_members_looks_at_every_pair_once(spark, monkeypatch):
     assert out["n_rounds"] > 1 or all(r[2] == pytest.approx(ph.GRAVITY * phi[r[0]], rel=1e-9) for r in rows)
 
 
-@pytest.mark.parametrize("query", [st.phys2_energy])
+@pytest.mark.parametrize("query", [st.phys2_energy, st.phys3_round])
 def test_members_are_read_once_and_every_pair_is_looked_at_once(spark, monkeypatch, query):
     m, phi, energy = cloud(spark, 300)
     kept, cut = [], st.cut
