@@ -159,3 +159,52 @@ def test_unbinding_goes_on_until_every_group_has_settled(spark):
     assert "rounds" not in inspect.signature(gr.unbind).parameters  # no round is the last one but by settling
     out = {r["g"]: r["n_rounds"] for r in gr.unbind(m, gravity=1e6, min_members=1, min_tracers=1)[1].collect()}
     assert out[7] >= 1
+
+
+@pytest.mark.parametrize("box", [20.0, None])
+def test_bounds_of_the_potential_spare_unbinding_most_sums(spark, monkeypatch, box):
+    rng = np.random.default_rng(21)
+    clump, cold = rng.normal(size=(1500, 3)), rng.normal(size=(1500, 3)) * 5
+    cold[:300] *= 60  # some leave at once, some are near the edge
+    hot = rng.normal(size=(700, 3)) * 900
+    gs = {1: (clump, cold, 0.2), 2: (clump[:700] * 3, hot, 0.2), 3: (clump[:60], cold[-60:], 1.0), 4: (clump[:700], cold[:700], 0.0), 5: (np.full((500, 3), 1.0), hot[:500], 0.2), 6: (clump[:500], cold[:500], -0.2)}
+    rows = [np.column_stack([np.full(len(x), k), np.arange(len(x)) + 10_000 * k, x % box if box else x, v, np.full(len(x), m)]) for k, (x, v, m) in gs.items()]
+    df = pd.DataFrame(np.concatenate(rows), columns=["g", "particle_id", "x", "y", "z", "vx", "vy", "vz", "mass"]).astype({"g": int, "particle_id": int})
+    m = spark.createDataFrame(df.assign(u=0.0, soft=0.01, hz=0.0, scale_factor=1.0)).withColumns({"type": F.lit(1), "box_size": F.lit(box).cast("double")}).cache()
+    monkeypatch.setattr(gr, "TASK_ROWS", 400)
+    monkeypatch.setattr(st, "_selves", lambda s, d: m)
+    want = {r["g"]: (r["n_bound"], pytest.approx(r["m_bound"]), r["disrupted"]) for r in gr.unbind(m, max_sources=0)[1].collect()}
+    summed, sums = [], gr._all_potentials
+
+    def count(rows, wanted=F.lit(True)):
+        summed.append(rows.where("g < 3").where(wanted).count())
+        return sums(rows, wanted)
+
+    monkeypatch.setattr(gr, "_all_potentials", count)
+    got = {r["track_id"]: (r["n_bound"], r["m_bound"], r["disrupted"]) for r in st.phys3_unbind(spark, "").collect()}
+    assert got == want and 1000 < got[1][0] < 1300 and got[2][2] and len(got) == 6
+    assert summed[0] < 2200 / 3  # before: all of them
+
+
+def test_bounds_never_contradict_the_sums():
+    rng = np.random.default_rng(22)
+    for shape in range(12):
+        n, box = 700, np.nan if shape % 3 == 0 else 1.0
+        x = rng.random((n, 3)) if shape % 2 else rng.normal(size=(n, 3)) * 0.03 + 0.02
+        x[:40] = x[0]  # in one place
+        x = x if np.isnan(box) else x % 1.0
+        order = np.lexsort(np.floor(x * 5).T)  # an order of cells, not a good one
+        x, mass, soft = x[order], rng.random(n) * (rng.random(n) < 0.9), rng.choice([0.002, 0.01], n)
+        way = np.abs(x[:, None] - x[None])
+        phi = gr._kernel(np.sqrt((np.fmin(way, box - way) ** 2).sum(axis=2)), 2.8 * soft[:, None]) * mass[None]
+        np.fill_diagonal(phi, 0.0)
+        phi, factor = phi.sum(axis=1), 3.0
+        kinetic = -factor * phi * rng.choice([0.0, 0.5, 0.9, 1 - 1e-6, 1.0, 1 + 1e-6, 1.1, 2.0, 20.0], n)
+        at = np.arange(n)
+        left = pd.DataFrame({"g": 1, "particle_id": at, "x": x[:, 0], "y": x[:, 1], "z": x[:, 2], "mass": mass, "soft": soft, "box_size": box, "kinetic": kinetic, "factor": factor, "position": at, "cell": at // 16})
+        by = left.groupby("cell")
+        right = pd.DataFrame({f"_{e}_{c}": by[c].agg("min" if e == "lo" else "max") for c in ("x", "y", "z", "soft") for e in ("lo", "hi")}).assign(_mass=by.mass.sum(), _bad=0).reset_index().rename(columns={"cell": "_cell"})
+        sure = gr._decide(left.sample(frac=1, random_state=1), right).set_index("particle_id").sure.loc[at].to_numpy()
+        energy = kinetic + factor * phi
+        assert (energy[sure == -1] < 0).all() and (energy[sure == 1] > 0).all() and (sure != 0).mean() > 0.1
+        assert not gr._decide(left, right.assign(_bad=1)).sure.any()

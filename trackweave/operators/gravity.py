@@ -4,11 +4,13 @@ A track's gravity sources are all of its bound members or, beyond `max_sources`,
 of their ids, with masses scaled up per type; types in `keep_mask` come first. Tasks hold at most about `TASK_ROWS` of
 a track's members and as many of its sources: a hot track is spread over many tasks and no task holds a track, nor are
 pairs of members ever rows. Small tracks share tasks. `max_sources` 0 takes all members, whatever their number; then
-every pair is looked at once for both of its members.
+every pair is looked at once for both of its members. Where only who is bound is asked for, bounds of the potentials
+decide for the members of large tracks whose energy is far from 0; only the others' potentials are summed up.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import count
 
 import numpy as np
@@ -20,11 +22,13 @@ from trackweave.functions import physics as ph
 from trackweave.functions.geometry import relative_velocity, vec
 from trackweave.operators.aggregates import mean_motion, upscale
 from trackweave.operators.ranking import positions_within
-from trackweave.runtime import cut
+from trackweave.runtime import cut, small
 
 TASK_ROWS = 8192
 #: Members of a track and sources that `_mutual_potentials` compares at once, so that its arrays stay in a core's cache.
 ROWS, COLUMNS = 128, 1024
+#: Members of a cell of sources, least, and cells of a track, at most, in bounds of potentials; cells taken for each member apart.
+CELL_ROWS, CELLS, CLOSE_CELLS = 32, 32_768, 256
 
 
 def _kernel(r: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -111,7 +115,7 @@ def _direct(x: np.ndarray, mass: np.ndarray, h: np.ndarray, box: np.ndarray) ->
 
 def _mutual_potentials(rows: pd.DataFrame) -> pd.DataFrame:
     """Potentials of the members of one task by each other: of all in a group `g` where its parts a and b are one, else
-    of those of one part by those of the other, both ways at once."""
+    of those of one part by those of the other, both ways at once. Rows that aren't `wanted` are sources only."""
     key = np.lexsort([rows[c].to_numpy() for c in ("part", "b", "a", "g")])
     rows = rows.iloc[key]
     x, out = np.ascontiguousarray(rows[["x", "y", "z"]].to_numpy(dtype=float).T), np.zeros(len(rows))
@@ -143,7 +147,106 @@ def _mutual_potentials(rows: pd.DataFrame) -> pd.DataFrame:
                     if len(s[1]):
                         _add_pairs(tuple(block), tuple(s), box[lo], room)
             out[order] += first[3]
-    return rows[["g", "particle_id"]].assign(phi=out)
+    done = rows[["g", "particle_id"]].assign(phi=out)
+    return done[rows["wanted"].to_numpy()] if "wanted" in rows else done
+
+
+def _reach(lo: np.ndarray, hi: np.ndarray, cell_lo: np.ndarray, cell_hi: np.ndarray, box: float) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest distance of any point of a box lo to hi (3, n) from any of a cell (3, c), as (n, c); box: the
+    period, infinite for none, which no two points are further apart than along an axis."""
+    a, b = cell_lo[:, None] - hi[:, :, None], cell_hi[:, None] - lo[:, :, None]
+    fa, fb = (np.minimum(np.abs(d), np.abs(box - np.abs(d))) for d in (a, b))
+    near = np.where(((a <= 0) & (b >= 0)) | (b >= box) | (a <= -box), 0.0, np.minimum(fa, fb))
+    half = ((a <= box / 2) & (b >= box / 2)) | ((a <= -box / 2) & (b >= -box / 2))
+    far = np.where(half, box / 2, np.maximum(fa, fb))
+    return np.sqrt((near * near).sum(axis=0)), np.sqrt((far * far).sum(axis=0))
+
+
+def _decide(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """For members of one group, in a part of its order of places, whether bounds of their potential show that they are bound
+    (-1) or not (1), else 0. right: all cells of the group.
+
+    The kernel rises with the distance and with its extent h: a source at r counts between -1 / r, or -2.8 / h within h,
+    and -1 over the greater of r and h. What blocks of members leave open is looked at member by member in the cells
+    whose bounds lie furthest apart. Groups with masses, places or extents that bounds don't hold for stay open.
+    """
+    left = left.sort_values("position")
+    sure = np.zeros(len(left), dtype=np.int32)
+    out = left[["g", "particle_id"]].assign(sure=sure)
+    cells = right.rename(columns=lambda c: c.removeprefix("_")).sort_values("cell")
+    c_lo, c_hi = (np.ascontiguousarray(cells[[f"{e}_{c}" for c in "xyz"]].to_numpy(dtype=float).T) for e in ("lo", "hi"))
+    box = float(left["box_size"].iloc[0])
+    box = np.inf if np.isnan(box) else box
+    if cells["bad"].sum() or not box > 0 or ((c_hi.max(axis=1) - c_lo.min(axis=1)) > box).any():
+        return out
+    h_lo, h_hi, mass = ph.KERNEL * cells["lo_soft"].min(), ph.KERNEL * cells["hi_soft"].max(), cells["mass"].to_numpy(dtype=float)
+    x, own = np.ascontiguousarray(left[["x", "y", "z"]].to_numpy(dtype=float).T), np.searchsorted(cells["cell"].to_numpy(), left["cell"].to_numpy())
+    m, kinetic, factor = (left[c].to_numpy(dtype=float) for c in ("mass", "kinetic", "factor"))
+
+    def bounds(lo: np.ndarray, hi: np.ndarray, at: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+        near, far = _reach(lo, hi, c_lo[:, at], c_hi[:, at], box)
+        return np.where(near >= h_lo, -1.0 / near, -2.8 / h_lo), -1.0 / np.maximum(far, h_hi)
+
+    def decided(rows: np.ndarray, low: np.ndarray | float, high: np.ndarray) -> np.ndarray:
+        gap = 1e-9 * (np.abs(kinetic[rows]) + factor[rows] * np.abs(low))  # rounding decides nothing
+        bound, free = kinetic[rows] + factor[rows] * high < -gap, kinetic[rows] + factor[rows] * low > gap
+        return np.where(factor[rows] > 0, free.astype(np.int32) - bound, 0)
+
+    with np.errstate(all="ignore"):
+        for a in range(0, len(left), ROWS):
+            rows = np.arange(a, min(a + ROWS, len(left)))
+            low, high = (k[0] for k in bounds(x[:, rows].min(axis=1)[:, None], x[:, rows].max(axis=1)[:, None], slice(None)))
+            sure[rows] = decided(rows, low @ mass, high @ mass - m[rows] * high[own[rows]])  # without the member itself
+            rows = rows[sure[rows] == 0]
+            if len(rows):
+                close = np.argpartition(mass * (low - high), min(CLOSE_CELLS, len(mass) - 1))[:CLOSE_CELLS]
+                rest = mass.copy()
+                rest[close] = 0.0
+                near, far = bounds(x[:, rows], x[:, rows], close)
+                place = np.full(len(mass), -1)
+                place[close] = np.arange(len(close))
+                k = place[own[rows]]
+                self_ = np.where(k >= 0, far[np.arange(len(rows)), k], high[own[rows]])
+                sure[rows] = decided(rows, near @ mass[close] + low @ rest, far @ mass[close] + high @ rest - m[rows] * self_)
+    return out.assign(sure=sure)
+
+
+def _spread(v: Column) -> Column:
+    """The bits of a number below 1024, two zeros between each."""
+    for shift, mask in ((16, 0x30000FF), (8, 0x300F00F), (4, 0x30C30C3), (2, 0x9249249)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+    return v
+
+
+def decisions(members: DataFrame, large: DataFrame) -> DataFrame:
+    """(g, particle_id, sure): for the members of the groups in large (g, _n) -1 if they are bound, 1 if not, 0 where bounds of
+    the potential by all members don't tell. members have besides kinetic, their energy without the potential, factor,
+    by which it comes in, and the extents lo_x to hi_z of their group.
+
+    Members are put in order of places along a curve through the group; runs of them are the cells of sources. A task holds
+    some 4 TASK_ROWS members and the cells of their group, CELLS at most.
+    """
+    bits = [F.coalesce(F.least(F.lit(1023), F.floor(F.try_divide(F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")) * 1024)), F.lit(0)).cast("long") for c in "xyz"]
+    curve = sum((F.shiftleft(_spread(b), k) for k, b in enumerate(bits[1:], 1)), _spread(bits[0]))
+    rows = members.select("g", "particle_id", "x", "y", "z", "mass", "soft", "box_size", "kinetic", "factor", "_n", curve.alias("_curve"))
+    order = ["g", "_curve", "particle_id"]
+    n_parts = -(-large.agg(F.sum("_n")).first()[0] // (4 * TASK_ROWS))
+    placed = rows.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    size = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(CELL_ROWS), F.col("_n") / CELLS))))
+    # numbers rise by 1 within a partition, and each has its own range of them
+    placed = placed.withColumns({"part": F.spark_partition_id(), "position": F.monotonically_increasing_id()})
+    placed = cut(placed.withColumn("cell", F.floor(F.col("position") / size)).drop("_curve", "_n"))
+    good = (F.col("mass") >= 0) & (F.col("mass") < 1e300) & (F.col("soft") > 0) & (F.col("soft") < 1e300)
+    for c in "xyz":
+        good &= F.abs(c) < 1e300
+    cells = placed.groupBy("g", "cell").agg(
+        F.sum("mass").alias("mass"),
+        F.count_if(~F.coalesce(good, F.lit(False))).alias("bad"),
+        *[f(c).alias(f"{n}_{c}") for c in ("x", "y", "z", "soft") for n, f in (("lo", F.min), ("hi", F.max))],
+    )
+    cells = cells.join(placed.select("g", "part").distinct(), "g")
+    cells = cells.select(*[F.col(c).alias(f"_{c}") for c in cells.columns])  # new names, as both sides stem from the same rows
+    return placed.groupBy("g", "part").cogroup(cells.groupBy("_g", "_part")).applyInPandas(_decide, "g long, particle_id long, sure int")
 
 
 def _sum_potentials(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -228,33 +331,71 @@ def potentials(members: DataFrame, max_sources: int = 1000, keep_mask: int = 0,
     return phi if few else phi.groupBy("g", "particle_id").agg(F.sum("phi").alias("phi"))
 
 
-def _all_potentials(members: DataFrame) -> DataFrame:
+def _all_potentials(members: DataFrame, wanted: Column | None = None) -> DataFrame:
     """`potentials` by all members. Every pair of parts of a group of more than TASK_ROWS members is one task, which sums
-    up either part's potentials by the other from the same distances; groups share the box and a member's own softening."""
-    rows = members.select("g", "particle_id", "x", "y", "z", "mass", "soft", "box_size")
-    sizes = rows.groupBy("g").agg(F.count("*").alias("_n"))
-    plan = sizes.select("g", F.ceil(F.col("_n") / TASK_ROWS).cast("int").alias("_parts"))
-    small_rows = sizes.where(F.col("_n") <= TASK_ROWS).agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    up either part's potentials by the other from the same distances; groups share the box and a member's own softening.
+
+    With `wanted` only these members have rows in groups above TASK_ROWS: the others are in parts of their own, which
+    are sources to the parts of wanted ones, but not to each other.
+    """
+    rows = members.select("g", "particle_id", "x", "y", "z", "mass", "soft", "box_size", (F.lit(True) if wanted is None else wanted).alias("wanted"))
+    sizes = rows.groupBy("g").agg(F.count("*").alias("_n"), F.count_if("wanted").alias("_k"))
+    large, pieces = F.col("_n") > TASK_ROWS, lambda n: F.ceil(n / TASK_ROWS).cast("int")
+    plan = sizes.select("g", F.when(large, pieces(F.col("_k"))).otherwise(1).alias("_first"), F.when(large, pieces(F.col("_n") - F.col("_k"))).otherwise(0).alias("_rest"))
+    small_rows = sizes.where(~large).agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     n_tasks = max(members.sparkSession.sparkContext.defaultParallelism * 4, -(-small_rows // TASK_ROWS))
-    split = rows.join(plan, "g").withColumn("part", F.pmod(F.xxhash64("particle_id"), F.col("_parts")).cast("int"))
-    split = split.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    own = F.col("wanted") | (F.col("_rest") == 0)
+    place = F.when(own, F.pmod(F.xxhash64("particle_id"), F.col("_first"))).otherwise(F.col("_first") + F.pmod(F.xxhash64("particle_id"), F.greatest("_rest", F.lit(1))))
+    split = rows.join(plan, "g").where("_first > 0").withColumn("part", place.cast("int"))
+    split = split.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_first") + F.when(own, F.col("_rest")).otherwise(0) - 1)))
     split = split.withColumns({"a": F.least("part", "_q"), "b": F.greatest("part", "_q")})
-    task = F.when(F.col("_parts") > 1, F.xxhash64("g", "a", "b")).otherwise(F.pmod(F.xxhash64("g"), F.lit(n_tasks)))
-    phi = split.withColumn("task", task).drop("_parts", "_q").groupBy("task").applyInPandas(_mutual_potentials, "g long, particle_id long, phi double")
+    task = F.when(F.col("_first") + F.col("_rest") > 1, F.xxhash64("g", "a", "b")).otherwise(F.pmod(F.xxhash64("g"), F.lit(n_tasks)))
+    phi = split.withColumn("task", task).drop("_first", "_rest", "_q").groupBy("task").applyInPandas(_mutual_potentials, "g long, particle_id long, phi double")
     return phi.groupBy("g", "particle_id").agg(F.sum("phi").alias("phi"))
 
 
-def energies(members: DataFrame, phi: DataFrame, frames: DataFrame, gravity: Column | float, thermal: bool = False) -> DataFrame:
+def energies(members: DataFrame, phi: DataFrame, frames: DataFrame, gravity: Column | float, thermal: bool = False, also: Sequence[str] = ()) -> DataFrame:
     """members with energy: kinetic in the group's frame plus G phi / a, plus u if thermal.
 
-    frames: (g, x, y, z, vx, vy, vz). members carry hz, scale_factor and box_size.
+    frames: (g, x, y, z, vx, vy, vz). members carry hz, scale_factor and box_size. also: columns of phi to keep.
     """
-    f = frames.select("g", *[F.col(c).alias(f"f{c}") for c in ("x", "y", "z", "vx", "vy", "vz")])
-    j = members.join(f, "g").join(phi, ["g", "particle_id"])
-    dv = relative_velocity(vec(""), vec("v"), vec("f"), vec("fv"), "hz", "scale_factor", "box_size")
-    grav = F.col("phi") * (gravity if isinstance(gravity, Column) else F.lit(gravity)) / F.col("scale_factor")
-    e = ph.binding_energy(dv, grav, F.col("u") if thermal else None)
-    return j.select(*members.columns, (grav).alias("potential_energy"), e.alias("energy"))
+    j = _in_frames(members, frames).join(phi, ["g", "particle_id"])
+    grav = _potential(gravity)
+    e = ph.binding_energy(_motion(), grav, F.col("u") if thermal else None)
+    return j.select(*members.columns, *also, (grav).alias("potential_energy"), e.alias("energy"))
+
+
+def _in_frames(members: DataFrame, frames: DataFrame) -> DataFrame:
+    return members.join(frames.select("g", *[F.col(c).alias(f"f{c}") for c in ("x", "y", "z", "vx", "vy", "vz")]), "g")
+
+
+def _motion() -> tuple[Column, Column, Column]:
+    return relative_velocity(vec(""), vec("v"), vec("f"), vec("fv"), "hz", "scale_factor", "box_size")
+
+
+def _potential(gravity: Column | float, phi: Column | str = "phi") -> Column:
+    return (F.col(phi) if isinstance(phi, str) else phi) * (gravity if isinstance(gravity, Column) else F.lit(gravity)) / F.col("scale_factor")
+
+
+def bound_flags(members: DataFrame, frames: DataFrame, gravity: Column | float, thermal: bool = False) -> DataFrame:
+    """members with potential_energy, energy and bound as by `energies` from all members, but both energies null where bounds
+    of the potential decide. They are taken for groups of more than TASK_ROWS members."""
+    sizes = members.groupBy("g").agg(F.count("*").alias("_n"), *[f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+    large = cut(_in_frames(sizes.where(F.col("_n") > TASK_ROWS), frames))
+    if large.isEmpty():
+        e = energies(members, _all_potentials(members), frames, gravity, thermal)
+        return e.withColumn("bound", ph.is_bound("energy"))
+    kinetic = ph.binding_energy(_motion(), F.lit(0.0), F.col("u") if thermal else None)
+    moving = members.join(small(large), "g").withColumns({"kinetic": kinetic, "factor": _potential(gravity, F.lit(1.0))})
+    sure = cut(decisions(moving, large))
+    open_ = sure.where("sure = 0").select("g", "particle_id", F.lit(True).alias("_open"))
+    # large groups without open members take no part in sums
+    left = cut(large.select("g").join(open_.select("g").distinct().withColumn("_some", F.lit(True)), "g", "left"))
+    rows = members.join(small(left.withColumn("_large", F.lit(True))), "g", "left").where("_large IS NULL OR _some").join(small(open_), ["g", "particle_id"], "left")
+    phi = _all_potentials(rows, F.col("_large").isNull() | F.coalesce("_open", F.lit(False)))
+    known = phi.withColumn("sure", F.lit(0)).unionByName(sure.where("sure <> 0").withColumn("phi", F.lit(None).cast("double")))
+    e = energies(members, known, frames, gravity, thermal, ["sure"])
+    return e.withColumn("bound", F.when(F.col("sure") == 0, ph.is_bound("energy")).otherwise(F.col("sure") < 0)).drop("sure")
 
 
 def unbind(
@@ -269,6 +410,7 @@ def unbind(
     per_type: bool = True,
     thermal: bool = False,
     strip: bool = True,
+    with_energies: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Iterative unbinding of all groups at once (P3): (members with bound, energy, potential_energy; groups with
     n_bound, m_bound, disrupted, n_rounds).
@@ -279,6 +421,8 @@ def unbind(
     fewer than min_members bound members or min_tracers bound tracers disrupts: nothing of it is bound (P9). Members
     that never were in a bound set keep the energy of the round that dropped them. Groups in which one mean is
     undefined (no mass) disrupt. With strip=False every member counts as bound (P11), and one round gives the energies.
+    With with_energies=False both energies may be null, and sums over all members are only made for those that bounds
+    leave open (`bound_flags`); who is bound is the same.
     """
     rows = cut(members.withColumn("_order", F.xxhash64("particle_id")))
     active = rows
@@ -287,8 +431,11 @@ def unbind(
     tracer = ph.is_tracer("type", tracer_mask)
     for n in count(1):  # ends, as every group that stays loses a member a round
         frames = mean_motion(active, ["g"], "_order").where("mass > 0")
-        phi = potentials(active, max_sources, keep_mask, per_type)
-        e = cut(energies(active, phi, frames, gravity, thermal).withColumn("bound", ph.is_bound("energy") if strip else F.lit(True)))
+        if strip and not (with_energies or max_sources):
+            e = cut(bound_flags(active, cut(frames), gravity, thermal))
+        else:
+            phi = potentials(active, max_sources, keep_mask, per_type)
+            e = cut(energies(active, phi, frames, gravity, thermal).withColumn("bound", ph.is_bound("energy") if strip else F.lit(True)))
         counts = e.groupBy("g").agg(
             F.count("*").alias("_last"),
             F.count_if("bound").alias("n_bound"),

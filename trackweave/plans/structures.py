@@ -259,7 +259,8 @@ def phys2_energy(s: SparkSession, d: str) -> DataFrame:
 
 
 def _unbound(s: SparkSession, d: str, max_sources: int) -> DataFrame:
-    out = gr.unbind(_selves(s, d), max_sources=max_sources)[1]
+    m = _selves(s, d).select("g", "particle_id", *MOVES, "mass", "type", "u", "soft", "hz", "scale_factor", "box_size")
+    out = gr.unbind(m, max_sources=max_sources, with_energies=False)[1]
     return out.select((F.col("g") % nest.SHIFT).alias("track_id"), F.floor(F.col("g") / nest.SHIFT).cast("int").alias("snapshot_index"), "n_bound", F.round("m_bound", 8).alias("m_bound"), "disrupted")
 
 
